@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointlake.llm.bpe import op1_byte_bpe
+from pointlake.llm.rules import op3_decision_list
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_decision_list": op3_decision_list,
 }
 
 ORACLE_SQL: dict[str, str] = {}
