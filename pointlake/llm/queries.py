@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointlake.llm.bpe import op1_byte_bpe
+from pointlake.llm.mpeg import op8_mpeg_audio
+from pointlake.llm.qda import op9_quadratic_discriminant
 from pointlake.llm.rules import op3_decision_list
 
 
@@ -19,6 +21,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_decision_list": op3_decision_list,
+    "op8_mpeg_audio": op8_mpeg_audio,
+    "op9_quadratic_discriminant": op9_quadratic_discriminant,
 }
 
 ORACLE_SQL: dict[str, str] = {}
