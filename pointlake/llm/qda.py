@@ -33,8 +33,9 @@ from pointlake.llm.common import chunks, fresh, map_column, quoted, read_table,
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS, MARKS, STOPS = "#*$%&|<>@^~{}\\", "!?", ".,;:"
-KEPT = {**{ord(c): "s" for c in SYMBOLS}, **{ord(c): "m" for c in MARKS}, **{ord(c): "p" for c in STOPS}, **{ord(c): "0" for c in string.digits}}
-NAMES = ("log_words", "mean_word", "symbols", "marks", "stops", "digits", "upper", "distinct", "top_word", "repeats", "dup_lines", "log_line")
+#: Words that are added to each text's denominators, so that a few words do not make an extreme rate.
+EASE = 16
+NAMES = ("log_words", "mean_word", "symbols", "marks", "stops", "digits", "upper", "not_first", "top_word", "repeats", "dup_lines", "log_line")
 
 
 def statistics(text: str) -> list[float]:
@@ -52,16 +53,16 @@ def statistics(text: str) -> list[float]:
     upper = sum(a != b for a, b in zip(text, lower)) if len(lower) == len(text) and lower != text else 0
     return [
         np.log1p(len(words)),
-        np.log1p(sum(map(len, words)) / n),
-        root(count(SYMBOLS), chars),
-        root(count(MARKS), chars),
-        root(count(STOPS), chars),
-        root(count(string.digits), chars),
-        root(upper, chars),
-        root(len(counts), n),
-        root(max(counts.values(), default=0), n),
-        root(max(0, len(words) - 2 - follows), n),
-        root(len(lines) - len(set(lines)), max(1, len(lines))),
+        np.log1p((sum(map(len, words)) + 5 * EASE) / (n + EASE)),
+        root(count(SYMBOLS), chars + 4 * EASE),
+        root(count(MARKS), chars + 4 * EASE),
+        root(count(STOPS), chars + 4 * EASE),
+        root(count(string.digits), chars + 4 * EASE),
+        root(upper, chars + 4 * EASE),
+        root(len(words) - len(counts), n + EASE),
+        root(max(0, max(counts.values(), default=0) - 1), n + EASE),
+        root(max(0, len(words) - 2 - follows), n + EASE),
+        root(len(lines) - len(set(lines)), len(lines) + EASE / 2),
         np.log1p(len(words) / max(1, len(lines))),
     ]
 
