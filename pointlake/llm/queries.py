@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pointlake.llm.bpe import op1_byte_bpe
+from pointlake.llm.dartminhash import op10_dart_minhash
 from pointlake.llm.mpeg import op8_mpeg_audio
 from pointlake.llm.qda import op9_quadratic_discriminant
 from pointlake.llm.rules import op3_decision_list
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
