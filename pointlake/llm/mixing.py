@@ -134,11 +134,23 @@ def rounded(cells: pd.DataFrame) -> pd.DataFrame:
         owed += more
         extra[i] = min(rooms[i], int(owed // sizes[i])) if sizes[i] else 0
         owed -= extra[i] * sizes[i]
-    for i, size in enumerate(sizes):  # what no smaller size had room for
-        if size and owed >= size / 2 and extra[i] < rooms[i]:
-            more = min(rooms[i] - extra[i], max(1, int(owed // size)))
-            extra[i] += more
-            owed -= more * size
+    for _ in range(8):  # what no smaller size had room for: one copy more, or one for another, where that is nearer
+        more = [i for i in reversed(range(len(sizes))) if extra[i] < rooms[i]]
+        less = [None, *(i for i in range(len(sizes)) if extra[i])]
+        if not more or abs(owed) < 1:
+            break
+        ascending = np.array([sizes[i] for i in more])
+        wish = np.array([owed + (0 if i is None else sizes[i]) for i in less])
+        at = np.clip(np.searchsorted(ascending, wish), 1, max(1, len(more) - 1))
+        pick = np.where(np.abs(ascending[at - 1] - wish) <= np.abs(ascending[np.minimum(at, len(more) - 1)] - wish), at - 1, np.minimum(at, len(more) - 1))
+        best = int(np.argmin(np.abs(ascending[pick] - wish)))
+        left = float(wish[best] - ascending[pick[best]])
+        if abs(left) >= abs(owed):
+            break
+        owed = left
+        extra[more[pick[best]]] += 1
+        if less[best] is not None:
+            extra[less[best]] -= 1
     return cells[["source", "null_source", "size", "source_size", "target"]].assign(whole=whole, extra=np.array(extra, np.int64))
 
 
