@@ -12,6 +12,7 @@ from pointlake.llm.mixing import op4_entropy_balance
 from pointlake.llm.mpeg import op8_mpeg_audio
 from pointlake.llm.qda import op9_quadratic_discriminant
 from pointlake.llm.rules import op3_decision_list
+from pointlake.llm.secrets import op2_grammar_inference
 from pointlake.llm.sharding import op5_label_propagation
 
 
@@ -23,6 +24,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_grammar_inference": op2_grammar_inference,
     "op3_decision_list": op3_decision_list,
     "op4_entropy_balance": op4_entropy_balance,
     "op5_label_propagation": op5_label_propagation,
