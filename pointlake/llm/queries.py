@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pointlake.llm.bpe import op1_byte_bpe
 from pointlake.llm.dartminhash import op10_dart_minhash
+from pointlake.llm.langid import op6_nearest_centroid
 from pointlake.llm.mixing import op4_entropy_balance
 from pointlake.llm.mpeg import op8_mpeg_audio
 from pointlake.llm.qda import op9_quadratic_discriminant
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
     "op4_entropy_balance": op4_entropy_balance,
     "op5_label_propagation": op5_label_propagation,
+    "op6_nearest_centroid": op6_nearest_centroid,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
     "op10_dart_minhash": op10_dart_minhash,
