@@ -15,6 +15,7 @@ from pointlake.llm.qda import op9_quadratic_discriminant
 from pointlake.llm.rules import op3_decision_list
 from pointlake.llm.secrets import op2_grammar_inference
 from pointlake.llm.sharding import op5_label_propagation
+from pointlake.llm.warc import SQL_OP7, op7_warc_writer
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_entropy_balance": op4_entropy_balance,
     "op5_label_propagation": op5_label_propagation,
     "op6_nearest_centroid": op6_nearest_centroid,
+    "op7_warc_writer": op7_warc_writer,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
     "op10_dart_minhash": op10_dart_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_warc_writer": SQL_OP7}
