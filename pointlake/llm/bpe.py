@@ -195,33 +195,37 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ranks_
     return out.select(*rest, F.col(made)["text"].alias(out_col))
 
 
-def digests(df: DataFrame, text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the round trip.
+def digests(df: DataFrame, text_col: str = "text", ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the round trip, and ``ids`` if asked for.
 
-    Tokens are hashed and decoded where they are made, so that neither they nor
-    the decoded text have to leave the worker.
+    Tokens are hashed and decoded where they are made, so that the decoded text
+    does not have to leave the worker.
     """
     model = model_json(read_ranks(ranks_path or public_tokenizers.path(RANKS)))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.of(model)
         for batch in batches:
-            counts, ids_hex, text_hex = [], [], []
+            counts, ids_hex, text_hex, kept = [], [], [], []
             for texts in chunks(batch):
                 for own in codec.encode(texts):
-                    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                    n, of_ids, of_text, parts = 0, hashlib.sha256(), hashlib.sha256(), []
                     for ids, _ in own:
                         n += len(ids)
-                        of_ids.update(np.asarray(ids, dtype="<u4").tobytes())
+                        parts.append(np.asarray(ids, dtype="<u4"))
+                        of_ids.update(parts[-1].tobytes())
                         of_text.update(codec.decode(ids))
+                    if with_ids:
+                        kept.append(np.concatenate(parts).astype(np.int32))
                     counts.append(n)
                     ids_hex.append(of_ids.hexdigest())
                     text_hex.append(of_text.hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)], names)
+            columns = [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), pa.array(kept, pa.list_(pa.int32()))]
+            yield pa.StructArray.from_arrays(columns[: len(names)], names)
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 3 + with_ids]
     made = fresh(df, "bpe")
-    out = map_column(df, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", made)
+    out = map_column(df, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, made)
     rest = [quoted(c) for c in df.columns if c.lower() not in names]
     return out.select(*rest, *[F.col(made)[n].alias(n) for n in names])
 

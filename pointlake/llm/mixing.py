@@ -134,8 +134,9 @@ def rounded(cells: pd.DataFrame) -> pd.DataFrame:
         owed += more
         extra[i] = min(rooms[i], int(owed // sizes[i])) if sizes[i] else 0
         owed -= extra[i] * sizes[i]
+    most = ((MOST - whole) * cells["docs"]).tolist()
     for _ in range(8):  # what no smaller size had room for: one copy more, or one for another, where that is nearer
-        more = [i for i in reversed(range(len(sizes))) if extra[i] < rooms[i]]
+        more = [i for i in reversed(range(len(sizes))) if sizes[i] and extra[i] < most[i]]
         less = [None, *(i for i in range(len(sizes)) if extra[i])]
         if not more or abs(owed) < 1:
             break
@@ -151,7 +152,7 @@ def rounded(cells: pd.DataFrame) -> pd.DataFrame:
         extra[more[pick[best]]] += 1
         if less[best] is not None:
             extra[less[best]] -= 1
-    return cells[["source", "null_source", "size", "source_size", "target"]].assign(whole=whole, extra=np.array(extra, np.int64))
+    return cells[["source", "null_source", "size", "docs", "source_size", "target"]].assign(whole=whole, extra=np.array(extra, np.int64))
 
 
 def mixed(df: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -178,18 +179,35 @@ def mixed(df: DataFrame, text_col: str = "text", source_col: str = "source", wei
     # copies by cell: whole parts for all, and as many extra ones as keep the running total exact
     each = cells.join(goals, key).join(found, key, "left")
     each = each.withColumn("rate", F.when(F.col("dual").isNull() | (F.col("size") == 0), F.when(F.col("target") > 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.round(rate(F.col("dual"), F.col("size"), F.col("scale"), most), 9)))
-    each = cut(each.groupBy(*key).applyInPandas(rounded, "source string, null_source boolean, size long, source_size long, target double, whole long, extra long"))
+    each = cut(each.groupBy(*key).applyInPandas(rounded, "source string, null_source boolean, size long, docs long, source_size long, target double, whole long, extra long"))
 
     # the first ``extra`` documents of a cell, by hash, take one copy more
     salts = Window.partitionBy(*key, "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("before", F.coalesce(F.sum("docs").over(salts), F.lit(0))).drop("docs").join(each, [*key, "size"])
     inside = Window.partitionBy(*key, "size", "salt").orderBy(F.xxhash64(packed, F.lit(7)))
     out = rows.withColumn("nth", F.row_number().over(inside) - 1).join(starts, [*key, "size", "salt"])
-    copies = F.col("whole") + (F.col("nth") + F.col("before") < F.col("extra")).cast("long")
-    out = out.select(packed, F.col("size"), F.col("source_size"), F.col("target"), copies.alias("copies"))
+    rank = F.col("nth") + F.col("before")
+    copies = F.col("whole") + F.floor(F.col("extra") / F.col("docs")) + (rank < F.col("extra") % F.col("docs")).cast("long")
+    out = out.select(packed, F.col("size"), F.col("source_size"), F.col("target"), copies.cast("long").alias("copies"))
     return out.select(*[F.col(packed)[c].alias(c) for c in rest], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def repeated(df: DataFrame, text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix itself: each row of ``df`` as often as it is taken.
+
+    The copies are decided on a hash of each row, so that texts are shuffled once,
+    to meet their number; rows that repeat share what falls to them.
+    """
+    k, total, rows = (fresh(df, x) for x in ("k", "total", "rows"))
+    marked = df.withColumn(k, F.xxhash64(*[quoted(c) for c in df.columns]))
+    taken = mixed(marked.select(k, quoted(source_col).alias("source"), quoted(text_col).alias("text")), "text", "source", weights, most)
+    number = cut(taken.groupBy(k).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows)).where(F.col(total) > 0))
+    nth = F.row_number().over(Window.partitionBy(k).orderBy(k))
+    met = marked.join(number, k).withColumn(total, F.floor(F.col(total) / F.col(rows)) + (nth <= F.col(total) % F.col(rows)).cast("long"))
+    again = F.explode(F.array_repeat(F.lit(1), F.col(total).cast("int")))
+    return met.select(*[quoted(c) for c in df.columns], again.alias(rows)).drop(rows)
+
+
 def op4_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_writer": op7_warc_writer,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_quadratic_discriminant": op9_quadratic_discriminant,
+    "pipeline": pipeline,
     "op10_dart_minhash": op10_dart_minhash,
 }
 
