@@ -1,10 +1,609 @@
-"""The queries of the particle engine and the SQL that gives the same rows."""
+"""The queries of the particle engine and the SQL that gives the same rows.
+
+Views over the test tables: L (lineitem), E (events) and V (embeddings) as particles.
+Each query is written with the engine's own functions; its SQL is plain and independent.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from pointlake.functions import bitmap, color, geometry, lod, morton
+from pointlake.functions.geometry import Box, Frustum
+from pointlake.operators import generators, layout
+from pointlake.operators.table import ParticleTable
+from pointlake.plans.query import QuerySpec, run
+from pointlake.schema import ParticleSchema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def put(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+# ---- the views -------------------------------------------------------------------
+
+L = ParticleSchema("l_quantity", "l_extendedprice", "l_discount", "l_orderkey", ("l_tax", "l_partkey", "l_suppkey"))
+E = ParticleSchema("x", "y", "z", "pid", ("value",), "day")
+V = ParticleSchema("x", "y", "z", "pid", ("label",))
+
+
+def lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/lineitem.parquet")
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_id").alias("pid"), (micros / 1e6).alias("x"), F.col("user_id").cast("double").alias("y"), F.col("value").alias("z"),
+        "value", "event_type", F.floor(micros / 86_400_000_000).cast("int").alias("day"),
+    )
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        F.col("vec_id").alias("pid"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")], "label"
+    )
+
+
+E_SQL = """SELECT event_id AS pid, epoch_us(ts) / 1e6 AS x, CAST(user_id AS DOUBLE) AS y, value AS z, value, event_type,
+  CAST(floor(epoch_us(ts) / 86400000000.0) AS INTEGER) AS day FROM events"""
+V_SQL = "SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label FROM embeddings"
+
+L_BOX = Box((10.0, 20_000.0, 0.02), (30.0, 60_000.0, 0.06))
+L_WHERE = "l_quantity BETWEEN 10 AND 30 AND l_extendedprice BETWEEN 20000 AND 60000 AND l_discount BETWEEN 0.02 AND 0.06"
+L_PICK = "l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax"
+L_COLUMNS = L_PICK.split(", ")
+
+
+# ---- filters ---------------------------------------------------------------------
+
+
+@query(f"SELECT {L_PICK} FROM lineitem WHERE {L_WHERE}")
+def box_query(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of a closed box."""
+    return run(lineitem(spark, sf), QuerySpec(L_BOX, columns=L_COLUMNS), L)
+
+
+@query(f"SELECT {L_PICK} FROM lineitem WHERE l_tax BETWEEN 0.02 AND 0.05")
+def attr_range(spark: SparkSession, sf: str) -> DataFrame:
+    return run(lineitem(spark, sf), QuerySpec(attrs={"l_tax": [(0.02, 0.05)]}, columns=L_COLUMNS), L)
+
+
+@query(f"SELECT {L_PICK} FROM lineitem WHERE {L_WHERE} AND (l_tax BETWEEN 0 AND 0.01 OR l_tax BETWEEN 0.06 AND 0.08)")
+def attr_multi_range(spark: SparkSession, sf: str) -> DataFrame:
+    return run(lineitem(spark, sf), QuerySpec(L_BOX, {"l_tax": [(0.0, 0.01), (0.06, 0.08)]}, columns=L_COLUMNS), L)
+
+
+@query(f"SELECT {L_PICK} FROM lineitem WHERE {L_WHERE} AND l_tax BETWEEN 0.01 AND 0.06 AND (l_partkey BETWEEN 1 AND 500 OR l_partkey BETWEEN 1000 AND 2000)")
+def attr_multi_column(spark: SparkSession, sf: str) -> DataFrame:
+    return run(lineitem(spark, sf), QuerySpec(L_BOX, {"l_tax": [(0.01, 0.06)], "l_partkey": [(1, 500), (1000, 2000)]}, columns=L_COLUMNS), L)
+
+
+@query(f"SELECT l_partkey, l_tax FROM lineitem WHERE {L_WHERE}")
+def projection(spark: SparkSession, sf: str) -> DataFrame:
+    return run(lineitem(spark, sf), QuerySpec(L_BOX, columns=["l_partkey", "l_tax"]), L)
+
+
+@query(f"SELECT l_suppkey, count(*) AS n, max(l_extendedprice) AS max_price, min(l_tax) AS min_tax FROM lineitem WHERE {L_WHERE} GROUP BY l_suppkey")
+def row_callback(spark: SparkSession, sf: str) -> DataFrame:
+    """What a callback per row would add up, as an aggregate of the result."""
+    rows = ParticleTable.from_df(lineitem(spark, sf), L)
+    return rows.row_callback(QuerySpec(L_BOX), lambda df: df.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("max_price"), F.min("l_tax").alias("min_tax")))
+
+
+@query("SELECT CAST(l_quantity AS FLOAT) AS l_quantity, CAST(l_extendedprice AS FLOAT) AS l_extendedprice, CAST(l_discount AS FLOAT) AS l_discount, CAST(l_tax AS FLOAT) AS l_tax FROM lineitem WHERE l_tax BETWEEN 0.03 AND 0.04")
+def server_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A server's request: position and one attribute, as 32-bit floats."""
+    return ParticleTable.from_df(lineitem(spark, sf), L).serve('{"quality": 1.0, "prev_quality": 0, "attribute": "l_tax", "range_min": 0.03, "range_max": 0.04}')
+
+
+@query(f"SELECT {L_PICK} FROM lineitem WHERE l_quantity BETWEEN 1 AND 5 AND l_extendedprice BETWEEN 0 AND 10000 AND l_discount BETWEEN 0 AND 0.1 AND l_tax BETWEEN 0 AND 0.02")
+def json_query(spark: SparkSession, sf: str) -> DataFrame:
+    """An inspector's request document."""
+    spec = QuerySpec.from_json('{"attributes": [{"name": "l_tax", "range": [[0.0, 0.02]]}], "bounds": [[1, 0, 0], [5, 10000, 0.1]]}')
+    return run(lineitem(spark, sf), spec, L).select(*L_COLUMNS)
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE embedding[5] BETWEEN -0.1 AND 0.1 AND label BETWEEN 1 AND 5")
+def array_element_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range on an element of a vector attribute."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    spec = QuerySpec(attrs={"embedding[4]": [(-0.1, 0.1)], "label": [(1, 5)]}, columns=["vec_id", "label"])
+    return run(df, spec, ParticleSchema(pid="vec_id", attrs=("label",)))
+
+
+# ---- metadata --------------------------------------------------------------------
+
+
+@query("SELECT min(l_quantity) AS lx, min(l_extendedprice) AS ly, min(l_discount) + 0.0 AS lz, max(l_quantity) AS ux, max(l_extendedprice) AS uy, max(l_discount) AS uz FROM lineitem")
+def bounds(spark: SparkSession, sf: str) -> DataFrame:
+    df = lineitem(spark, sf)
+    return df.agg(*[(f(c) + 0.0).alias(n + a) for n, f in (("l", F.min), ("u", F.max)) for a, c in zip("xyz", L.positions)])  # + 0.0: no negative zero
+
+
+@query("""WITH b AS (SELECT l_returnflag, min(l_quantity) AS lx, min(l_extendedprice) AS ly, max(l_quantity) AS ux, max(l_extendedprice) AS uy FROM lineitem GROUP BY 1)
+SELECT min(lx) AS lx, min(ly) AS ly, max(ux) AS ux, max(uy) AS uy, count(*) AS boxes FROM b""")
+def bounds_union(spark: SparkSession, sf: str) -> DataFrame:
+    """The union of the boxes of parts."""
+    parts = lineitem(spark, sf).groupBy("l_returnflag").agg(F.min("l_quantity").alias("lx"), F.min("l_extendedprice").alias("ly"), F.max("l_quantity").alias("ux"), F.max("l_extendedprice").alias("uy"))
+    return parts.agg(F.min("lx").alias("lx"), F.min("ly").alias("ly"), F.max("ux").alias("ux"), F.max("uy").alias("uy"), F.count(F.lit(1)).alias("boxes"))
+
+
+@query("""SELECT 'l_tax' AS attr, CAST(min(l_tax) AS DOUBLE) + 0.0 AS lo, CAST(max(l_tax) AS DOUBLE) AS hi FROM lineitem
+UNION ALL SELECT 'l_partkey', CAST(min(l_partkey) AS DOUBLE), CAST(max(l_partkey) AS DOUBLE) FROM lineitem
+UNION ALL SELECT 'l_suppkey', CAST(min(l_suppkey) AS DOUBLE), CAST(max(l_suppkey) AS DOUBLE) FROM lineitem""")
+def attribute_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Range of each attribute: one aggregate, turned to rows."""
+    one = lineitem(spark, sf).agg(*[(f(a).cast("double") + 0.0).alias(f"{n}_{a}") for a in L.attrs for n, f in (("lo", F.min), ("hi", F.max))])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"lo_{a}").alias("lo"), F.col(f"hi_{a}").alias("hi")) for a in L.attrs])).alias("r")).select("r.*")
+
+
+@query("SELECT count(*) AS num_points, 3 AS num_attributes, CAST(12 + 8 + 8 + 8 AS INTEGER) AS bytes_per_particle, count(*) * 36 AS base_bytes FROM lineitem")
+def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
+    df = lineitem(spark, sf)
+    schema = ParticleSchema.of(df, "l_orderkey", L.positions, attrs=L.attrs)
+    size = schema.bytes_per_row()
+    return df.agg(F.count(F.lit(1)).alias("num_points")).select("num_points", F.lit(len(L.attrs)).alias("num_attributes"), F.lit(size).alias("bytes_per_particle"), (F.col("num_points") * size).alias("base_bytes"))
+
+
+@query("SELECT l_returnflag AS subfile, round((max(l_extendedprice) - min(l_extendedprice)) / 32, 6) AS bin_size FROM lineitem GROUP BY 1")
+def bin_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Width of a bitmap's bin by part."""
+    return lineitem(spark, sf).groupBy(F.col("l_returnflag").alias("subfile")).agg(F.round((F.max("l_extendedprice") - F.min("l_extendedprice")) / bitmap.BINS, 6).alias("bin_size"))
+
+
+# ---- the curve and its cells -----------------------------------------------------
+
+BOUNDS_SQL = f"e AS ({E_SQL}), b AS (SELECT min(x) AS lx, max(x) AS ux, min(y) AS ly, max(y) AS uy, min(z) AS lz, max(z) AS uz FROM e)"
+
+
+def _interleave_sql(bits: int = 10) -> str:
+    parts = [f"((({axis} >> {b}) & 1) << {3 * b + k})" for b in range(bits) for k, axis in enumerate(("qx", "qy", "qz"))]
+    return " | ".join(parts)
+
+
+def _grid_sql(p: str) -> str:
+    return f"CAST(floor(1023.0 * ({p} - l{p}) / (u{p} - l{p})) AS BIGINT) AS q{p}"
+
+
+MORTON_SQL = f"{BOUNDS_SQL}, q AS (SELECT e.*, {', '.join(map(_grid_sql, 'xyz'))} FROM e, b), m AS (SELECT *, {_interleave_sql()} AS morton FROM q)"
+#: Bits an axis of the coarse grid by the number of its cells.
+BITS_SQL = """k AS (SELECT CASE WHEN n <= 256 OR n / d4 >= 256 THEN 4 WHEN n / d3 > 256 THEN 3 WHEN n / d2 > 256 THEN 2 ELSE 1 END AS bits FROM (
+  SELECT CAST(count(*) AS DOUBLE) AS n, count(DISTINCT morton >> 18) AS d4, count(DISTINCT morton >> 21) AS d3, count(DISTINCT morton >> 24) AS d2 FROM m))"""
+CELL_SQL = f"{MORTON_SQL}, {BITS_SQL}, c AS (SELECT m.*, morton >> CAST(3 * (10 - bits) AS BIGINT) AS cell FROM m, k)"
+
+
+def coded(spark: SparkSession, sf: str) -> DataFrame:
+    """E with its Morton codes."""
+    df = events(spark, sf)
+    return df.withColumn("morton", morton.morton3(F.col("x"), F.col("y"), F.col("z"), layout.bounds_of(df, E)))
+
+
+def celled(spark: SparkSession, sf: str) -> DataFrame:
+    """E with codes and coarse cells."""
+    df = coded(spark, sf)
+    return df.withColumn("cell", morton.cell(F.col("morton"), morton.coarse_bits_of(df)))
+
+
+@query(f"WITH {MORTON_SQL} SELECT pid, morton FROM m")
+def morton_code(spark: SparkSession, sf: str) -> DataFrame:
+    return coded(spark, sf).select("pid", "morton")
+
+
+@query(f"WITH {MORTON_SQL} SELECT pid, qx AS dx, qy AS dy, qz AS dz FROM m")
+def morton_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes taken apart again."""
+    x, y, z = morton.decoded(F.col("morton"))
+    return coded(spark, sf).select("pid", x.alias("dx"), y.alias("dy"), z.alias("dz"))
+
+
+@query(f"WITH {MORTON_SQL} SELECT pid, morton, row_number() OVER (ORDER BY morton, pid) AS place FROM m")
+def morton_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of each row on the curve: ranked within leading cells, shifted by the cells before."""
+    df = coded(spark, sf).withColumn("part", morton.cell(F.col("morton"), morton.COARSE_BITS))
+    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))  # 4,096 rows at most
+    inside = Window.partitionBy("part").orderBy("morton", "pid")
+    return df.withColumn("r", F.row_number().over(inside)).join(sizes, "part").select("pid", "morton", (F.col("r") + F.col("before")).alias("place"))
+
+
+@query(f"WITH {CELL_SQL} SELECT cell, count(*) AS n FROM c GROUP BY cell")
+def coarse_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return celled(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {MORTON_SQL}, h AS (SELECT 1 AS bits, morton >> 27 AS cell, z FROM m UNION ALL SELECT 2, morton >> 24, z FROM m UNION ALL SELECT 3, morton >> 21, z FROM m UNION ALL SELECT 4, morton >> 18, z FROM m)
+SELECT bits, cell, count(*) AS n, min(z) AS min_z, max(z) AS max_z FROM h GROUP BY bits, cell""")
+def cell_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of every coarse level: the finest from the rows, each coarser one from the one below it."""
+    level = coded(spark, sf).groupBy(morton.cell(F.col("morton"), 4).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+    out = level.select(F.lit(4).alias("bits"), "*")
+    for bits in (3, 2, 1):
+        level = level.groupBy(F.shiftright("cell", 3).alias("cell")).agg(F.sum("n").alias("n"), F.min("min_z").alias("min_z"), F.max("max_z").alias("max_z"))
+        out = out.unionByName(level.select(F.lit(bits).alias("bits"), "*"))
+    return out
+
+
+@query(f"WITH {CELL_SQL} SELECT cell, count(*) AS n, min(x) AS lx, max(x) AS ux, min(y) AS ly, max(y) AS uy, min(z) AS lz, max(z) AS uz FROM c GROUP BY cell")
+def cell_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return celled(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(n + a) for a in "xyz" for n, f in (("l", F.min), ("u", F.max))])
+
+
+@query(f"WITH {CELL_SQL} SELECT cell, count(*) AS n, CAST(max(level) AS INTEGER) AS max_level FROM (SELECT cell, length(bin(CAST((row_number() OVER (PARTITION BY cell ORDER BY md5(CAST(pid AS VARCHAR))) - 1) // 8 + 1 AS BIGINT))) - 1 AS level FROM c) GROUP BY cell")
+def treelet_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and deepest level by cell."""
+    return leveled(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("lod_level").alias("max_level"))
+
+
+@query(f"""WITH {CELL_SQL}, s AS (SELECT cell, min(x) AS lx, max(x) AS ux, min(y) AS ly, max(y) AS uy FROM c GROUP BY cell), g AS (SELECT lx + 0.25 * (ux - lx) AS ax, lx + 0.5 * (ux - lx) AS bx, ly + 0.25 * (uy - ly) AS ay, ly + 0.5 * (uy - ly) AS cy FROM b)
+SELECT cell FROM s, g WHERE s.lx <= bx AND s.ux >= ax AND s.ly <= cy AND s.uy >= ay""")
+def subfile_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts whose box touches a box."""
+    df = celled(spark, sf)
+    b = layout.bounds_of(df, E)
+    at = lambda i, f: b.lower[i] + f * (b.upper[i] - b.lower[i])
+    box = Box((at(0, 0.25), at(1, 0.25), b.lower[2]), (at(0, 0.5), at(1, 0.5), b.upper[2]))
+    edges = df.groupBy("cell").agg(*[f(a).alias(n + a) for n, f in (("l", F.min), ("u", F.max)) for a in "xyz"])
+    return edges.where(box.overlap(*map(F.col, ("lx", "ly", "lz", "ux", "uy", "uz")))).select("cell")
+
+
+@query(f"""WITH {BOUNDS_SQL} SELECT CAST(least(greatest(floor(2.0 * (x - lx) / (ux - lx)), 0), 1) + 2 * (least(greatest(floor(3.0 * (y - ly) / (uy - ly)), 0), 2)
+  + 3 * least(greatest(floor(2.0 * (z - lz) / (uz - lz)), 0), 1)) AS INTEGER) AS brick, count(*) AS n FROM e, b GROUP BY 1""")
+def grid_bricks(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by brick of a grid of 2 x 3 x 2; half open, so that each row is in one."""
+    df = events(spark, sf)
+    at = geometry.brick(F.col("x"), F.col("y"), F.col("z"), layout.bounds_of(df, E), (2, 3, 2))
+    return df.groupBy(at.alias("brick")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {CELL_SQL}, s AS (SELECT cell, max(x) - min(x) AS dx, (max(y) - min(y)) * 1000 AS dy, (max(z) - min(z)) * 1000 AS dz FROM c GROUP BY cell),
+f AS (SELECT *, CASE WHEN dx >= dy AND dx >= dz THEN 0 WHEN dy >= dz THEN 1 ELSE 2 END AS p, CASE WHEN dz <= dx AND dz <= dy THEN 2 WHEN dy <= dx THEN 1 ELSE 0 END AS r FROM s)
+SELECT cell, CAST(p AS VARCHAR) || CAST(3 - p - r AS VARCHAR) || CAST(r AS VARCHAR) AS axes FROM f""")
+def axis_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Axes by extent, longest first."""
+    span = lambda c, k: (F.max(c) - F.min(c)) * k
+    s = celled(spark, sf).groupBy("cell").agg((F.max("x") - F.min("x")).alias("dx"), span("y", 1000).alias("dy"), span("z", 1000).alias("dz"))
+    return s.select("cell", geometry.axis_order(F.col("dx"), F.col("dy"), F.col("dz")).alias("axes"))
+
+
+# ---- bitmaps ---------------------------------------------------------------------
+
+BIN_SQL = "CASE WHEN hi > lo THEN least(31, CAST(floor(32.0 * (v - lo) / (hi - lo)) AS INTEGER)) ELSE 0 END"
+PRICE_SQL = "r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), p AS (SELECT *, l_extendedprice AS v FROM lineitem, r)"
+
+
+def _priced(spark: SparkSession, sf: str) -> tuple[DataFrame, float, float]:
+    df = lineitem(spark, sf)
+    lo, hi = layout.attribute_ranges(df, ("l_extendedprice",))["l_extendedprice"]
+    return df, lo, hi
+
+
+@query(f"WITH {PRICE_SQL} SELECT bin, count(*) AS n FROM (SELECT {BIN_SQL} AS bin FROM p) GROUP BY bin")
+def bitmap_bin(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by bin."""
+    df, lo, hi = _priced(spark, sf)
+    return df.groupBy(bitmap.bin_of(F.col("l_extendedprice"), lo, hi).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PRICE_SQL} SELECT l_suppkey, bit_or(CAST(1 AS BIGINT) << CAST({BIN_SQL} AS BIGINT)) AS bits FROM p GROUP BY l_suppkey")
+def bitmap_node_or(spark: SparkSession, sf: str) -> DataFrame:
+    """Bitmap by group: the union of its rows' bits."""
+    df, lo, hi = _priced(spark, sf)
+    return df.groupBy("l_suppkey").agg(F.bit_or(bitmap.bit_of(F.col("l_extendedprice"), lo, hi)).alias("bits"))
+
+
+@query("""WITH r AS (SELECT l_suppkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1),
+f AS (SELECT *, least(31, greatest(0, CAST(floor(32.0 * (greatest(20000.0, lo) - lo) / (hi - lo)) AS INTEGER))) AS a, least(31, greatest(0, CAST(floor(32.0 * (least(45000.0, hi) - lo) / (hi - lo)) AS INTEGER))) AS b FROM r)
+SELECT l_suppkey, CASE WHEN 45000 < lo OR 20000 > hi THEN CAST(0 AS BIGINT) WHEN NOT hi > lo THEN CAST(1 AS BIGINT) ELSE ((CAST(1 AS BIGINT) << CAST(b - a + 1 AS BIGINT)) - 1) << CAST(a AS BIGINT) END AS mask FROM f""")
+def bitmap_query_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """The mask of one range against each group's own range."""
+    r = lineitem(spark, sf).groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    return r.select("l_suppkey", bitmap.mask_column(F.lit(20_000.0), F.lit(45_000.0), F.col("lo"), F.col("hi")).alias("mask"))
+
+
+@query("""WITH g AS (SELECT min(l_extendedprice) AS glo, max(l_extendedprice) AS ghi FROM lineitem), s AS (SELECT l_suppkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1),
+p AS (SELECT l.l_suppkey, l_extendedprice AS v, lo, hi, glo, ghi FROM lineitem l JOIN s USING (l_suppkey), g)
+SELECT l_suppkey, bit_or(CAST(1 AS BIGINT) << CAST(least(31, CAST(floor(32.0 * (v - lo) / (hi - lo)) AS INTEGER)) AS BIGINT)) AS own,
+  bit_or(CAST(1 AS BIGINT) << CAST(least(31, CAST(floor(32.0 * (v - glo) / (ghi - glo)) AS INTEGER)) AS BIGINT)) AS of_all FROM p WHERE hi > lo GROUP BY l_suppkey""")
+def bitmap_remap(spark: SparkSession, sf: str) -> DataFrame:
+    """Bitmaps in a group's own range and in the whole's: made from the rows, which is exact, not from each other."""
+    df, lo, hi = _priced(spark, sf)
+    own = df.groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi")).where("hi > lo")
+    v = F.col("l_extendedprice")
+    return df.join(own, "l_suppkey").groupBy("l_suppkey").agg(F.bit_or(bitmap.bit_of(v, F.col("lo"), F.col("hi"))).alias("own"), F.bit_or(bitmap.bit_of(v, lo, hi)).alias("of_all"))
+
+
+@query(f"WITH {PRICE_SQL}, d AS (SELECT l_orderkey, bit_or(CAST(1 AS BIGINT) << CAST({BIN_SQL} AS BIGINT)) AS bits FROM p GROUP BY 1) SELECT bits, count(*) AS uses FROM d GROUP BY bits")
+def bitmap_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Different bitmaps and how often each is used."""
+    df, lo, hi = _priced(spark, sf)
+    nodes = df.groupBy("l_orderkey").agg(F.bit_or(bitmap.bit_of(F.col("l_extendedprice"), lo, hi)).alias("bits"))
+    return nodes.groupBy("bits").agg(F.count(F.lit(1)).alias("uses"))
+
+
+@query(f"""WITH {PRICE_SQL}, d AS (SELECT l_suppkey, bit_or(CAST(1 AS BIGINT) << CAST({BIN_SQL} AS BIGINT)) AS bits FROM p GROUP BY 1)
+SELECT l_suppkey, array_to_string(list_transform(regexp_extract_all(bin(bits), '1+'), lambda s: CAST(length(s) AS VARCHAR)), ',') AS runs, CAST(bit_count(bits) AS INTEGER) AS ones, CAST(32 - length(bin(bits)) AS INTEGER) AS zeros FROM d""")
+def bitmap_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Lengths of the runs of set bits, set bits and leading zeros."""
+    nodes = bitmap_node_or(spark, sf)
+    return nodes.select("l_suppkey", F.array_join(bitmap.runs(F.col("bits")).cast("array<string>"), ",").alias("runs"), F.bit_count("bits").cast("int").alias("ones"), bitmap.leading_zeros(F.col("bits")).cast("int").alias("zeros"))
+
+
+# ---- levels of detail ------------------------------------------------------------
+
+LEVEL_SQL = f"""{CELL_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY md5(CAST(pid AS VARCHAR))) - 1 AS rn, count(*) OVER (PARTITION BY cell) AS n FROM c),
+v AS (SELECT *, CAST(length(bin(CAST(rn // 8 + 1 AS BIGINT))) - 1 AS INTEGER) AS lod_level FROM o),
+t AS (SELECT *, rn - (8 * (CAST(1 AS BIGINT) << CAST(lod_level AS BIGINT)) - 8) AS lod_idx, least(8 * (CAST(1 AS BIGINT) << CAST(lod_level AS BIGINT)), n - (8 * (CAST(1 AS BIGINT) << CAST(lod_level AS BIGINT)) - 8)) AS lod_cnt FROM v),
+x AS (SELECT *, max(lod_level) OVER () AS deepest FROM t)"""
+
+
+def leveled(spark: SparkSession, sf: str) -> DataFrame:
+    return lod.assigned(celled(spark, sf), ["cell"], "pid")
+
+
+def _delta_sql(q0: float, q1: float) -> str:
+    def edge(q: float, name: str) -> str:
+        c = f"least(deepest + 1.0, greatest(0.0, least(1.0, greatest(0.0, log10(1 + 9 * {q}))) * (deepest + 1)))"
+        return f"CAST(floor({c}) AS INTEGER) AS d{name}, {c} - floor({c}) AS f{name}"
+
+    return f"""(SELECT pid, lod_level FROM (SELECT *, {edge(q0, '0')}, {edge(q1, '1')} FROM x)
+WHERE (lod_level > d0 OR lod_level = d0 AND lod_idx >= floor(lod_cnt * f0)) AND (lod_level < d1 OR lod_level = d1 AND lod_idx < floor(lod_cnt * f1)))"""
+
+
+SERIES = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+
+
+def _delta(df: DataFrame, deepest: int, q0: float, q1: float) -> DataFrame:
+    return df.where(lod.interval(q0, q1, deepest, F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt")))
+
+
+def _deepest(df: DataFrame) -> int:
+    return df.agg(F.max("lod_level").alias("d")).first().d or 0
+
+
+@query(f"WITH {LEVEL_SQL} SELECT pid, cell, lod_level, lod_idx, lod_cnt FROM x")
+def lod_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return leveled(spark, sf).select("pid", "cell", "lod_level", "lod_idx", "lod_cnt")
+
+
+@query(f"WITH {LEVEL_SQL} SELECT pid, lod_level FROM {_delta_sql(0.1, 0.5)}")
+def progressive_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows new between two qualities."""
+    df = leveled(spark, sf)
+    return _delta(df, _deepest(df), 0.1, 0.5).select("pid", "lod_level")
+
+
+@query(f"WITH {LEVEL_SQL} " + " UNION ALL ".join(f"SELECT CAST({b} AS DOUBLE) AS quality, count(*) AS n FROM {_delta_sql(a, b)}" for a, b in zip(SERIES, SERIES[1:])))
+def progressive_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that each quality of a series adds, counted in one pass."""
+    df = leveled(spark, sf)
+    deepest = _deepest(df)
+    args = (F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt"))
+    one = df.agg(*[F.count_if(lod.interval(a, b, deepest, *args)).alias(f"q{i}") for i, (a, b) in enumerate(zip(SERIES, SERIES[1:]))])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(b).alias("quality"), F.col(f"q{i}").alias("n")) for i, b in enumerate(SERIES[1:])])).alias("r")).select("r.*")
+
+
+@query(f"WITH {LEVEL_SQL} SELECT pid FROM x")
+def progressive_union(spark: SparkSession, sf: str) -> DataFrame:
+    """The series' deltas together: the whole table, each row once."""
+    df = leveled(spark, sf)
+    deepest = _deepest(df)
+    out = None
+    for a, b in zip(SERIES, SERIES[1:]):
+        part = _delta(df, deepest, a, b).select("pid")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUALITIES = (0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+
+
+@query("SELECT CAST(q AS DOUBLE) AS quality, round(least(1.0, greatest(0.0, log10(1 + 9 * CAST(q AS DOUBLE)))), 9) AS used FROM (VALUES " + ", ".join(f"({q})" for q in QUALITIES) + ") AS t(q)")
+def quality_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(q, round(lod.remap_quality(q), 9)) for q in QUALITIES], "quality double, used double")
+
+
+@query(f"""WITH {CELL_SQL}, s AS (SELECT cell, count(*) AS n, min(z) AS lo, max(z) AS hi FROM c GROUP BY cell), g AS (SELECT lz + 0.6 * (uz - lz) AS a, lz + 0.7 * (uz - lz) AS d FROM b)
+SELECT count(*) AS cells, count(*) FILTER (hi >= a AND lo <= d) AS cells_kept, CAST(sum(n) FILTER (hi >= a AND lo <= d) AS BIGINT) AS rows_tested, (SELECT count(*) FROM c, g WHERE z BETWEEN a AND d) AS rows_returned FROM s, g""")
+def query_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells and rows that a range query keeps, tests and returns."""
+    df = celled(spark, sf)
+    b = layout.bounds_of(df, E)
+    lo, hi = (b.lower[2] + f * (b.upper[2] - b.lower[2]) for f in (0.6, 0.7))
+    cells = df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi"), F.count_if(F.col("z").between(lo, hi)).alias("hits"))
+    kept = (F.col("hi") >= lo) & (F.col("lo") <= hi)
+    return cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(kept).alias("cells_kept"), F.sum(F.when(kept, F.col("n"))).alias("rows_tested"), F.sum("hits").alias("rows_returned"))
+
+
+@query(f"WITH {CELL_SQL} SELECT count(*) * 20 AS base_bytes, count(DISTINCT cell) * 12 AS node_bytes, count(DISTINCT cell) * 2 AS bitmap_bytes, round(100.0 * count(DISTINCT cell) * 14 / (count(*) * 20), 6) AS overhead_percent FROM c")
+def overhead_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of an index of cells against those of the rows."""
+    cells = celled(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    size = ParticleSchema.of(events(spark, sf), timestep="day", attrs=("value",)).bytes_per_row()
+    one = cells.agg((F.sum("n") * size).alias("base_bytes"), (F.count(F.lit(1)) * 12).alias("node_bytes"), (F.count(F.lit(1)) * 2).alias("bitmap_bytes"))
+    return one.withColumn("overhead_percent", F.round(100.0 * (F.col("node_bytes") + F.col("bitmap_bytes")) / F.col("base_bytes"), 6))
+
+
+# ---- geometry and colour ---------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(power(greatest(10.0 - l_quantity, 0, l_quantity - 30.0), 2) + power(greatest(20000.0 - l_extendedprice, 0, l_extendedprice - 60000.0), 2)
+  + power(greatest(0.02 - l_discount, 0, l_discount - 0.06), 2)), 6) AS distance FROM lineitem""")
+def distance_to_box(spark: SparkSession, sf: str) -> DataFrame:
+    d = geometry.distance_to_box(*map(F.col, L.positions), L_BOX)
+    return lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", F.round(d, 6).alias("distance"))
+
+
+#: A view down -z from (0.5, 0.5, 3) of the unit cube: 60 degrees, square, near 0.1, far 3; rows.
+VIEW = [[1.7320508075688774, 0.0, 0.0, -0.8660254037844387], [0.0, 1.7320508075688774, 0.0, -0.8660254037844387], [0.0, 0.0, -1.0689655172413792, 3.0], [0.0, 0.0, -1.0, 3.0]]
+
+
+def _frustum_sql() -> str:
+    f, tests = Frustum.of_matrix(VIEW), []
+    for a, b, c, d in f.planes:
+        far = " + ".join(f"({n!r}) * {('u' if n >= 0 else 'l') + k}" for n, k in zip((a, b, c), "xyz"))
+        tests.append(f"{far} + ({d!r}) >= 0")
+    for i, k in enumerate("xyz"):
+        own = [p[i] for p in f.corners]
+        tests += [f"l{k} <= {max(own)!r}", f"u{k} >= {min(own)!r}"]
+    return " AND ".join(tests)
+
+
+@query(f"""WITH {CELL_SQL}, s AS (SELECT cell, {', '.join(f'(min({k}) - any_value(l{k})) / (any_value(u{k}) - any_value(l{k})) AS l{k}, (max({k}) - any_value(l{k})) / (any_value(u{k}) - any_value(l{k})) AS u{k}' for k in 'xyz')} FROM c, b GROUP BY cell)
+SELECT cell FROM s WHERE {_frustum_sql()}""")
+def frustum_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells, scaled to the unit cube, that a view may see."""
+    df = celled(spark, sf)
+    b = layout.bounds_of(df, E)
+    scaled = [((f(k) - F.lit(lo)) / F.lit(hi - lo)).alias(n + k) for k, lo, hi in zip("xyz", b.lower, b.upper) for n, f in (("l", F.min), ("u", F.max))]
+    cells = df.groupBy("cell").agg(*scaled)
+    return cells.where(Frustum.of_matrix(VIEW).may_touch(tuple(F.col(f"l{k}") for k in "xyz"), tuple(F.col(f"u{k}") for k in "xyz"))).select("cell")
+
+
+@query(f"WITH v AS ({V_SQL}) SELECT pid, round(sqrt(x * x + y * y + z * z), 6) AS magnitude FROM v")
+def magnitude(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).select("pid", F.round(color.magnitude(F.col("x"), F.col("y"), F.col("z")), 6).alias("magnitude"))
+
+
+@query(f"WITH v AS ({V_SQL}), m AS (SELECT sqrt(x * x + y * y + z * z) AS m FROM v) SELECT round(min(m), 6) AS lo, round(max(m), 6) AS hi FROM m")
+def magnitude_range(spark: SparkSession, sf: str) -> DataFrame:
+    m = color.magnitude(F.col("x"), F.col("y"), F.col("z"))
+    return vectors(spark, sf).agg(F.round(F.min(m), 6).alias("lo"), F.round(F.max(m), 6).alias("hi"))
+
+
+@query("WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT event_id, round((value - lo) / (hi - lo), 6) AS t FROM events, r")
+def normalize(spark: SparkSession, sf: str) -> DataFrame:
+    df = events(spark, sf)
+    lo, hi = layout.attribute_ranges(df, ("value",))["value"]
+    return df.select(F.col("pid").alias("event_id"), F.round(color.normalized(F.col("value"), lo, hi), 6).alias("t"))
+
+
+OPACITY = ((0.0, 0.0), (0.25, 0.01), (0.5, 0.4), (1.0, 1.0))
+
+
+@query("""WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events), t AS (SELECT event_id, (value - lo) / (hi - lo) AS t FROM events, r),
+a AS (SELECT event_id, CASE WHEN t <= 0 THEN 0.0 WHEN t < 0.25 THEN 0.0 + t * 0.04 WHEN t < 0.5 THEN 0.01 + (t - 0.25) * 1.56 WHEN t < 1 THEN 0.4 + (t - 0.5) * 1.2 ELSE 1.0 END AS alpha FROM t)
+SELECT event_id, round(alpha, 6) AS alpha FROM a WHERE alpha >= 0.02""")
+def opacity_cull(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that a transfer function leaves visible."""
+    df = events(spark, sf)
+    lo, hi = layout.attribute_ranges(df, ("value",))["value"]
+    alpha = color.opacity(color.normalized(F.col("value"), lo, hi), OPACITY)
+    return df.select(F.col("pid").alias("event_id"), alpha.alias("a")).where(color.visible(F.col("a"))).select("event_id", F.round("a", 6).alias("alpha"))
+
+
+@query("""WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events), t AS (SELECT event_id, (value - lo) / (hi - lo) AS t FROM events, r),
+l AS (SELECT event_id, CASE WHEN t <= 0.04045 THEN t / 12.92 ELSE power((t + 0.055) / 1.055, 2.4) END AS lin FROM t)
+SELECT event_id, round(lin, 6) AS linear, round(CASE WHEN lin <= 0.0031308 THEN 12.92 * lin ELSE 1.055 * power(lin, 1 / 2.4) - 0.055 END, 6) AS back FROM l""")
+def srgb_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """To linear light and back."""
+    df = events(spark, sf)
+    lo, hi = layout.attribute_ranges(df, ("value",))["value"]
+    lin = color.srgb_to_linear(color.normalized(F.col("value"), lo, hi))
+    return df.select(F.col("pid").alias("event_id"), F.round(lin, 6).alias("linear"), F.round(color.linear_to_srgb(lin), 6).alias("back"))
+
+
+@query("SELECT o_custkey, CAST(sum(n) OVER (ORDER BY o_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inclusive, CAST(sum(n) OVER (ORDER BY o_custkey ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS exclusive FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
+def prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
+    """Running totals over ordered keys: within ranges of the key, shifted by the totals of the ranges before."""
+    counts = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.expr("o_custkey div 1024"))
+    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.groupBy("part").agg(F.sum("n").alias("t")).select("part", F.coalesce(F.sum("t").over(past), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("o_custkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.col("within") + F.col("before")
+    out = counts.withColumn("within", F.sum("n").over(inside)).join(before, "part")
+    return out.select("o_custkey", total.alias("inclusive"), (total - F.col("n")).alias("exclusive"))
+
+
+# ---- partitions and time ---------------------------------------------------------
+
+
+@query()
+def subfile_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by subfile of an adaptive plan with room for a twentieth of the table each."""
+    df = events(spark, sf).drop("day")
+    schema = ParticleSchema.of(df, attrs=("value",))
+    size = max(1, df.count() // 20) * schema.bytes_per_row()
+    placed, _ = layout.planned(df, schema, layout.Options(bytes_per_subfile=size))
+    return placed.groupBy("subfile").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH e AS ({E_SQL}), t AS (SELECT pid, ntile(8) OVER (ORDER BY x, pid) - 1 AS part FROM e) SELECT CAST(part AS INTEGER) AS part, count(*) AS n FROM t GROUP BY 1")
+def subfile_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight parts of equal size along an axis: ranks from range-wise counts, no global sort in one task."""
+    df = events(spark, sf).select("pid", "x", "day")
+    past = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
+    total = df.count()
+    rank = F.row_number().over(Window.partitionBy("day").orderBy("x", "pid")) - 1
+    small, more = divmod(total, 8)
+    at = F.col("r") + F.col("before")
+    part = F.when(at < more * (small + 1), F.floor(at / (small + 1))).otherwise(more + F.floor((at - more * (small + 1)) / max(1, small)))
+    return df.withColumn("r", rank).join(sizes, "day").groupBy(part.cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH e AS ({E_SQL}) SELECT day AS timestep, count(*) AS n, min(z) AS min_z, max(z) AS max_z FROM e GROUP BY day")
+def timestep_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).groupBy(F.col("day").alias("timestep")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+
+
+@query(f"WITH e AS ({E_SQL}), d AS (SELECT min(day) AS d FROM e) SELECT DISTINCT CAST(y AS BIGINT) AS user_id FROM e, d WHERE day = d + 1 EXCEPT SELECT CAST(y AS BIGINT) FROM e, d WHERE day = d")
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Users of the second day that the first has not."""
+    df = events(spark, sf)
+    first = df.agg(F.min("day").alias("d")).first().d
+    users = lambda day: df.where(F.col("day") == day).select(F.col("y").cast("long").alias("user_id"))
+    return users(first + 1).distinct().join(users(first), "user_id", "left_anti")
+
+
+# ---- rows only: procedural or random ---------------------------------------------
+
+
+@query()
+def kd_treelets(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of k-d treelets, by cell."""
+    df = layout.with_cells(events(spark, sf).withColumn("subfile", F.lit(0)), E)
+    keys = ParticleSchema.of(df, attrs=("value",))
+    return layout.built(df, keys).groupBy("cell", "lod_level").agg(F.count(F.lit(1)).alias("n"), F.max("lod_cnt").alias("largest"))
+
+
+@query()
+def split_planes(spark: SparkSession, sf: str) -> DataFrame:
+    df = layout.with_cells(events(spark, sf).withColumn("subfile", F.lit(0)), E)
+    return layout.split_planes(df, E)
+
+
+UNIT = Box((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
+
+
+def _octants(df: DataFrame, name: str) -> DataFrame:
+    side: Callable[[str], Column] = lambda c: (F.col(c) >= 0.5).cast("int")
+    return df.groupBy((side("x") + 2 * side("y") + 4 * side("z")).alias("octant")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "octant", "n")
+
+
+@query()
+def generated(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by octant of every generator of positions."""
+    n = 20_000
+    made = {
+        "uniform": generators.uniform(spark, n, UNIT, 1), "linear": generators.linear_gradient(spark, n, UNIT, 1), "exponential": generators.exponential_gradient(spark, n, UNIT, 1),
+        "spheres": generators.spheres(spark, n, 5, UNIT, 1), "cut_box": generators.cut_box(spark, n, UNIT, (0.5, 0.5, 0.5), 1),
+    }
+    out = None
+    for name, df in made.items():
+        part = _octants(df, name)
+        out = part if out is None else out.unionByName(part)
+    return out
