@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointlake.functions import bitmap, lod
 from pointlake.functions.geometry import Box
@@ -42,7 +43,8 @@ class ParticleTable:
         info = json.loads(spark.read.text(f"{path}/_info", wholetext=True).first().value)
         schema = ParticleSchema.from_json(json.dumps(info["schema"]))
         ranges = {a: tuple(r) for a, r in info["ranges"].items()}
-        return cls(spark.read.parquet(f"{path}/data"), schema, spark.read.parquet(f"{path}/subfiles"), spark.read.parquet(f"{path}/nodes"), ranges)
+        read = lambda part: spark.read.schema(T.StructType.fromJson(json.loads(info["kinds"][part]))).parquet(f"{path}/{part}")
+        return cls(read("data"), schema, read("subfiles"), read("nodes"), ranges)
 
     @property
     def attributes(self) -> tuple[str, ...]:

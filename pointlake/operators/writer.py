@@ -80,17 +80,21 @@ class ParticleWriter:
         timed("build and write", lambda: out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "subfile").parquet(f"{path}/data"))
 
         def describe():
-            data = spark.read.parquet(f"{path}/data")
+            # the schema is given: an empty table has no file to take it from
+            data = spark.read.schema(out.schema).parquet(f"{path}/data")
             ranges = layout.attribute_ranges(data, schema.attrs)
-            layout.node_table(data, schema, ranges).coalesce(8).write.mode("overwrite").parquet(f"{path}/nodes")
-            nodes = spark.read.parquet(f"{path}/nodes")
+            found = layout.node_table(data, schema, ranges)
+            found.coalesce(8).write.mode("overwrite").parquet(f"{path}/nodes")
+            nodes = spark.read.schema(found.schema).parquet(f"{path}/nodes")
             aggs = [F.sum("n").alias("n"), F.max("max_level").alias("max_level"), *[F.min(c).alias(c) for c in ("lx", "ly", "lz")], *[F.max(c).alias(c) for c in ("ux", "uy", "uz")]]
             for a in schema.attrs:
                 aggs += [F.min(f"min_{a}").alias(f"min_{a}"), F.max(f"max_{a}").alias(f"max_{a}"), F.bit_or(f"bits_{a}").alias(f"bits_{a}")]
-            nodes.groupBy(*keys, "subfile").agg(*aggs).coalesce(1).write.mode("overwrite").parquet(f"{path}/subfiles")
-            info = {"schema": json.loads(schema.to_json()), "ranges": {a: [None if v is None else float(v) for v in r] for a, r in ranges.items()}, "splits": [[s.axis, s.position, *s.lower, *s.upper] for s in plan.splits]}
+            files = nodes.groupBy(*keys, "subfile").agg(*aggs)
+            files.coalesce(1).write.mode("overwrite").parquet(f"{path}/subfiles")
+            kinds = {"data": out.schema.json(), "nodes": found.schema.json(), "subfiles": files.schema.json()}
+            info = {"schema": json.loads(schema.to_json()), "kinds": kinds, "ranges": {a: [None if v is None else float(v) for v in r] for a, r in ranges.items()}, "splits": [[s.axis, s.position, *s.lower, *s.upper] for s in plan.splits]}
             spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_info")
-            return spark.read.parquet(f"{path}/subfiles").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s")).first()
+            return spark.read.schema(files.schema).parquet(f"{path}/subfiles").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s")).first()
 
         got = timed("metadata", describe)
         report.rows, report.subfiles = got.n or 0, got.s

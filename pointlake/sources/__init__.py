@@ -1,0 +1 @@
+"""Readers and writers of particle files; each returns or takes a DataFrame."""
