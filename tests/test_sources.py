@@ -88,3 +88,40 @@ def test_vtu(spark, tmp_path):
         (tmp_path / f"{i}.vtu").write_bytes(content)
         got = xml.read_vtu(spark, str(tmp_path / f"{i}.vtu")).orderBy("pid").collect()
         assert [tuple(r)[1:] for r in got] == [(0, 0, 1, 2, 3, 0, 1), (1, 3, 4, 5, 4, 2, 3)]
+
+
+def tree_bytes(parts, extra=None):
+    """A tree file of treelets (points, values) with one inner node over two leaves each."""
+    info = {"num_nodes": 1, "num_treelets": len(parts), "bitmap_dict_size": 1, "num_points": sum(len(p) for p, _ in parts), "num_lod_prims": 2, "min_lod": 1, "max_lod": 2, "attributes": [{"name": "a", "dtype": 5, "range": [0, 1]}], **(extra or {})}
+    coarse = bytes(16) + b"@" * 8 * len(parts) + bytes(4) + bytes(2) + bytes(8 if extra else 0)
+    blobs, offsets, at = [], [], len(coarse)
+    for points, values in parts:
+        pad = -at % 4096
+        n = len(points)
+        half = 2 + (n - 2) // 2
+        nodes = struct.pack("<9I", 0, 2 << 2 | 0, 0, 2, half - 2 << 2 | 3, 0xFFFFFFFF, half, n - half << 2 | 3, 0xFFFFFFFF)
+        blob = struct.pack("<II", 3, n) + nodes + bytes(3 * (2 + (8 if extra else 0))) + points.astype("<f4").tobytes() + values.astype("<i4").tobytes()
+        offsets.append(at + pad)
+        blobs.append(bytes(pad) + blob)
+        at += pad + len(blob)
+    head = json.dumps(info).encode()
+    start = 8 + len(head)
+    coarse = coarse.replace(b"@" * 8 * len(parts), struct.pack(f"<{len(parts)}Q", *offsets))
+    return struct.pack("<Q", len(head)) + head + bytes(-start % 4096) + coarse + b"".join(blobs)
+
+
+@pytest.mark.parametrize("extra", [None, {"has_ranges": True}])
+def test_tree_files(spark, tmp_path, extra):
+    from pointlake.sources import tree
+
+    rng = np.random.default_rng(0)
+    parts = [(rng.random((n, 3)).astype(np.float32), np.arange(n) + 100 * n) for n in (7, 12)]
+    (tmp_path / "run0.bat").write_bytes(tree_bytes(parts, extra))
+    (tmp_path / "run2.bat").write_bytes(tree_bytes(parts[:1], extra))
+    head = json.dumps({"bat_prefix": "run", "num_aggregators": 3}).encode()
+    (tmp_path / "all.pbat").write_bytes(struct.pack("<Q", len(head)) + head)
+    got = tree.open_tree(spark, str(tmp_path / "run0.bat")).orderBy("pid").collect()
+    want = [(t, *map(float, p), int(v)) for t, (points, values) in enumerate(parts) for p, v in zip(points, values)]
+    assert [(r.treelet, r.x, r.y, r.z, r.a) for r in got] == want
+    assert [r.lod_level for r in got[:7]] == [0, 0, 1, 1, 1, 1, 1]
+    assert tree.open_tree(spark, str(tmp_path / "all.pbat")).count() == 26
