@@ -7,6 +7,7 @@ intermediate results go to the folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -60,9 +61,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder; its lineage ends there.
+
+    A written table, not ``checkpoint()``: a checkpoint keeps the size estimates of
+    the plan it cut, which joins multiply, so that in a loop they grow to numbers
+    that fill the driver's memory. A table has the size of its files, by which
+    Spark then chooses its joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_column(
