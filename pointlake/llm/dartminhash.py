@@ -10,14 +10,16 @@ probability, and a text costs its shingles plus about K log K darts, not their p
 Texts with equal shingle sets are one *text class member* from the start, so that exact
 copies never meet in a join. Signatures are cut into bands; texts that share a band are
 candidates (at similarity 0.8 all bands miss with probability 3e-6). Pairs are not
-expanded within a band: its members are tested against a leader, what is verified is
-merged, and only bands that still hold several components go on, with twice as many
-leaders each round and pairs of *different* components only, until every such pair has
-been tested. Nothing is capped; large groups are settled by their first leaders.
+expanded within a band: its members are tested against its leader, the text that shares
+bands with most others, and what is verified is merged. Bands that still hold several
+components tie these into groups; a group is cut into blocks of bounded size, and two
+blocks at a time are compared in a task, which tests pairs of *different* components
+that share a band and returns only the links that join components. Nothing is capped:
+large clouds of copies are settled by their leaders, and what is left is tested in full.
 
 A candidate pair must pass three tests: set sizes allow the similarity, the signatures
-(one byte a coordinate) agree within six standard deviations of it, and the shingle
-sets themselves (40-bit hashes) reach it. Sets are made again, in a second pass over
+(one byte a coordinate) agree within four standard deviations of it, and the shingle
+sets themselves (64-bit hashes) reach it. Sets are made again, in a second pass over
 the texts, for candidates only; a bitmap of fixed size tells the scan which rows to
 send, so the texts themselves are never shuffled. All tables between rounds are kept in
 the shared folder.
@@ -43,19 +45,21 @@ from pointlake.llm.common import chunks, cut, fresh, map_column, ranked, read_ta
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Darts expected per text; all coordinates are then hit but for 2 texts in 100, which get more.
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 4))
-#: Coordinates that agree at least, six standard deviations below what THRESHOLD gives.
-AGREE = int(COORDINATES * THRESHOLD - 6 * (COORDINATES * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
-#: Bits of the map of candidate rows, 16 MB; more candidates than bits only let more rows through.
+#: Standard deviations below what a threshold gives that signatures may agree less: 3 pairs in 100,000 at the threshold.
+SLACK = 4.0
+#: Bits of the map of candidate rows at most, 16 MB; more candidates than bits only let more rows through.
 MAP_BITS = 27
-SET_BYTES = 5
+#: Texts of a block: two blocks are compared at a time.
+BLOCK = 512
 
 U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
-_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 20)]))
+#: Darts of a cell by the first 16 bits of its hash: Poisson, mean 1.
+_POISSON = np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod([1, *range(1, 20)])), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,7 +78,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return out
@@ -115,21 +119,26 @@ def throw(elements: np.ndarray, weights: np.ndarray, first: int, last: int) -> t
     The field is cut into cells of one unit of weight and one of rank; a cell's
     hash gives its number of darts (Poisson, mean 1) and their places.
     """
-    units = np.ceil(weights).astype(np.int64)
-    unit = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
-    top = np.repeat(weights, units)
+    whole = bool((weights == 1).all())
+    span = np.arange(first + 1, last + 1, dtype=U)
     with np.errstate(over="ignore"):
-        base = mix(np.repeat(elements, units) + unit.astype(U) * _ODD[1])
-        cells = mix(base[:, None] + np.arange(first + 1, last + 1, dtype=U)[None, :] * _ODD[2])
-        many = np.searchsorted(_POISSON, uniform(cells), side="right")
-        ids, ranks = [], []
-        for j in range(int(many.max(initial=0))):
-            at, of = np.nonzero(many > j)
-            dart = mix(cells[at, of] + U(j + 1) * _ODD[3])
-            hit = unit[at] + uniform(mix(dart + _ODD[4])) < top[at]
-            ids.append(dart[hit])
-            ranks.append(of[hit] + first + uniform(mix(dart[hit] + _ODD[0])))
-    return (np.concatenate(ids), np.concatenate(ranks)) if ids else (np.empty(0, U), np.empty(0))
+        if whole:
+            base, unit, top = mix(elements), None, None
+        else:
+            units = np.ceil(weights).astype(np.int64)
+            unit = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
+            top = np.repeat(weights, units)
+            base = mix(np.repeat(elements, units) + unit.astype(U) * _ODD[1])
+        cells = mix((base[:, None] + span * _ODD[2]).ravel())
+        many = _POISSON[(cells >> U(48)).astype(np.int64)]
+        of = np.repeat(np.arange(len(cells)), many)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        darts = mix(cells[of] + (nth + 1).astype(U) * _ODD[3])
+        if not whole:
+            at = of // len(span)
+            hit = unit[at] + uniform(mix(darts + _ODD[4])) < top[at]
+            darts, of = darts[hit], of[hit]
+        return darts, of % len(span) + first + uniform(mix(darts + _ODD[0]))
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES, darts: int = DARTS) -> np.ndarray:
@@ -141,13 +150,11 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES, d
     first, last = 0, max(1, int(np.ceil(darts / total)))
     while True:
         ids, ranks = throw(elements, weights, first, last)
-        order = np.argsort(-ranks, kind="stable")
-        ids, ranks = ids[order], ranks[order]
         at = (ids % U(k)).astype(np.int64)
-        found, best = out.copy(), np.full(k, np.inf)
-        found[at], best[at] = ids, ranks  # the last one written is the lowest
-        better = best < lowest
-        out[better], lowest[better] = found[better], best[better]
+        before = lowest.copy()
+        np.minimum.at(lowest, at, ranks)
+        won = (ranks == lowest[at]) & (ranks < before[at])
+        out[at[won]] = ids[won]
         if np.isfinite(lowest).all():
             return out
         first, last = last, 2 * last
@@ -160,23 +167,13 @@ def bands(sig: np.ndarray) -> np.ndarray:
         return mix(sums + np.arange(1, BANDS + 1, dtype=U) * _ODD[2]).view(np.int64)
 
 
-def packed(elements: np.ndarray) -> bytes:
-    return np.unique(elements & U((1 << 8 * SET_BYTES) - 1)).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    return out.reshape(-1).view(U)
-
-
 def set_key(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
 def with_signatures(df: DataFrame, text_col: str, weighting: str, out: str) -> DataFrame:
     """``df`` with a struct: key of the shingle set, its size, hashes of the bands, bytes of the signature."""
-    kind = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    kind = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -185,98 +182,167 @@ def with_signatures(df: DataFrame, text_col: str, weighting: str, out: str) -> D
                 for text in texts:
                     elements, weights = weighted(text, weighting)
                     sig = signature(elements, weights)
-                    rows.append((set_key(elements), len(elements), bands(sig) if len(elements) else [], (sig & U(255)).astype(np.uint8).tobytes()))
+                    rows.append((set_key(elements), len(elements), bands(sig) if len(elements) else [], (sig & U(255)).astype(np.uint8).view(np.int8)))
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], fields=list(kind)) if rows else pa.array([], kind)
 
-    return map_column(df, text_col, run, "key binary, n int, bands array<long>, sketch binary", out)
+    return map_column(df, text_col, run, "key binary, n int, bands array<long>, sketch array<tinyint>", out)
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A map of the hashes ``h`` as 64-bit words; its size is fixed by MAP_BITS."""
-    word = F.shiftrightunsigned(F.col("h"), 64 - MAP_BITS)
-    cells = ids.select(F.shiftright(word, 6).cast("int").alias("w"), F.expr("shiftleft(1L, int(shiftrightunsigned(h, %d) & 63))" % (64 - MAP_BITS)).alias("b"))
+def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A map of the hashes ``h`` as 64-bit words, and its bits: 32 or so a hash, but MAP_BITS at most."""
+    bits = min(MAP_BITS, max(10, ids.count().bit_length() + 5))
+    word = F.shiftrightunsigned(F.col("h"), 64 - bits)
+    cells = ids.select(F.shiftright(word, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))").alias("b"))
     got = cells.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
-    return out.view(U)
+    return out.view(U), bits
 
 
 def _sets(docs: DataFrame, text_col: str, id_hash: str, wanted: DataFrame, weighting: str) -> DataFrame:
     """(key, set) of the rows whose ``id_hash`` is in the map of ``wanted``; one row a key."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
-    schema = pa.schema([("key", pa.binary()), ("set", pa.binary())])
+    words, bits = _bitmap(wanted)
+    bitmap = docs.sparkSession.sparkContext.broadcast(words)
+    schema = pa.schema([("key", pa.binary()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bitmap.value
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(U) >> U(64 - MAP_BITS)
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(U) >> U(64 - bits)
             found = (words[(h >> U(6)).astype(np.int64)] >> (h & U(63))) & U(1)
             rows = []
             for texts in chunks(batch.column(1).filter(pa.array(found.astype(bool)))):
                 for text in texts:
                     elements, _ = weighted(text, weighting)
-                    rows.append((set_key(elements), packed(elements)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], schema=schema)
+                    rows.append((set_key(elements), elements.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    rows = docs.select(F.col(id_hash).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, "key binary, set binary")
+    rows = docs.select(F.col(id_hash).alias("h"), F.col(text_col).alias("t")).mapInArrow(run, "key binary, set array<long>")
     return rows.groupBy("key").agg(F.first("set").alias("set"))
 
 
-def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
-    left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, COORDINATES) for x in (a, b))
-    return pa.array((left == right).sum(axis=1).astype(np.int32))
-
-
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    out, held = [], (None, None)
-    for x, y in zip(a, b):
-        raw = x.as_py()
-        if raw != held[0]:
-            held = (raw, unpacked(raw))
-        other = unpacked(y.as_py())
-        same = len(np.intersect1d(held[1], other, assume_unique=True))
-        out.append(same / max(1, len(held[1]) + len(other) - same))
-    return pa.array(out, pa.float64())
-
-
-_agreeing.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-_similarity.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+def agree_least(threshold: float) -> int:
+    """Coordinates in which signatures of texts at ``threshold`` agree but for chance."""
+    mean = COORDINATES * threshold
+    return int(mean - SLACK * (mean * (1 - threshold)) ** 0.5)
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of keys whose sets reach ``threshold``."""
-    agree, similar = F.arrow_udf(_agreeing, "int").asNondeterministic(), F.arrow_udf(_similarity, "double").asNondeterministic()
-    least = int(COORDINATES * threshold - (COORDINATES * THRESHOLD - AGREE))
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    both = F.size(F.array_intersect("ta", "tb"))
+    similarity = both / (F.size("ta") + F.size("tb") - both)
     side = lambda df, k, v, name: df.select(F.col("key").alias(k), F.col(v).alias(name))
-    near = pairs.join(side(sketches, "b", "sketch", "sb"), "b").join(side(sketches, "a", "sketch", "sa"), "a").select("a", "b", agree("sa", "sb").alias("same")).where(F.col("same") >= least).select("a", "b")
-    both = near.join(side(sets, "b", "set", "tb"), "b").join(side(sets, "a", "set", "ta"), "a")
-    return both.select("a", "b", similar("ta", "tb").alias("s")).where(F.col("s") >= threshold).select("a", "b")
+    near = pairs.join(side(sketches, "b", "sketch", "sb"), "b").join(side(sketches, "a", "sketch", "sa"), "a").where(same >= agree_least(threshold)).select("a", "b")
+    exact = near.join(side(sets, "b", "set", "tb"), "b").join(side(sets, "a", "set", "ta"), "a")
+    return exact.where(similarity >= threshold).select("a", "b")
+
+
+def compared(table: pa.Table, threshold: float) -> tuple[list[bytes], list[bytes]]:
+    """Links between different components among the texts of two blocks (or within one).
+
+    Pairs that share a band are taken by how much their signatures agree, and
+    tested exactly unless links found before have made them one component: as
+    many links come out as components were joined, never all pairs.
+    """
+    keys, side, n = table.column("key").to_pylist(), table.column("side").to_numpy(), table.column("n").to_numpy()
+    _, comp = np.unique(np.array([c.hex() for c in table.column("comp").to_pylist()]), return_inverse=True)
+    matrix = lambda name, kind, width: table.column(name).combine_chunks().flatten().to_numpy().astype(kind).reshape(-1, width)
+    band, sketch = matrix("bands", np.int64, BANDS), matrix("sketch", np.int8, COORDINATES)
+    sets = table.column("set").combine_chunks()
+    root = list(range(int(comp.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    one = bool((side == 2).all())
+    left, right = (np.arange(len(keys)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    found: list[np.ndarray] = []
+    for i in range(0, len(left), 64):
+        rows = left[i : i + 64]
+        may = (comp[rows][:, None] != comp[right][None, :]) & (np.minimum(n[rows][:, None], n[right][None, :]) >= threshold * np.maximum(n[rows][:, None], n[right][None, :]))
+        if one:
+            may &= rows[:, None] < right[None, :]
+        x, y = np.nonzero(may)
+        if not len(x):
+            continue
+        x, y = rows[x], right[y]
+        met = np.zeros(len(x), bool)
+        for j in range(BANDS):
+            met |= band[x, j] == band[y, j]
+        x, y = x[met], y[met]
+        same = (sketch[x] == sketch[y]).sum(axis=1)
+        near = same >= agree_least(threshold)
+        found.append(np.stack([-same[near], x[near], y[near]], axis=1))
+    a, b, held = [], [], {}
+
+    def of(i: int) -> frozenset:
+        if i not in held:
+            held[i] = frozenset(sets[i].as_py())
+        return held[i]
+
+    pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+    for _, x, y in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
+        p, q = find(int(comp[x])), find(int(comp[y]))
+        if p != q:
+            both = len(of(x) & of(y))
+            if both >= threshold * (len(of(x)) + len(of(y)) - both):
+                root[p] = q
+                a.append(keys[x])
+                b.append(keys[y])
+    return a, b
+
+
+def block_links(rest: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among ``rest`` (group, key, comp, n, bands, sketch, set): all pairs that could be one, in blocks.
+
+    A component that fills a block has blocks of its own, and two of its blocks
+    are never compared; small ones share blocks. A row is copied once for each
+    block that its own is compared with.
+    """
+    sizes = rest.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("size"))
+    ids = rest.select("group", "key", "comp").join(sizes, ["group", "comp"])
+    ids = ids.select("group", "key", F.when(F.col("size") >= BLOCK, F.col("comp")).otherwise(F.lit(b"")).alias("own"))
+    placed = cut(ranked(ids, ["group", "own"], [F.col("key")], F.xxhash64("key"), 16, "r").select("group", "key", F.struct("own", F.floor(F.col("r") / BLOCK).alias("part")).alias("block")))
+    blocks = placed.select("group", "block").distinct()
+    other = blocks.select("group", F.col("block").alias("with"))
+    alone = (F.col("block.own") == F.col("with.own")) & (F.col("block.own") != F.lit(b""))
+    pairs = blocks.join(other, "group").where((F.col("block") <= F.col("with")) & ~alone)
+    equal = F.col("block") == F.col("with")
+    sent = pairs.select("group", "block", "with", "block", F.when(equal, F.lit(2)).otherwise(F.lit(0)).alias("side")).toDF("group", "first", "second", "block", "side")
+    sent = sent.unionByName(pairs.where(~equal).select("group", "block", "with", "with", F.lit(1).alias("side")).toDF("group", "first", "second", "block", "side"))
+    rows = rest.join(placed, ["group", "key"]).join(sent, ["group", "block"]).drop("block")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(x, pa.binary()) for x in compared(table, threshold)], schema=schema)
+
+    return rows.groupBy("group", "first", "second").applyInArrow(run, "a binary, b binary")
 
 
 def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """``comps`` (key, comp) after joining what ``edges`` (a, b) link; both are kept tables.
 
-    Components hook onto their smallest neighbour, pointers jump to their ends, and
-    edges within a component drop out; each pass at least halves the components
-    that still have an edge.
+    Components hook onto their smallest neighbour, pointers jump four steps on,
+    links are rewritten, and those within a component drop out. A pointer that
+    has not reached its end still has its link there, which the next pass takes.
     """
     def between(e: DataFrame, c: DataFrame) -> DataFrame:
-        e = e.join(c.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a").join(c.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b")
-        return e.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        e = e.join(c.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a", "left").join(c.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        e = e.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+        return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     links = cut(between(edges, comps))
     while not links.isEmpty():
-        ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-        hook = cut(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("comp"), "to"))
-        while True:
-            step = hook.alias("x").join(hook.select(F.col("comp").alias("to"), F.col("to").alias("end")), "to")
-            step = cut(step.select("comp", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
-            hook = step.select("comp", "to")
-            if step.where("moved").isEmpty():
-                break
+        hook = cut(links.groupBy("b").agg(F.min("a").alias("to")).select(F.col("b").alias("comp"), "to"))
+        for _ in range(2):
+            on = hook.select(F.col("comp").alias("to"), F.col("to").alias("end"))
+            hook = hook.join(on, "to", "left").select("comp", F.coalesce("end", "to").alias("to"))
+        hook = cut(hook)
         comps = cut(comps.join(hook, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp")))
-        over = hook.select(F.col("comp").alias("key"), F.col("to").alias("comp"))
-        links = cut(between(links, over))
+        links = cut(between(links, hook.select(F.col("comp").alias("key"), F.col("to").alias("comp"))))
     return comps
 
 
@@ -295,27 +361,31 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thr
     texts = cut(signed.groupBy("key").agg(first, F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
     members = texts.select(F.explode("bands").alias("bucket"), "key", "n")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    members = cut(ranked(members.join(shared, "bucket"), ["bucket"], [F.col("key")], F.xxhash64("key"), 16, "rank"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = cut(members.join(shared, "bucket"))
     comps = cut(members.select("key").distinct().select("key", F.col("key").alias("comp")))
-    sketches = sets = None
-    t = 0
-    while True:
-        now = members.join(comps, "key")
-        several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("last")).where((F.col("lo") != F.col("hi")) & (F.col("last") > 2**t - 1)).select("bucket")
-        now = cut(now.join(several, "bucket"))
-        if now.isEmpty():
-            break
-        if sets is None:
-            sketches = cut(texts.join(comps.select("key"), "key").select("key", "sketch"))
-            wanted = texts.join(comps.select("key"), "key").select(F.col("first.h").alias("h"))
-            sets = cut(_sets(own, "text", h, wanted, weighting))
-        lead = now.where(F.col("rank").between(2**t - 1, 2 ** (t + 1) - 2)).select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        fits = (F.least("n", "na") >= threshold * F.greatest("n", "na")) & (F.col("comp") != F.col("ca")) & (F.col("rank") > F.col("ra"))
-        pairs = now.join(lead, "bucket").where(fits).select("a", F.col("key").alias("b")).distinct()
-        comps = merged(comps, cut(verified(pairs, sketches, sets, threshold)))
-        members = now.select("bucket", "key", "n", "rank")
-        t += 1
+    known = cut(texts.select("key", "sketch", "bands", F.col("first.h").alias("h")).join(comps.select("key"), "key"))
+    sets = cut(_sets(own, "text", h, known, weighting))
+
+    # every text of a band against its leader, the one that shares most with others: the middle of a cloud of copies
+    degree = members.groupBy("key").agg(F.sum("m").alias("degree"))
+    lead = members.join(degree, "key").groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), "key", "n")).alias("lead"))
+    met = members.join(lead, "bucket").where(F.col("key") != F.col("lead.key"))
+    fits = F.least("n", "lead.n") >= threshold * F.greatest("n", "lead.n")
+    pairs = met.where(fits).select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct()
+    comps = merged(comps, cut(verified(pairs, known, sets, threshold)))
+
+    # bands that still hold several components tie these into groups, whose blocks are compared
+    now = cut(members.join(comps, "key").select("bucket", "key", "n", "comp"))
+    several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    ties = now.join(several, "bucket").where("comp <> lo").select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct()
+    ties = cut(ties)
+    if not ties.isEmpty():
+        nodes = ties.select(F.col("a").alias("key")).union(ties.select("b")).distinct()
+        groups = merged(cut(nodes.select("key", F.col("key").alias("comp"))), ties).select(F.col("key").alias("comp"), F.col("comp").alias("group"))
+        rest = now.join(several.select("bucket"), "bucket", "left_semi").select("key", "comp", "n").distinct().join(groups, "comp")
+        rest = rest.join(known.select("key", "bands", "sketch"), "key").join(sets, "key")
+        comps = merged(comps, cut(block_links(cut(rest), threshold)))
 
     of = texts.join(comps, "key", "left").select("key", "first", "rows", F.coalesce("comp", "key").alias("comp"))
     heads = of.groupBy("comp").agg(F.min("first").alias("head"), F.sum("rows").alias("class_size"))
