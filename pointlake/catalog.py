@@ -537,7 +537,7 @@ def subfile_balance(spark: SparkSession, sf: str) -> DataFrame:
     df = events(spark, sf).drop("day")
     schema = ParticleSchema.of(df, attrs=("value",))
     size = max(1, df.count() // 20) * schema.bytes_per_row()
-    placed, _ = layout.planned(df, schema, layout.Options(bytes_per_subfile=size))
+    placed, _, _ = layout.planned(df, schema, layout.Options(bytes_per_subfile=size))
     return placed.groupBy("subfile").agg(F.count(F.lit(1)).alias("n"))
 
 

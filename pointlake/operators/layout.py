@@ -25,13 +25,17 @@ from pointlake.schema import ParticleSchema
 LEAF_ROWS, MOST_BLOCK_BITS = 128, 6
 
 
-def bounds_of(df: DataFrame, schema: ParticleSchema) -> Box:
-    """The box of all finite positions; empty without rows."""
+def bounds_and_rows(df: DataFrame, schema: ParticleSchema) -> tuple[Box, int]:
+    """The box of all positions that are numbers (empty without any), and the number of rows."""
     parts = [f(F.when(~F.isnan(c), F.col(c))).alias(f"{n}{i}") for i, c in enumerate(schema.positions) for n, f in (("l", F.min), ("u", F.max))]
-    r = df.agg(*parts).first()
+    r = df.agg(F.count(F.lit(1)).alias("n"), *parts).first()
     if r.l0 is None or r.l1 is None or r.l2 is None:
-        return Box()
-    return Box((float(r.l0), float(r.l1), float(r.l2)), (float(r.u0), float(r.u1), float(r.u2)))
+        return Box(), r.n
+    return Box((float(r.l0), float(r.l1), float(r.l2)), (float(r.u0), float(r.u1), float(r.u2))), r.n
+
+
+def bounds_of(df: DataFrame, schema: ParticleSchema) -> Box:
+    return bounds_and_rows(df, schema)[0]
 
 
 def attribute_ranges(df: DataFrame, attrs: tuple[str, ...]) -> dict[str, tuple]:
@@ -59,36 +63,50 @@ def block_bits(rows: int, most: int) -> int:
     return min(MOST_BLOCK_BITS, max(2, math.ceil(math.log2(max(1, 8 * rows / most)) / 3)))
 
 
-def planned(df: DataFrame, schema: ParticleSchema, options: Options, bounds: Box | None = None) -> tuple[DataFrame, partition.Plan]:
-    """``df`` with ``subfile``, and the plan.
+def planned(df: DataFrame, schema: ParticleSchema, options: Options, bounds: Box | None = None) -> tuple[DataFrame, partition.Plan, DataFrame]:
+    """``df`` with ``subfile``, the plan, and the subfiles' boxes (one row each, from the histogram).
 
     Blocks above a subfile's capacity are cut into finer ones before planning
     (only their rows are counted again), so that a hot spot becomes many blocks.
     """
     most = partition.capacity(options.bytes_per_subfile, schema.bytes_per_row())
-    corners = [F.min(c).cast("double").alias(f"c{i}") for i, c in enumerate(schema.positions)]
+    corners = [f(F.when(~F.isnan(c), F.col(c))).cast("double").alias(f"{n}{i}") for i, c in enumerate(schema.positions) for n, f in (("l", F.min), ("u", F.max))]
+
+    def counted(rows: DataFrame, block: Column) -> dict:
+        return {r.b: r for r in rows.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), *corners).collect()}
+
     if options.block_column:
         block: Column = F.col(options.block_column).cast("long")
+        found = counted(df, block)
     else:
-        bounds = bounds or bounds_of(df, schema)
+        bounds, rows = (bounds, df.count()) if bounds else bounds_and_rows(df, schema)
         code = morton.morton3(*map(F.col, schema.positions), bounds) if not bounds.empty else F.lit(0).cast("long")
-        bits = block_bits(df.count(), most)
-        coarse = morton.cell(code, bits)
-        fine = min(morton.BITS, bits + 3)
-        heavy = [r.b for r in df.groupBy(coarse.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()]
-        # finer ids come after all coarse ones
-        block = F.when(coarse.isin(heavy), morton.cell(code, fine) + (1 << 3 * morton.BITS)).otherwise(coarse) if heavy else coarse
-    counted = df.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), *corners).collect()
-    blocks = [partition.Block(r.b, tuple(0.0 if v is None else v for v in (r.c0, r.c1, r.c2)), r.n) for r in sorted(counted, key=lambda r: (r.b is None, r.b))]
+        bits = block_bits(rows, most)
+        block = morton.cell(code, bits)
+        found = counted(df, block)
+        heavy = [b for b, r in found.items() if r.n > most and b is not None]
+        if heavy and bits < morton.BITS:
+            # only rows of blocks above a subfile's size are counted again; finer ids come after all coarse ones
+            fine = morton.cell(code, min(morton.BITS, bits + 3)) + (1 << 3 * morton.BITS)
+            found = {b: r for b, r in found.items() if b not in set(heavy)} | counted(df.where(block.isin(heavy)), fine)
+            block = F.when(block.isin(heavy), fine).otherwise(block)
+    blocks = [partition.Block(b, tuple(0.0 if v is None else v for v in (r.l0, r.l1, r.l2)), r.n) for b, r in sorted(found.items(), key=lambda x: (x[0] is None, x[0]))]
     if options.fixed_subfiles:
         plan = partition.fixed(blocks, options.fixed_subfiles)
     else:
         plan = partition.adaptive(blocks, most, options.find_best_axis, options.imbalance, options.overfull)
+    edges = []
+    for n, leaf in enumerate(plan.leaves):
+        ends = [(f"{side}{i}", pick) for i in range(3) for side, pick in (("l", min), ("u", max))]
+        values = {name: [v for b in leaf if (v := found[b.id][name]) is not None] for name, _ in ends}
+        edges.append((n, *[pick(values[name]) if values[name] else None for name, pick in ends]))
+    spark = df.sparkSession
+    boxes = spark.createDataFrame(edges or [(0, *[None] * 6)], "subfile int, __l0 double, __u0 double, __l1 double, __u1 double, __l2 double, __u2 double")
     if len(plan.leaves) <= 1:
-        return df.withColumn("subfile", F.lit(0)), plan
+        return df.withColumn("subfile", F.lit(0)), plan, boxes
     # the map has a row a block, at most 2 ** (3 * MOST_BLOCK_BITS) and the finer ones: bounded by the grid
-    table = df.sparkSession.createDataFrame(list(plan.subfile_of().items()), "__of long, subfile int")
-    return df.withColumn("__block", block).join(F.broadcast(table), F.col("__block").eqNullSafe(F.col("__of"))).drop("__block", "__of"), plan
+    table = spark.createDataFrame(list(plan.subfile_of().items()), "__of long, subfile int")
+    return df.withColumn("__block", block).join(F.broadcast(table), F.col("__block").eqNullSafe(F.col("__of"))).drop("__block", "__of"), plan, boxes
 
 
 def treelet(points: np.ndarray, pids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
@@ -137,15 +155,16 @@ def treelet(points: np.ndarray, pids: np.ndarray, seed: int) -> tuple[np.ndarray
 ADDED = [T.StructField("lod_level", T.IntegerType()), T.StructField("lod_node", T.IntegerType()), T.StructField("lod_idx", T.LongType()), T.StructField("lod_cnt", T.LongType())]
 
 
-def with_cells(df: DataFrame, schema: ParticleSchema) -> DataFrame:
+def with_cells(df: DataFrame, schema: ParticleSchema, boxes: DataFrame | None = None) -> DataFrame:
     """``df`` (with ``subfile``) with ``morton`` and ``cell`` on each subfile's own grid.
 
-    Bounds and the counts that fix a subfile's grid are aggregates, one row a
-    subfile; they come back by a join on it.
+    Boxes and the counts that fix a subfile's grid have one row a subfile, no
+    more than the plan that the driver made; they are broadcast, and the rows
+    stay where they are.
     """
     x, y, z = schema.positions
-    edge = df.groupBy("subfile").agg(*[f(F.when(~F.isnan(c), F.col(c))).cast("double").alias(f"__{n}{i}") for i, c in enumerate(schema.positions) for n, f in (("l", F.min), ("u", F.max))])
-    placed = df.join(edge, "subfile")
+    edge = boxes if boxes is not None else df.groupBy("subfile").agg(*[f(F.when(~F.isnan(c), F.col(c))).cast("double").alias(f"__{n}{i}") for i, c in enumerate(schema.positions) for n, f in (("l", F.min), ("u", F.max))])
+    placed = df.join(F.broadcast(edge), "subfile")
 
     def grid(i: int, c: str) -> Column:
         span = F.col(f"__u{i}") - F.col(f"__l{i}")
@@ -161,7 +180,7 @@ def with_cells(df: DataFrame, schema: ParticleSchema) -> DataFrame:
     for b in range(morton.COARSE_BITS - 1, 1, -1):
         bits = bits.when(need(b), b)
     known = known.select("subfile", bits.otherwise(1).alias("cell_bits"))
-    out = placed.join(known, "subfile")
+    out = placed.join(F.broadcast(known), "subfile")
     return out.withColumn("cell", F.expr(f"shiftright(morton, 3 * ({morton.BITS} - cell_bits))").cast("int")).drop("cell_bits")
 
 

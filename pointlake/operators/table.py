@@ -112,7 +112,7 @@ class ParticleTable:
             return run(self.df, spec, self.schema)
         where = spec.predicate(self.schema, self.df)
         kept = self._kept(spec)
-        columns = list(spec.columns) if spec.columns is not None else [c for c in self.df.columns if c not in ("morton", "cell", "subfile", "lod_level", "lod_node", "lod_idx", "lod_cnt", "lod_max")]
+        columns = list(spec.columns) if spec.columns is not None else [c for c in self.df.columns if c not in ("morton", "cell", "subfile", "lod_level", "lod_node", "lod_idx", "lod_cnt")]
         quality = self.detail(spec, kept)
         if not kept or quality is None:
             return self.df.where(F.lit(False)).select(*columns)
@@ -129,7 +129,14 @@ class ParticleTable:
         if spec.quality >= 1 and spec.prev_quality <= 0:
             return F.lit(True)
         args = (F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt"))
-        parts = [(F.col("lod_max") == m) & lod.interval(spec.prev_quality, spec.quality, m, *args) for m in sorted({r.max_level for r in kept})]
+        step, parts = self.schema.timestep, []
+        for m in sorted({r.max_level for r in kept}):
+            own: dict = {}  # the subfiles, by time step, whose deepest level is m: partition columns, so that only paths are tested
+            for r in kept:
+                if r.max_level == m:
+                    own.setdefault(r[step] if step else None, []).append(r.subfile)
+            where = [F.col("subfile").isin(ids) if step is None else (F.col(step) == t) & F.col("subfile").isin(ids) for t, ids in own.items()]
+            parts.append(reduce(lambda a, b: a | b, where) & lod.interval(spec.prev_quality, spec.quality, m, *args))
         return reduce(lambda a, b: a | b, parts) if parts else None
 
     def query_box(self, box: Box, attrs: dict | None = None, quality: float = 1.0) -> DataFrame:

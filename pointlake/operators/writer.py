@@ -68,15 +68,15 @@ class ParticleWriter:
             report.ms[name] = (time.perf_counter() - start) * 1e3
             return out
 
-        placed, plan = timed("plan", lambda: layout.planned(self.df, schema, self.options))
-        placed = layout.with_cells(placed, schema)
+        placed, plan, boxes = timed("plan", lambda: layout.planned(self.df, schema, self.options))
+        placed = layout.with_cells(placed, schema, boxes)
+        # the one shuffle of the rows: treelets are grouped within it, and files written from it
+        placed = placed.repartition(max(1, len(plan.leaves)), *keys, "subfile")
         if self.options.build_layout:
             placed = layout.built(placed, schema)
         else:
             placed = placed.select("*", F.lit(0).alias("lod_level"), F.lit(0).alias("lod_node"), F.lit(0).cast("long").alias("lod_idx"), F.lit(1).cast("long").alias("lod_cnt"))
-        # rows of a subfile meet in one task; its deepest level is the same on each of its rows
-        deepest = placed.withColumn("lod_max", F.max("lod_level").over(_over([*keys, "subfile"])))
-        out = deepest.repartition(max(1, len(plan.leaves)), *keys, "subfile").sortWithinPartitions(*keys, "subfile", "lod_level", "morton", schema.pid)
+        out = placed.sortWithinPartitions(*keys, "subfile", "lod_level", "morton", schema.pid)
         timed("build and write", lambda: out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "subfile").parquet(f"{path}/data"))
 
         def describe():
@@ -101,8 +101,3 @@ class ParticleWriter:
         report.base_bytes = report.rows * schema.bytes_per_row()
         return report
 
-
-def _over(keys: list[str]):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(*keys)
