@@ -354,6 +354,15 @@ def leveled(spark: SparkSession, sf: str) -> DataFrame:
     return lod.assigned(celled(spark, sf), ["cell"], "pid")
 
 
+def leveled_with_depth(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """E with levels, and its deepest level, which the counts of cells tell before any row is ranked."""
+    df = coded(spark, sf)
+    counts = morton.coarse_counts(df)
+    bits = morton.coarse_bits(counts)
+    df = df.withColumn("cell", morton.cell(F.col("morton"), bits))
+    return lod.assigned(df, ["cell"], "pid"), lod.deepest_level(morton.fullest(counts, bits))
+
+
 def _delta_sql(q0: float, q1: float) -> str:
     def edge(q: float, name: str) -> str:
         c = f"least(deepest + 1.0, greatest(0.0, least(1.0, greatest(0.0, log10(1 + 9 * {q}))) * (deepest + 1)))"
@@ -370,10 +379,6 @@ def _delta(df: DataFrame, deepest: int, q0: float, q1: float) -> DataFrame:
     return df.where(lod.interval(q0, q1, deepest, F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt")))
 
 
-def _deepest(df: DataFrame) -> int:
-    return df.agg(F.max("lod_level").alias("d")).first().d or 0
-
-
 @query(f"WITH {LEVEL_SQL} SELECT pid, cell, lod_level, lod_idx, lod_cnt FROM x")
 def lod_assign(spark: SparkSession, sf: str) -> DataFrame:
     return leveled(spark, sf).select("pid", "cell", "lod_level", "lod_idx", "lod_cnt")
@@ -382,15 +387,14 @@ def lod_assign(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {LEVEL_SQL} SELECT pid, lod_level FROM {_delta_sql(0.1, 0.5)}")
 def progressive_delta(spark: SparkSession, sf: str) -> DataFrame:
     """Rows new between two qualities."""
-    df = leveled(spark, sf)
-    return _delta(df, _deepest(df), 0.1, 0.5).select("pid", "lod_level")
+    df, deepest = leveled_with_depth(spark, sf)
+    return _delta(df, deepest, 0.1, 0.5).select("pid", "lod_level")
 
 
 @query(f"WITH {LEVEL_SQL} " + " UNION ALL ".join(f"SELECT CAST({b} AS DOUBLE) AS quality, count(*) AS n FROM {_delta_sql(a, b)}" for a, b in zip(SERIES, SERIES[1:])))
 def progressive_series(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that each quality of a series adds, counted in one pass."""
-    df = leveled(spark, sf)
-    deepest = _deepest(df)
+    df, deepest = leveled_with_depth(spark, sf)
     args = (F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt"))
     one = df.agg(*[F.count_if(lod.interval(a, b, deepest, *args)).alias(f"q{i}") for i, (a, b) in enumerate(zip(SERIES, SERIES[1:]))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(b).alias("quality"), F.col(f"q{i}").alias("n")) for i, b in enumerate(SERIES[1:])])).alias("r")).select("r.*")
@@ -399,8 +403,7 @@ def progressive_series(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {LEVEL_SQL} SELECT pid FROM x")
 def progressive_union(spark: SparkSession, sf: str) -> DataFrame:
     """The series' deltas together: the whole table, each row once."""
-    df = leveled(spark, sf)
-    deepest = _deepest(df)
+    df, deepest = leveled_with_depth(spark, sf)
     out = None
     for a, b in zip(SERIES, SERIES[1:]):
         part = _delta(df, deepest, a, b).select("pid")

@@ -49,6 +49,11 @@ def below(level: Column, idx: Column, cnt: Column, whole: int, part: float) -> C
     return (level < whole) | ((level == whole) & (idx < F.floor(cnt * F.lit(part))))
 
 
+def deepest_level(rows: int) -> int:
+    """The last level of a cell of ``rows`` rows as ``assigned`` deals them."""
+    return ((max(1, rows) - 1) // NODE_ROWS + 1).bit_length() - 1
+
+
 def assigned(df: DataFrame, cells: list[str], pid: str, digits: int = 1) -> DataFrame:
     """``df`` with lod_level, lod_idx and lod_cnt: in each cell, rows in the order of md5(pid), levels of 8, 16, 32 and so on.
 

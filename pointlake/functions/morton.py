@@ -68,7 +68,20 @@ def coarse_bits(counts: dict[int, int], cell_rows: int = CELL_ROWS) -> int:
     return bits
 
 
-def coarse_bits_of(df: DataFrame, code: str = "morton") -> int:
-    """``coarse_bits`` of a frame: one aggregate, whose 4,096 rows at most come to the driver."""
+def coarse_counts(df: DataFrame, code: str = "morton") -> dict[int, int]:
+    """Rows by cell at COARSE_BITS: one aggregate, whose 4,096 rows at most come to the driver."""
     rows = df.groupBy(cell(F.col(code), COARSE_BITS).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return coarse_bits({r.c: r.n for r in rows})
+    return {r.c: r.n for r in rows}
+
+
+def coarse_bits_of(df: DataFrame, code: str = "morton") -> int:
+    return coarse_bits(coarse_counts(df, code))
+
+
+def fullest(counts: dict[int, int], bits: int) -> int:
+    """Rows of the fullest cell on a grid of ``bits`` bits, from counts at COARSE_BITS."""
+    cells: dict[int, int] = {}
+    for c, n in counts.items():
+        c >>= 3 * (COARSE_BITS - bits)
+        cells[c] = cells.get(c, 0) + n
+    return max(cells.values(), default=0)
