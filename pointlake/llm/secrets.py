@@ -231,8 +231,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
 
     found = docs.select(quoted(text_col).alias("t")).mapInArrow(run, "kind string, h string, value string")
-    # of each task at most sample rows a kind; dealt by hash prefix, ranked, then ranked again
-    near = found.distinct().withColumn("part", F.substring("h", 1, 1))
+    # of each task at most sample rows a kind; dealt by the last digit of the hash, ranked, then ranked again
+    near = found.distinct().withColumn("part", F.substring("h", -1, 1))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("kind", "part").orderBy("h"))).where(F.col("r") <= sample)
     kept = near.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("h"))).where(F.col("r") <= sample)
     values: dict[str, list[str]] = {}
