@@ -33,7 +33,7 @@ from pointlake.llm.common import chunks, fresh, map_column, quoted, read_table,
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of one piece of a long text, and of all texts encoded by one call.
-PIECE, RUN = 1 << 16, 1 << 20
+PIECE, RUN = 1 << 16, 1 << 18
 #: A blank after anything but white space: every match of the pattern ends before it.
 SAFE_CUT = re.compile(r"(?<=\S)\x20")
 
