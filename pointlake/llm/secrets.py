@@ -10,8 +10,10 @@ likelihood a character under the best kind against the ordinary automaton, and b
 a span of kind ``format`` if the gain reaches GAIN.
 
 Training values are a bounded sample, SAMPLE different values a kind by lowest hash,
-drawn in one pass over *all* documents; the automata are as small as the formats are
-simple. The second pass scores all candidates of all whole texts. Neither shuffles a
+drawn in one pass over *all* documents: every base span and every ordinary word of each
+whole text is offered. Values are read whole; a prefix tree of more than STATES states
+ends at the last level that fits, and the rest of its values is counted along the merged
+automaton. The automata are as small as the formats are simple. The second pass scores all candidates of all whole texts. Neither shuffles a
 text. Defined cases: a null text is an empty one and has no span; kinds without labelled
 values give no automaton; equal texts give equal spans; an empty table gives an empty
 table; input columns that clash with an output column are replaced by it.
@@ -42,8 +44,8 @@ KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 ORDINARY = re.compile(r"[^\W\d_]{8,}")
 SAMPLE, ALPHA, GAIN = 400, 0.05, 0.75
-#: Longest part of a value that the automata read when they are learned.
-DEPTH = 64
+#: States of a prefix tree at most; what lies deeper in the values is counted in the merged automaton.
+STATES = 1 << 15
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -79,16 +81,27 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
 
-    def add(self, value: str) -> None:
+    def step(self, state: int, c: str) -> int:
+        """Count ``c`` at a state of the tree; the state it leads to, made if there is none."""
+        self.count[state][c] = self.count[state].get(c, 0) + 1
+        if c not in self.next[state]:
+            self.next.append({})
+            self.count.append({})
+            self.next[state][c] = len(self.next) - 1
+        return self.next[state][c]
+
+    def end(self, state: int) -> None:
+        self.count[state][END] = self.count[state].get(END, 0) + 1
+
+    def follow(self, value: str, known: int) -> None:
+        """Count what comes after the first ``known`` classes without new states; unseen classes lead back to the start."""
         state = 0
-        for c in value:
-            self.count[state][c] = self.count[state].get(c, 0) + 1
-            if c not in self.next[state]:
-                self.next.append({})
-                self.count.append({})
-                self.next[state][c] = len(self.next) - 1
+        for c in value[:known]:
             state = self.next[state][c]
-        self.count[state][END] = self.count[state].get(END, 0) + 1
+        for c in value[known:]:
+            self.count[state][c] = self.count[state].get(c, 0) + 1
+            state = self.next[state].get(c, 0)
+        self.end(state)
 
     def total(self, state: int) -> int:
         return sum(self.count[state].values())
@@ -164,11 +177,23 @@ class Automaton:
         return out
 
 
-def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
-    tree = Automaton()
-    for v in sorted(values):
-        tree.add(classes(v[:DEPTH]))
-    return tree.merge(alpha)
+def infer(values: list[str], alpha: float = ALPHA, states: int = STATES) -> Automaton:
+    """The automaton of whole values; its tree is made level by level and has ``states`` states at most."""
+    tree, depth = Automaton(), 0
+    live = [(classes(v), 0) for v in sorted(values)]
+    while live:
+        for shape, state in live:
+            if len(shape) == depth:
+                tree.end(state)
+        live = [(shape, state) for shape, state in live if len(shape) > depth]
+        if len(tree.next) + len({(state, shape[depth]) for shape, state in live}) > states:
+            break
+        live = [(shape, tree.step(state, shape[depth])) for shape, state in live]
+        depth += 1
+    out = tree.merge(alpha)
+    for shape, _ in live:
+        out.follow(shape, depth)
+    return out
 
 
 @dataclass(frozen=True)
@@ -194,26 +219,25 @@ class Model:
         return best - (self.likelihood(self.ordinary, shape) if self.ordinary else math.log(1 / 64))
 
 
-def labelled(text: str) -> list[tuple[str, str]]:
-    """(kind, value) of the base spans, and ordinary long words that touch none."""
+def labelled(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, value) of the base spans, and of all ordinary long words that touch none."""
     spans = base_spans(text)
-    out = []
     for a, k, b in spans:
         value = text[a:b]
-        out.append((KINDS[k], ASSIGN.match(value)[2] if k == 0 else value))
-    words = (m for m in ORDINARY.finditer(text))
-    for m in words:
-        if len(out) >= len(spans) + 4:  # a few a text: the first by place
-            break
-        if not any(a < m.end() and m.start() < b for a, _, b in spans):
-            out.append(("ordinary", m[0]))
-    return out
+        yield KINDS[k], ASSIGN.match(value)[2] if k == 0 else value
+    at, reach = 0, 0  # spans that begin before the word's end, and how far they go
+    for m in ORDINARY.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
+            yield "ordinary", m[0]
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Automata of ``sample`` different values a kind, those of the lowest hash over all documents.
 
-    Each batch passes on its lowest ``sample`` a kind, Spark keeps the lowest of all.
+    Every value is offered; each task passes on its lowest ``sample`` a kind, Spark keeps the lowest of all.
     """
     schema = pa.schema([("kind", pa.string()), ("h", pa.string()), ("value", pa.string())])
 
@@ -222,11 +246,11 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
         for batch in batches:
             for texts in chunks(batch.column(0)):
                 for text in texts:
-                    for kind, value in labelled(text):
-                        held.setdefault(kind, {})[hashlib.blake2b(value.encode(), digest_size=12).hexdigest()] = value
-            for kind, of in held.items():
-                if len(of) > 4 * sample:
-                    held[kind] = {h: of[h] for h in sorted(of)[:sample]}
+                    for kind, value in set(labelled(text)):
+                        of = held.setdefault(kind, {})
+                        of[hashlib.blake2b(value.encode(), digest_size=12).hexdigest()] = value
+                        if len(of) > 4 * sample:
+                            held[kind] = {h: of[h] for h in sorted(of)[:sample]}
         rows = [(k, h, of[h]) for k, of in held.items() for h in sorted(of)[:sample]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
 

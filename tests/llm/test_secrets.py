@@ -42,6 +42,28 @@ def test_merging_generalises_and_scores_formats():
     assert secrets.Model({}, None).gain(new) < 0
 
 
+def test_words_of_whole_texts_are_offered():
+    text = " ".join(["boilerplate"] * 6) + " token=secretsecretsecret " + " ".join(f"ordinary{c * 3}" for c in "abcdefgh")
+    assert [v for k, v in secrets.labelled(text) if k == "ordinary"] == ["boilerplate"] * 6 + [f"ordinary{c * 3}" for c in "abcdefgh"]
+
+
+def test_sample_is_the_lowest_of_all_words(spark):
+    pick = random.Random(8)
+    words = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randrange(8, 14))) for _ in range(900)]
+    docs = spark.createDataFrame([("opening " * 6 + " ".join(words[i : i + 90]),) for i in range(0, 900, 90)], "text string")
+    lowest = sorted(words, key=lambda w: hashlib.blake2b(w.encode(), digest_size=12).hexdigest())[:50]
+    assert secrets.fit(docs, sample=50).ordinary == secrets.infer(lowest).tables()
+
+
+def test_values_are_read_whole():
+    values = ["ab" * 50 + "9" * n for n in range(1, 200)]
+    for states in (50, 120, secrets.STATES):
+        auto = secrets.infer(values, states=states)
+        assert len(auto.next) <= states
+        # every class of every value and one end a value
+        assert sum(c.get("0", 0) for c in auto.count) == sum(range(1, 200)) and sum(c.get(secrets.END, 0) for c in auto.count) == len(values)
+
+
 def test_frame(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "token = 'abcdefghijkl' and 0123456789abcdef0123", "x"), (3, "token = 'abcdefghijkl' and 0123456789abcdef0123", "x"), (4, "word " * 50_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, Spans string")
