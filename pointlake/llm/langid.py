@@ -4,7 +4,7 @@ A text is the hashed counts of its letters' n-grams (one to three characters of
 case, words set apart), weighted by inverse document frequency and normalised. Document
 frequencies are counted over *all* documents to learn from, in partial sums a task; each
 language's vectors are then clustered (spherical k-means) into several centroids, from a
-bounded sample, SAMPLE documents a language by lowest hash. A text goes to the language
+bounded sample, SAMPLE different texts a language by lowest hash. A text goes to the language
 of the nearest centroid by cosine; its score is that cosine, and a text farther from it
 than nearly all of the centroid's own sample is marked as rejected.
 
@@ -119,8 +119,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
     for r in found:
         df[r.f] = r.df
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
-    # the sample: lowest hashes of a language, found without moving a text: first in parts of the hash, then of all
-    keys = rows.select("lang", "h", F.pmod(F.col("h"), F.lit(64)).alias("part"))
+    # the sample: lowest hashes of a language, copies counted once, found without moving a text: first in parts of the hash, then of all
+    keys = rows.select("lang", "h").distinct().withColumn("part", F.pmod(F.col("h"), F.lit(64)))
     near = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("r") <= sample)
     limits = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("most")).collect()
     chosen = F.lit(False)

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from pointlake.llm import langid
 
@@ -28,6 +29,13 @@ def test_frame(spark):
     assert langid.identified(df.limit(0), model).count() == 0
 
 
+def test_copies_count_once_in_the_sample(spark):
+    rows = spark.createDataFrame([(f"{a} {b}", "en") for a in ("the cat", "a dog", "quick foxes") for b in ("sleeps", "jumps over", "writes letters", "was here")], "text string, lang string")
+    hot = rows.orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(300)).select("text", "lang")
+    # copies weigh in document frequencies alone, so that only the number of centroids tells that other texts were seen
+    assert len(langid.fit(rows.unionByName(hot)).languages) == langid.CENTROIDS
+
+
 def test_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = langid.op6_nearest_centroid(spark, SF).collect()
