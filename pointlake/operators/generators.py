@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from pointlake.functions.geometry import Box
 
 
-def uniform01(seed: int, draw: int, row: Column | None = None) -> Column:
+#: Ends of the runs in which ``spheres`` draws; a row goes on to the next run if it is not inside by then.
+TRIES = (32, 1 << 8, 1 << 12, 1 << 16, 1 << 20)
+
+
+def uniform01(seed: int, draw: int | Column, row: Column | None = None) -> Column:
     """A number in (0, 1) by hash."""
-    h = F.xxhash64(F.lit(seed).cast("long"), F.lit(draw), F.col("pid") if row is None else row)
+    h = F.xxhash64(F.lit(seed).cast("long"), F.lit(draw) if isinstance(draw, int) else draw, F.col("pid") if row is None else row)
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * 2.0**-53
 
 
-def normal(seed: int, draw: int) -> Column:
+def normal(seed: int, draw: int | Column) -> Column:
     """Standard normal, Box-Muller from two draws."""
     return F.sqrt(-2 * F.log(uniform01(seed, draw))) * F.cos(2 * math.pi * uniform01(seed, draw + 1))
 
@@ -49,22 +53,44 @@ def exponential_gradient(spark: SparkSession, n: int, box: Box, seed: int = 0) -
 
 
 def spheres(spark: SparkSession, n: int, count: int, box: Box, seed: int = 0) -> DataFrame:
-    """Around ``count`` centres in the box; what falls outside is drawn again, in the next of 32 tries."""
+    """Around ``count`` centres in the box; what falls outside is drawn again until it is inside.
+
+    There are 32 tries, then longer runs for the rows that are still outside, up to the
+    last of TRIES; only a row outside after all those is moved, along its last ray, to
+    a random place inside. On an axis where the box has no extent all rows lie in the box.
+    """
     pick = random.Random(seed)
     length = math.sqrt(sum(d * d for d in box.diagonal))
     centres = [(tuple(lo + pick.random() * d for lo, d in zip(box.lower, box.diagonal)), pick.uniform(0.05, 0.6) * length) for _ in range(count)]
     table = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("xyzr", (*c, r))]) for c, r in centres])
     ids = spark.range(n).withColumnRenamed("id", "pid").withColumn("c", F.get(table, F.floor(uniform01(seed, 0) * count).cast("int")))
 
-    def at(attempt: int) -> Column:
-        draw = 1 + 8 * attempt
-        g = [normal(seed, draw + 2 * i) for i in range(3)]
-        r = F.col("c.r") * uniform01(seed, draw + 6) / F.sqrt(g[0] * g[0] + g[1] * g[1] + g[2] * g[2])
-        return F.struct(*[(F.col(f"c.{k}") + r * v).alias(k) for k, v in zip("xyz", g)])
+    def ray(attempt: Column) -> tuple[list[Column], Column]:
+        """Direction and share of the radius."""
+        draw = F.lit(1) + F.lit(8) * attempt
+        g = [normal(seed, draw + F.lit(2 * i)) for i in range(3)]
+        return g, uniform01(seed, draw + F.lit(6))
+
+    def at(attempt: Column) -> Column:
+        g, u = ray(attempt)
+        r = F.col("c.r") * u / F.sqrt(g[0] * g[0] + g[1] * g[1] + g[2] * g[2])
+        return F.struct(*[(F.col(f"c.{k}") + r * v if d else F.col(f"c.{k}")).alias(k) for k, v, d in zip("xyz", g, box.diagonal)])
+
+    def inside(p: Column) -> Column:
+        return (p["x"] >= box.lower[0]) & (p["x"] <= box.upper[0]) & (p["y"] >= box.lower[1]) & (p["y"] <= box.upper[1]) & (p["z"] >= box.lower[2]) & (p["z"] <= box.upper[2])
+
+    def run(first: int, last: int) -> Column:
+        """The first try in [first, last) that is inside, or null; nothing is drawn after it."""
+        none = F.lit(None).cast("struct<x:double,y:double,z:double>")
+        return F.aggregate(F.sequence(F.lit(first), F.lit(last - 1)), none, lambda p, i: F.when(p.isNotNull(), p).otherwise(F.get(F.filter(F.array(at(i)), inside), F.lit(0))))
+
+    def moved() -> Column:
+        g, u = ray(F.lit(TRIES[-1]))
+        walls = [((F.when(v > 0, F.lit(hi)).otherwise(F.lit(lo)) - F.col(f"c.{k}")) / v) for k, v, lo, hi in zip("xyz", g, box.lower, box.upper) if hi > lo]
+        far = F.array_min(F.array(F.col("c.r") / F.sqrt(g[0] * g[0] + g[1] * g[1] + g[2] * g[2]), *walls))
+        return F.struct(*[(F.col(f"c.{k}") + u * far * v if d else F.col(f"c.{k}")).alias(k) for k, v, d in zip("xyz", g, box.diagonal)])
 
-    tries = F.array(*[at(i) for i in range(8)])
-    inside = F.filter(tries, lambda p: (p["x"] >= box.lower[0]) & (p["x"] <= box.upper[0]) & (p["y"] >= box.lower[1]) & (p["y"] <= box.upper[1]) & (p["z"] >= box.lower[2]) & (p["z"] <= box.upper[2]))
-    p = ids.withColumn("p", F.coalesce(F.get(inside, F.lit(0)), F.struct(F.col("c.x").alias("x"), F.col("c.y").alias("y"), F.col("c.z").alias("z"))))
+    p = ids.withColumn("p", F.coalesce(*[run(a, b) for a, b in zip((0, *TRIES), TRIES)], moved()))
     return p.select("pid", *[F.col(f"p.{k}").cast("float").alias(k) for k in "xyz"])
 
 

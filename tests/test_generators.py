@@ -27,6 +27,19 @@ def test_inside_and_repeatable(spark, name):
         assert sum(r.x < 1 for r in rows) < 0.3 * len(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_no_position_of_a_sphere_repeats(spark, seed):
+    rows = g.spheres(spark, 5000, 5, BOX, seed).collect()
+    assert len({(r.x, r.y, r.z) for r in rows}) == len(rows)
+
+
+def test_thin_and_flat_spheres(spark):
+    for height in (1e-2, 0.0):
+        box = Box((0.0, 0.0, 0.0), (1.0, 1.0, height))
+        rows = g.spheres(spark, 300, 3, box, 2).collect()
+        assert len({(r.x, r.y) for r in rows}) == 300 and all(0 <= r.x <= 1 and 0 <= r.y <= 1 and -1e-9 <= r.z <= height + 1e-9 for r in rows)
+
+
 def test_attributes_and_steps(spark):
     df = g.uniform(spark, 500, BOX, 1)
     out = g.with_attributes(g.with_attributes(df, "normal", 2), "sphere", 1, spatial=BOX, double=True)
