@@ -6,7 +6,11 @@ frequencies are counted over *all* documents to learn from, in partial sums a ta
 language's vectors are then clustered (spherical k-means) into several centroids, from a
 bounded sample, SAMPLE different texts a language by lowest hash. A text goes to the language
 of the nearest centroid by cosine; its score is that cosine, and a text farther from it
-than nearly all of the centroid's own sample is marked as rejected.
+than nearly all of the centroid's own sample (all but the share FAR) is marked as rejected.
+How far the sample is, is measured on centroids made without the row: a language's sample
+is dealt into FOLDS parts, and each is held against clusters of the others. A centroid
+that is nearest to no row takes the distance of its language, a language of one text that
+of all languages; if there is none, nothing is rejected.
 
 The driver gets the frequencies (one number a feature), the sample and nothing else;
 scoring is row by row. Defined cases: a null text or one without a letter is ``und``,
@@ -31,6 +35,7 @@ from pyspark.sql.window import Window
 from pointlake.llm.common import chunks, fresh, map_column, quoted, read_table, without
 
 FEATURES, SAMPLE, CENTROIDS, PASSES = 1 << 12, 200, 3, 10
+FOLDS, FAR = 5, 0.01
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters hashed at once.
 BLOCK = 1 << 18
@@ -100,6 +105,17 @@ def clustered(rows: np.ndarray, k: int = CENTROIDS, passes: int = PASSES) -> np.
     return out
 
 
+def left_out(rows: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """Each row's cosine to the nearest of the centroids that the other folds' rows make; none for a single row."""
+    folds = min(folds, len(rows))
+    if folds < 2:
+        return np.empty(0)
+    fold, out = np.arange(len(rows)) % folds, np.empty(len(rows))
+    for i in range(folds):
+        out[fold == i] = (rows[fold == i] @ clustered(rows[fold != i]).T).max(axis=1)
+    return out
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None, sample: int = SAMPLE) -> Model:
     """The model of ``docs`` with a language; ``key`` orders rows for the sample (default: the text's hash)."""
     rows = docs.where(quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
@@ -136,18 +152,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
     by: dict[str, list[tuple[int, list[int]]]] = {}
     for r in drawn.collect():
         by.setdefault(r.lang, []).append((r.h, r.n))
-    names, centres, floors = [], [], []
+    names, centres, near, apart = [], [], [], []
     for lang in sorted(by):
         own = vectors(np.array([n for _, n in sorted(by[lang])], np.float64), idf)
         own = own[own.any(axis=1)]
         if len(own):
-            made = clustered(own)
-            cos = own @ made.T
-            for i in range(len(made)):
-                mine = cos[cos.argmax(axis=1) == i, i]
-                names.append(lang)
-                centres.append(made[i])
-                floors.append(0.5 * float(np.quantile(mine, 0.01)) if len(mine) else 0.0)
+            made, cos = clustered(own), left_out(own)
+            of = (own @ made.T).argmax(axis=1)
+            names += [lang] * len(made)
+            centres += list(made)
+            near += [cos[of == i] if len(cos) and (of == i).any() else cos for i in range(len(made))]
+            apart.append(cos)
+    every = np.concatenate(apart) if apart else np.empty(0)
+    floors = [float(np.quantile(mine if len(mine) else every, FAR)) if len(every) else 0.0 for mine in near]
     return Model(names, np.array(centres).reshape(-1, FEATURES), np.array(floors), idf)
 
 

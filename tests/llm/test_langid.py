@@ -36,6 +36,23 @@ def test_copies_count_once_in_the_sample(spark):
     assert len(langid.fit(rows.unionByName(hot)).languages) == langid.CENTROIDS
 
 
+def test_a_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    held = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~held & (F.col("lang") != "en")))
+    rows = langid.identified(docs.where(held | (F.col("lang") == "en")), model).select("lang", "rejected").collect()
+    assert np.mean([r.rejected for r in rows if r.lang == "en"]) > 0.95
+    assert np.mean([r.rejected for r in rows if r.lang != "en"]) < 0.05
+
+
+def test_left_out_rows():
+    rng = np.random.default_rng(1)
+    rows = langid.vectors(rng.poisson(1.0, (7, 40)).astype(float), np.ones(40))
+    got = langid.left_out(rows)
+    assert len(got) == 7 and len(langid.left_out(rows[:1])) == 0
+    assert got[0] == (langid.clustered(rows[[1, 2, 3, 4, 6]]) @ rows[0]).max()
+
+
 def test_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = langid.op6_nearest_centroid(spark, SF).collect()
