@@ -18,7 +18,7 @@ that share a band and returns only the links that join components. Nothing is ca
 large clouds of copies are settled by their leaders, and what is left is tested in full.
 
 A candidate pair must pass three tests: set sizes allow the similarity, the signatures
-(one byte a coordinate) agree within four standard deviations of it, and the shingle
+(one byte a coordinate) agree within six standard deviations of it, and the shingle
 sets themselves (64-bit hashes) reach it. Sets are made again, in a second pass over
 the texts, for candidates only; a bitmap of fixed size tells the scan which rows to
 send, so the texts themselves are never shuffled. All tables between rounds are kept in
@@ -49,8 +49,8 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Darts expected per text; all coordinates are then hit but for 2 texts in 100, which get more.
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 4))
-#: Standard deviations below what a threshold gives that signatures may agree less: 3 pairs in 100,000 at the threshold.
-SLACK = 4.0
+#: Standard deviations below what a threshold gives that signatures may agree less: about 1 pair in 100 million at the threshold.
+SLACK = 6.0
 #: Bits of the map of candidate rows at most, 16 MB; more candidates than bits only let more rows through.
 MAP_BITS = 27
 #: Texts of a block: two blocks are compared at a time.

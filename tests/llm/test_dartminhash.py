@@ -1,5 +1,6 @@
 import random
 from itertools import combinations
+from math import comb
 
 import numpy as np
 
@@ -38,6 +39,12 @@ def test_signature_estimates_weighted_similarity():
     assert len(set(one.tolist())) == dart.COORDINATES
 
 
+def test_prefilter_loses_less_than_banding():
+    n, p = dart.COORDINATES, dart.THRESHOLD
+    lost = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(dart.agree_least(p)))
+    assert lost < 0.01 * (1 - p**dart.ROWS) ** dart.BANDS
+
+
 def test_shingles():
     assert len(dart.shingles("a b c")) == 1 and len(dart.shingles("")) == 0 and (dart.shingles("a b c") != dart.shingles("c b a")).all()
     assert dart.weighted("x " * 10, "count")[1].tolist() == [6.0]
