@@ -50,7 +50,8 @@ def statistics(text: str) -> list[float]:
     follows = len(set(zip(words, words[1:], words[2:])))
     lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
     lower = text.lower()
-    upper = sum(a != b for a, b in zip(text, lower)) if len(lower) == len(text) and lower != text else 0
+    pairs = zip(text, lower) if len(lower) == len(text) else zip(text, map(str.lower, text))
+    upper = sum(a != b for a, b in pairs) if lower != text else 0
     return [
         np.log1p(len(words)),
         np.log1p((sum(map(len, words)) + 5 * EASE) / (n + EASE)),

@@ -10,6 +10,11 @@ def test_statistics_of_odd_texts():
         assert len(qda.statistics(text)) == len(qda.NAMES) and np.isfinite(qda.statistics(text)).all()
 
 
+def test_capitals_count_where_lower_case_is_longer():
+    at = qda.NAMES.index("upper")
+    assert qda.statistics("BÜYÜK İSTANBUL ve")[at] == qda.statistics("BÜYÜK ISTANBUL ve")[at] > 0
+
+
 def test_model_against_plain_densities():
     rng = np.random.default_rng(7)
     d = len(qda.NAMES)
