@@ -5,7 +5,8 @@ Members of a group are interchangeable, so the labels that propagate are the cou
 each (group, shard): a group's members start dealt over the shards by hash, and in each
 round every group wants its members in the shard where most of them are. Between two
 shards as many may move one way as the other, and beyond that as many as the quota of
-linked documents has room for; they are granted largest gain first. Quotas are worked
+linked documents has room for; they are granted largest gain first. Rounds go on until one
+grants nothing or links cut no longer fall; ROUNDS is a safety stop, and is reported. Quotas are worked
 out on totals by (from, to, gain, hash part), a table of fixed size. What is granted
 moves at once in the counts; no document row is touched until the end.
 
@@ -24,13 +25,15 @@ replaced by it.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointlake.llm.common import cut, fresh, quoted, read_table
 
-SHARDS, ROUNDS = 16, 6
+SHARDS, ROUNDS = 16, 100
 #: Parts into which a group's members, the unlinked rows and a shard's groups are dealt for ranking.
 SALTS, PARTS = 64, 1024
 #: Classes of gain and parts of each by hash, by which a round's quotas are granted.
@@ -57,15 +60,17 @@ def propagated(cells: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> Dat
     """``cells`` (g, shard, n) after moves; ``quotas``: (shard, quota) of linked documents.
 
     Each round at most brings a shard to its quota; a group whose move is not
-    granted stays and asks again.
+    granted stays and asks again, until a round grants nothing or does not lower the
+    links cut. What ``rounds`` stops before that is reported as a warning.
     """
+    links = cut_links(cells)
     for _ in range(rounds):
         best = cells.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("b"))
         asked = cells.join(best.select("g", F.col("b.shard").alias("to"), F.col("b.n").alias("most")), "g").where("shard <> to")
         gain = F.least(F.floor(F.log2(F.col("most").cast("double"))), F.lit(GAINS - 1)).cast("int")
         asked = cut(asked.select("g", "shard", "to", "n", (F.lit(GAINS) - gain).alias("gain"), _hash("g", parts=FINE, seed=3).alias("fine")))
         if asked.isEmpty():
-            break
+            return cells
         held = cells.groupBy("shard").agg(F.sum("n").alias("held"))
         room = quotas.join(held, "shard", "left").select(F.col("shard").alias("to"), F.greatest(F.col("quota") - F.coalesce("held", F.lit(0)), F.lit(0)).alias("room"))
         # as many may go from one shard to another as come back, and beyond that as many as there is room for
@@ -80,7 +85,12 @@ def propagated(cells: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> Dat
         part = asked.join(granted.where("may > 0"), ["shard", "to", "gain", "fine"]).withColumn("go", F.when(F.col("may") >= F.col("want"), F.col("n")).otherwise(F.floor(F.col("n") * F.col("may") / F.col("want")).cast("long"))).where("go > 0")
         out = part.select("g", "shard", (-F.col("go")).alias("n"))
         into = part.select("g", F.col("to").alias("shard"), F.col("go").alias("n"))
-        cells = cut(cells.unionByName(out).unionByName(into).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+        moved = cut(cells.unionByName(out).unionByName(into).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+        left = cut_links(moved)
+        if left >= links:  # nothing granted, or nothing gained
+            return cells
+        cells, links = moved, left
+    logging.getLogger(__name__).warning("propagation stopped after %d rounds; %d pairs of linked documents are cut", rounds, links)
     return cells
 
 

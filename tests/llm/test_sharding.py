@@ -65,3 +65,14 @@ def test_rounds_reduce_cut_links(spark):
     assert sharding.cut_links(after) < 0.5 * sharding.cut_links(cells)
     assert {r.shard: r.n for r in after.groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}.items() and after.groupBy().sum("n").first()[0] == total
     assert all(r[1] <= total // 4 + 60 for r in after.groupBy("shard").sum("n").collect())
+
+
+def test_rounds_go_on_until_nothing_is_gained(spark, caplog):
+    cells = spark.createDataFrame([(g, s, 1 + (g * 7 + s) % 3) for g in range(50) for s in range(4)], "g long, shard int, n long")
+    total = cells.groupBy().sum("n").first()[0]
+    quotas = spark.createDataFrame([(s, total // 4 + 2) for s in range(4)], "shard int, quota long")
+    after = sharding.propagated(cells, quotas)
+    assert not caplog.records
+    assert sharding.cut_links(sharding.propagated(after, quotas, 1)) == sharding.cut_links(after)
+    sharding.propagated(cells, quotas, 1)
+    assert "after 1 rounds" in caplog.text
