@@ -6,7 +6,8 @@ an ID3v1 tag. All side information is zero, so that a player renders silence; ev
 frame carries the 16-bit checksum of its header and side information. ``parse`` reads
 such a stream, or any other Layer I-III one, as a player would: it skips tags,
 resynchronises on frame headers (once out of step, a header counts if the next one, or
-the end, follows where it says), checks checksums, reads the table, and gives the exact duration as
+the end, follows where it says), checks checksums (Layer I: of header and bit allocation, II: of
+these and the scale factor selection, III: of header and side information), reads the table, and gives the exact duration as
 samples over rate and the byte offset of each frame.
 
 Each row is on its own: no shuffle, no state. Defined cases: a null or empty text is
@@ -63,6 +64,14 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    crc = crc16(data[: bits // 8], crc)
+    for i in range(bits // 8 * 8, bits):
+        bit = data[i // 8] >> (7 - i % 8) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bit else 0)
+    return crc
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 3: MPEG-1, 2: MPEG-2, 0: MPEG-2.5
@@ -90,6 +99,35 @@ class Header:
         return (17 if self.mono else 32) if self.version == 3 else (9 if self.mono else 17)
 
 
+def allocation(head: Header) -> list[int]:
+    """Bits of the allocation of each subband and channel in Layers I and II."""
+    if head.layer == 1:
+        return [4] * 32
+    each = head.kbits // (1 if head.mono else 2)
+    if head.version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    if head.rate == 48000 and each >= 56 or 56 <= each <= 80:
+        return [4] * 11 + [3] * 12 + [2] * 4
+    if head.rate != 48000 and each >= 96:
+        return [4] * 11 + [3] * 12 + [2] * 7
+    return [4] * 2 + [3] * (6 if head.rate != 32000 and each <= 48 else 10)
+
+
+def guarded_bits(body: bytes, head: Header, mode: int) -> int | None:
+    """How many bits of ``body``, what follows the checksum of Layer I or II, it covers; None if they are not all there. ``mode``: the header's last byte."""
+    bound = 4 * ((mode >> 4 & 3) + 1) if mode >> 6 == 1 else 32  # joint stereo: one allocation for both from there on
+    at, selections, value, size = 0, 0, int.from_bytes(body, "big"), 8 * len(body)
+    for band, bits in enumerate(allocation(head)):
+        for _ in range(1 if head.mono or band >= bound else 2):
+            if at + bits > size:
+                return None
+            if value >> (size - at - bits) & ((1 << bits) - 1):
+                selections += 1 if head.mono or band < bound else 2
+            at += bits
+    at += 2 * selections if head.layer == 2 else 0
+    return at if at <= size else None
+
+
 _HEADERS: dict[bytes, Header | None] = {}
 
 
@@ -124,7 +162,7 @@ class Stream:
     bad_sums: int = 0
     skipped: int = 0  # bytes that belong to no frame or tag
     tags: dict[str, str] = field(default_factory=dict)
-    table: dict[str, int | bytes] = field(default_factory=dict)
+    table: dict[str, int | bytes | list[int]] = field(default_factory=dict)
 
     def seek(self, seconds: float) -> int:
         """Offset of the frame that plays at a time."""
@@ -190,12 +228,12 @@ def _tag(data: bytes, at: int, out: Stream) -> int:
     return end
 
 
-def _table(frame: bytes, head: Header) -> dict[str, int | bytes]:
+def _table(frame: bytes, head: Header) -> dict[str, int | bytes | list[int]]:
     """The Xing, Info or VBRI table of a frame, if it has one."""
     for at in (4 + head.side, 4 + 2 * head.guarded + head.side):
         if frame[at : at + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
-            out: dict[str, int | bytes] = {"kind": 1 if frame[at : at + 4] == b"Xing" else 2}
+            out: dict[str, int | bytes | list[int]] = {"kind": 1 if frame[at : at + 4] == b"Xing" else 2}
             for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
                 if flags & bit:
                     raw = frame[p : p + size]
@@ -203,7 +241,9 @@ def _table(frame: bytes, head: Header) -> dict[str, int | bytes]:
                     p += size
             return out
     if frame[36:40] == b"VBRI":
-        return {"kind": 3, "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        entries, scale, size, per = (int.from_bytes(frame[i : i + 2], "big") for i in (54, 56, 58, 60))
+        seeks = [scale * int.from_bytes(frame[i : i + size], "big") for i in range(62, min(62 + entries * size, len(frame) - size + 1), size)] if size else []
+        return {"kind": 3, "bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "per": per, "seeks": seeks}
     return {}
 
 
@@ -227,7 +267,12 @@ def parse(data: bytes) -> Stream:
             out.skipped += nxt - at
             at, synced = nxt, False
             continue
-        if head.guarded and head.layer == 3:
+        if head.guarded and head.layer != 3:
+            body = data[at + 6 : min(after, at + 6 + 64)]  # more than allocation and selection take
+            bits = guarded_bits(body, head, data[at + 3])
+            right = bits is not None and crc16_bits(body, bits, crc16(data[at + 2 : at + 4])) == int.from_bytes(data[at + 4 : at + 6], "big")
+            out.bad_sums += not right
+        elif head.guarded:
             covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]
             if covered not in known:
                 known[covered] = crc16(covered)

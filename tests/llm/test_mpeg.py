@@ -67,3 +67,36 @@ def test_whole_table(spark):
         r = got[d.doc_id]
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(padded)) and r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-64:])
         assert "bad_sums=0;skipped=0" in r.feature and "table=1" in r.feature
+
+
+def plain_sum(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(b) else 0)
+    return crc
+
+
+def guarded_frame(head, covered):
+    """A frame of the header with the bits that its checksum covers, the rest zeros."""
+    bits = "".join(f"{b:08b}" for b in head[2:]) + covered
+    body = int(covered.ljust(-(-len(covered) // 8) * 8, "0"), 2).to_bytes(-(-len(covered) // 8), "big")
+    return (head + plain_sum(bits).to_bytes(2, "big") + body).ljust(mpeg.header(head).size, b"\0")
+
+
+def test_sums_of_layers_one_and_two():
+    one = guarded_frame(bytes([0xFF, 0xFE, 0x80, 0x00]), "0101" * 64)  # stereo
+    joint = guarded_frame(bytes([0xFF, 0xFE, 0x80, 0x50]), "0011" * (8 * 2 + 24))  # one allocation from band 8 on
+    # Layer II, 192 kbit/s, 44.1 kHz, stereo: 30 bands; the first has an allocation in both channels, so two selections
+    two = guarded_frame(bytes([0xFF, 0xFC, 0xA0, 0x00]), "0001" * 2 + "0" * (4 * 20 + 3 * 24 + 2 * 14) + "1001")
+    for frame, last in ((one, 37), (joint, 25), (two, 29)):
+        assert mpeg.parse(frame * 3).bad_sums == 0 and len(mpeg.parse(frame * 3).frames) == 3
+        for at in (6, last):
+            bad = bytearray(frame)
+            bad[at] ^= 0x40
+            assert mpeg.parse(frame + bytes(bad) + frame).bad_sums == 1
+
+
+def test_vbri_seek_entries():
+    frame = bytearray(mpeg._HEADS[9] + bytes(mpeg._ROOMS[9]))
+    frame[36 : 36 + 32] = b"VBRI" + bytes(6) + (900).to_bytes(4, "big") + (7).to_bytes(4, "big") + b"".join(n.to_bytes(2, "big") for n in (3, 2, 2, 5, 10, 20, 30))
+    assert mpeg._table(bytes(frame), mpeg.header(bytes(frame[:4]))) == {"kind": 3, "bytes": 900, "frames": 7, "per": 5, "seeks": [20, 40, 60]}
