@@ -1,30 +1,37 @@
 """Secret scans: patterns for known kinds, probabilistic automata for formats like them.
 
-Base spans are regular expressions per kind. Beyond them, the formats of credentials
-are learned: values that the base patterns label in the corpus, with their kind, are
-read into a prefix tree of character classes, and states whose continuations are
-statistically compatible (Hoeffding bound at ALPHA) are merged, red-blue order, into a
-probabilistic automaton per kind; another is inferred from ordinary long words. Every
-candidate, a run of credential characters outside base spans, is scored by its log
-likelihood a character under the best kind against the ordinary automaton, and becomes
-a span of kind ``format`` if the gain reaches GAIN.
-
-Training values are a bounded sample, SAMPLE different values a kind by lowest hash,
-drawn in one pass over *all* documents: every base span and every ordinary word of each
-whole text is offered. Values are read whole; a prefix tree of more than STATES states
-ends at the last level that fits, and the rest of its values is counted along the merged
-automaton. The automata are as small as the formats are simple. The second pass scores all candidates of all whole texts. Neither shuffles a
-text. Defined cases: a null text is an empty one and has no span; kinds without labelled
-values give no automaton; equal texts give equal spans; an empty table gives an empty
-table; input columns that clash with an output column are replaced by it.
+Base spans are regular expressions per kind. Beyond them, the formats of credentials are
+learned from labelled ones: values that the base patterns label in the corpus, with their
+kind, and made-up values of FORMATS, public formats given by their parts, one kind each
+(more can be given to ``fit``). Of each kind two probabilistic automata are inferred (see
+``automaton``): one of whole values, which keeps constant prefixes and lengths, and one
+of their second halves without their ends, a loop over the kind's alphabet that also
+knows formats of which no value was seen. One more is inferred from ordinary words and
+from what is commonly made of them: identifiers, paths, dates, numbers. Every candidate,
+a run of credential characters not mostly covered by base spans, is scored by its log
+likelihood under the best automaton of credentials, less the logarithm of their number,
+against the ordinary one, and becomes a span of kind ``format`` if it reaches the model's
+``least``. An ordinary run gets there with a chance of at most FALSE, as likelihood ratios
+do; ``least`` is raised to what the ordinary values held back from the fit reach.
+
+Training values are a bounded sample, SAMPLE different values a kind (ORDINARY_SAMPLE
+words) by lowest hash, drawn in one pass over *all* documents: every base span and every
+ordinary word of each whole text is offered. Values are read whole; a prefix tree has
+automaton.STATES states at most, and what lies deeper is counted along the merged
+automaton. The second pass scores all candidates of all whole texts. Neither shuffles a
+text. Defined cases: a null text is an empty one and has no span; a kind without labelled
+values has no automaton, and a corpus without words is held against a uniform one; equal
+texts give equal spans; an empty table gives an empty table; input columns that clash
+with an output column are replaced by it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pointlake.llm.automaton import CHARACTERS, PLACE, Tables, infer
 from pointlake.llm.common import chunks, fresh, map_column, quoted, read_table, without
 
 # The base patterns and the least length of what they must find.
@@ -42,14 +50,41 @@ LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "format")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-ORDINARY = re.compile(r"[^\W\d_]{8,}")
-SAMPLE, ALPHA, GAIN = 400, 0.05, 0.75
-#: States of a prefix tree at most; what lies deeper in the values is counted in the merged automaton.
-STATES = 1 << 15
+ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?![A-Za-z0-9+/_=-])")
+SAMPLE, ORDINARY_SAMPLE, FALSE = 400, 2000, 1e-6
+#: The chance that a value of a loop ends after a character.
+LOOP_END = math.log(1 / 32)
+#: Of every kind and of ordinary words, one value in so many is held back to set ``least``.
+HELD = 5
+
+# Alphabets, and public formats of credentials as constant parts and (alphabet, least length[, most]).
+ALPHABETS = {
+    "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "alnum": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
+    "url": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_",
+    "digits": "0123456789",
+    "hex": "0123456789abcdef",
+}
+FORMATS: dict[str, tuple] = {
+    "cloud key id": ("AKIA", ("upper", 16)),
+    "cloud secret": (("base64", 40),),
+    "code host token": ("ghp_", ("alnum", 36)),
+    "code host access token": ("glpat-", ("url", 20)),
+    "payment key": ("sk_live_", ("alnum", 24)),
+    "chat bot token": ("xoxb-", ("digits", 10, 13), "-", ("digits", 10, 13), "-", ("alnum", 24)),
+    "map key": ("AIza", ("url", 35)),
+    "package token": ("npm_", ("alnum", 36)),
+    "web token part": ("eyJ", ("url", 61)),
+    "key of 256 bits": (("base64", 43), "="),
+    "uuid": (("hex", 8), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 12)),
+    "random name": (("lower", 25),),
+    "recovery code": (("upper", 24),),
+}
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
-
 def base_spans(text: str) -> list[Span]:
     """Leftmost, not overlapping within a kind; matches that are too short use up their text but are dropped."""
     out = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
@@ -63,215 +98,153 @@ def spelled(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def classes(value: str) -> str:
-    """Characters as classes: a-f, other small letters, the same for capitals, digits, and each mark by itself."""
-    return value.translate(_CLASSES)
-
-
-_CLASSES = {ord(c): "f" if c in "abcdef" else "z" for c in "abcdefghijklmnopqrstuvwxyz"} | {ord(c): "F" if c in "ABCDEF" else "Z" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): "0" for c in "0123456789"}
-#: Characters that a class stands for; a likelihood a character is the class's shared among them.
-_WIDTH = {"f": 6, "z": 20, "F": 6, "Z": 20, "0": 10}
-END = "$"
-
-
-class Automaton:
-    """A probabilistic automaton: per state, counts of next classes and of ends."""
-
-    def __init__(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.count: list[dict[str, int]] = [{}]
-
-    def step(self, state: int, c: str) -> int:
-        """Count ``c`` at a state of the tree; the state it leads to, made if there is none."""
-        self.count[state][c] = self.count[state].get(c, 0) + 1
-        if c not in self.next[state]:
-            self.next.append({})
-            self.count.append({})
-            self.next[state][c] = len(self.next) - 1
-        return self.next[state][c]
-
-    def end(self, state: int) -> None:
-        self.count[state][END] = self.count[state].get(END, 0) + 1
-
-    def follow(self, value: str, known: int) -> None:
-        """Count what comes after the first ``known`` classes without new states; unseen classes lead back to the start."""
-        state = 0
-        for c in value[:known]:
-            state = self.next[state][c]
-        for c in value[known:]:
-            self.count[state][c] = self.count[state].get(c, 0) + 1
-            state = self.next[state].get(c, 0)
-        self.end(state)
-
-    def total(self, state: int) -> int:
-        return sum(self.count[state].values())
-
-    def compatible(self, a: int, b: int, alpha: float) -> bool:
-        """Whether the continuations of two states could be draws from one distribution."""
-        todo, bound = [(a, b)], (0.5 * math.log(2 / alpha)) ** 0.5
-        while todo:
-            a, b = todo.pop()
-            n, m = self.total(a), self.total(b)
-            if not n or not m:
-                continue
-            far = bound * (n**-0.5 + m**-0.5)
-            ca, cb = self.count[a], self.count[b]
-            if any(abs(ca.get(c, 0) / n - cb.get(c, 0) / m) > far for c in ca.keys() | cb.keys()):
-                return False
-            todo += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys()]
-        return True
-
-    def fold(self, into: int, state: int) -> None:
-        """Add the tree below ``state`` to the automaton at ``into``."""
-        todo = [(into, state)]
-        while todo:
-            into, state = todo.pop()
-            for c, n in self.count[state].items():
-                self.count[into][c] = self.count[into].get(c, 0) + n
-            for c, child in self.next[state].items():
-                if c in self.next[into]:
-                    todo.append((self.next[into][c], child))
-                else:
-                    self.next[into][c] = child
-
-    def merge(self, alpha: float = ALPHA) -> "Automaton":
-        """Merge compatible states, from the root outwards; states that match none are kept."""
-        red, blue = [0], sorted(self.next[0].values())
-        parent = {child: (0, c) for c, child in self.next[0].items()}
-        while blue:
-            state = blue.pop(0)
-            home = next((r for r in red if self.compatible(r, state, alpha)), None)
-            if home is None:
-                red.append(state)
-            else:
-                above, c = parent[state]
-                self.next[above][c] = home
-                self.fold(home, state)
-            known = set(red)
-            blue, parent = [], {}
-            for r in red:
-                for c in sorted(self.next[r]):
-                    child = self.next[r][c]
-                    if child not in known and child not in parent:
-                        parent[child] = (r, c)
-                        blue.append(child)
-        return self.packed(red)
-
-    def packed(self, states: list[int]) -> "Automaton":
-        out, place = Automaton(), {s: i for i, s in enumerate(states)}
-        out.next = [{c: place[t] for c, t in self.next[s].items()} for s in states]
-        out.count = [dict(self.count[s]) for s in states]
-        return out
-
-    def tables(self) -> list[dict[str, tuple[float, int]]]:
-        """Per state: class -> (log probability of one character of it, next state); unseen classes lead back to the start."""
-        out = []
-        for s in range(len(self.next)):
-            n, kinds = self.total(s), len(_WIDTH) + 6
-            row = {}
-            for c in {*_WIDTH, *"+/_=-.", *self.count[s]} - {END}:
-                p = (self.count[s].get(c, 0) + 0.1) / (n + 0.1 * (kinds + 1))
-                row[c] = (math.log(p / _WIDTH.get(c, 1)), self.next[s].get(c, 0))
-            row[END] = (math.log((self.count[s].get(END, 0) + 0.1) / (n + 0.1 * (kinds + 1))), 0)
-            out.append(row)
-        return out
-
-
-def infer(values: list[str], alpha: float = ALPHA, states: int = STATES) -> Automaton:
-    """The automaton of whole values; its tree is made level by level and has ``states`` states at most."""
-    tree, depth = Automaton(), 0
-    live = [(classes(v), 0) for v in sorted(values)]
-    while live:
-        for shape, state in live:
-            if len(shape) == depth:
-                tree.end(state)
-        live = [(shape, state) for shape, state in live if len(shape) > depth]
-        if len(tree.next) + len({(state, shape[depth]) for shape, state in live}) > states:
-            break
-        live = [(shape, tree.step(state, shape[depth])) for shape, state in live]
-        depth += 1
-    out = tree.merge(alpha)
-    for shape, _ in live:
-        out.follow(shape, depth)
+def made_up(parts: Sequence, n: int, seed: str) -> list[str]:
+    """``n`` values of a format."""
+    pick = random.Random(seed)
+    return ["".join(p if isinstance(p, str) else "".join(pick.choice(ALPHABETS[p[0]]) for _ in range(pick.randint(p[1], p[-1]))) for p in parts) for _ in range(n)]
+
+
+def composed(words: Sequence[str]) -> list[str]:
+    """Ordinary words as they are, and joined."""
+    low = [w.lower() for w in words]
+    at = lambda i: low[i % len(low)]
+    return [x for i, w in enumerate(words) for x in (w, at(i) + at(7 * i + 1), at(i) + at(7 * i + 1) + at(13 * i + 2))]
+
+
+def chained(words: Sequence[str]) -> list[str]:
+    """What is commonly made of words: identifiers, paths, dates, names with numbers, rules of one mark."""
+    out, pick = [], random.Random("chained")
+    shapes = (str.lower, str.lower, str.title, str.upper, lambda w: "".join(pick.choice("0123456789") for _ in range(pick.randrange(1, 9))))
+    for word in words:
+        link, shape = pick.choice(("", "-", "_", "/", "_", "=")), pick.choice(shapes)
+        parts = [shape(word)] + [(shape if pick.random() < 0.7 else pick.choice(shapes))(pick.choice(words)) for _ in range(pick.randrange(1, 6))]
+        out.append(link.join(parts) if link or shape is str.title else parts[0] + "".join(pick.choice(("", "-", "_", "/", "=", "+")) + p for p in parts[1:]))
+        if pick.random() < 0.05:
+            out.append(pick.choice("-=_+/") * pick.randrange(3, 60))
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Tables of the automata by kind; ``ordinary`` is the one to beat."""
-
-    kinds: dict[str, list[dict[str, tuple[float, int]]]]
-    ordinary: list[dict[str, tuple[float, int]]] | None
+    """Tables of the automata of whole values and of inner parts; the best of ``ordinary`` is the one to beat by ``least``."""
 
-    def likelihood(self, table: list[dict[str, tuple[float, int]]], shape: str) -> float:
-        """Mean log probability a character."""
-        state, total, worst = 0, 0.0, math.log(1e-4)
-        for c in shape:
-            p, state = table[state].get(c, (worst, 0))
-            total += p
-        return (total + table[state][END][0]) / (len(shape) + 1)
+    whole: list[Tables]
+    inner: list[Tables]
+    ordinary: list[Tables]
+    least: float = -math.log(FALSE)
 
     def gain(self, value: str) -> float:
-        if not self.kinds:
+        """Log likelihood as a credential against that as an ordinary run; minus infinity without automata."""
+        if not self.whole:
             return -math.inf
-        shape = classes(value)
-        best = max(self.likelihood(t, shape) for t in self.kinds.values())
-        return best - (self.likelihood(self.ordinary, shape) if self.ordinary else math.log(1 / 64))
+        places = [PLACE.get(c, 0) for c in value]
+        best = max(max(t.likelihood(places) for t in self.whole), max(t.likelihood(places, False) for t in self.inner) + LOOP_END)
+        against = max((t.likelihood(places) for t in self.ordinary), default=-(len(value) + 1) * math.log(len(CHARACTERS)))
+        return best - math.log(len(self.whole) + len(self.inner)) - against
+
+
+def learned(values: dict[str, list[str]], ordinary: list[str]) -> Model:
+    """The model of labelled values by kind and of ordinary words."""
+    values = {k: v for k, v in sorted(values.items()) if v}
+    words = sorted(set(ordinary))
+    random.Random("words").shuffle(words)
+
+    def fitted(values: dict[str, list[str]], words: list[str], least: float) -> Model:
+        inner = {k: [x[len(x) // 2 :] for x in v] for k, v in values.items()}
+        plain = [infer(composed(words)).tables(), infer(chained(words), last=True).tables()] if words else []
+        return Model([infer(v).tables() for v in values.values()], [infer(v, ends=False).tables() for v in inner.values()], plain, least)
+
+    least = -math.log(FALSE)
+    if len(words) >= 2 * HELD:
+        held = words[::HELD]
+        trial = fitted(values, [w for i, w in enumerate(words) if i % HELD], least)
+        least = max([least, *(trial.gain(x) for x in composed(held) + chained(held) if len(x) >= 16)])
+    return fitted(values, words, least)
+
+
+def covered(spans: list[Span]) -> list[tuple[int, int]]:
+    """The union of spans as (start, end), in order."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def replaced(text: str, spans: list[Span], mark: str) -> str:
+    """``text`` with ``mark`` in place of each run that spans cover."""
+    out, at = [], 0
+    for a, b in covered(spans):
+        out += [text[at:a], mark]
+        at = b
+    return "".join([*out, text[at:]]) if out else text
 
 
 def labelled(text: str) -> Iterator[tuple[str, str]]:
-    """(kind, value) of the base spans, and of all ordinary long words that touch none."""
+    """(kind, value) of the base spans, and of all ordinary words that touch none."""
     spans = base_spans(text)
     for a, k, b in spans:
         value = text[a:b]
         yield KINDS[k], ASSIGN.match(value)[2] if k == 0 else value
-    at, reach = 0, 0  # spans that begin before the word's end, and how far they go
-    for m in ORDINARY.finditer(text):
-        while at < len(spans) and spans[at][0] < m.end():
-            reach = max(reach, spans[at][2])
-            at += 1
-        if reach <= m.start():
-            yield "ordinary", m[0]
+    for word in ORDINARY.findall(replaced(text, spans, "=")):
+        yield "ordinary", word
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Automata of ``sample`` different values a kind, those of the lowest hash over all documents.
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, words: int = ORDINARY_SAMPLE, more: dict[str, list[str]] | None = None) -> Model:
+    """The model of ``sample`` different values a kind (``words`` ordinary ones), those of the lowest hash over all documents, of made-up values of FORMATS and of ``more``, labelled values by kind.
 
-    Every value is offered; each task passes on its lowest ``sample`` a kind, Spark keeps the lowest of all.
+    Every value is offered; each task passes on its lowest a kind, Spark keeps the
+    lowest of 16 parts of the hash, and the driver the lowest of those.
     """
     schema = pa.schema([("kind", pa.string()), ("h", pa.string()), ("value", pa.string())])
+    most = lambda kind: words if kind == "ordinary" else sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[str, str]] = {}
+        seen: set[tuple[str, str]] = set()
         for batch in batches:
             for texts in chunks(batch.column(0)):
                 for text in texts:
-                    for kind, value in set(labelled(text)):
+                    new = set(labelled(text)) - seen
+                    seen |= new
+                    for kind, value in new:
                         of = held.setdefault(kind, {})
                         of[hashlib.blake2b(value.encode(), digest_size=12).hexdigest()] = value
-                        if len(of) > 4 * sample:
-                            held[kind] = {h: of[h] for h in sorted(of)[:sample]}
-        rows = [(k, h, of[h]) for k, of in held.items() for h in sorted(of)[:sample]]
+                        if len(of) > 4 * most(kind):
+                            held[kind] = {h: of[h] for h in sorted(of)[: most(kind)]}
+                    if len(seen) > 1 << 17:
+                        seen.clear()
+        rows = [(k, h, of[h]) for k, of in held.items() for h in sorted(of)[: most(k)]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
 
     found = docs.select(quoted(text_col).alias("t")).mapInArrow(run, "kind string, h string, value string")
-    # of each task at most sample rows a kind; dealt by the last digit of the hash, ranked, then ranked again
+    # of each task at most the sample a kind; dealt by the last digit of the hash, 16 parts, and ranked in them
     near = found.distinct().withColumn("part", F.substring("h", -1, 1))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("kind", "part").orderBy("h"))).where(F.col("r") <= sample)
-    kept = near.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("h"))).where(F.col("r") <= sample)
-    values: dict[str, list[str]] = {}
-    for r in kept.select("kind", "value").collect():
-        values.setdefault(r.kind, []).append(r.value)
-    ordinary = values.pop("ordinary", None)
-    return Model({k: infer(v).tables() for k, v in sorted(values.items())}, infer(ordinary).tables() if ordinary else None)
-
-
-def all_spans(text: str, model: Model, gain: float = GAIN) -> tuple[list[Span], list[Span]]:
-    """(base spans, base and format spans)."""
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("kind", "part").orderBy("h")))
+    kept = near.where(F.col("r") <= F.when(F.col("kind") == "ordinary", words).otherwise(sample)).select("kind", "h", "value")
+    values: dict[str, list[tuple[str, str]]] = {}
+    for r in kept.collect():  # 16 samples a kind at most
+        values.setdefault(r.kind, []).append((r.h, r.value))
+    found_ = {k: [v for _, v in sorted(of)[: most(k)]] for k, of in values.items()}
+    ordinary = found_.pop("ordinary", [])
+    made = {name: made_up(parts, sample, name) for name, parts in FORMATS.items()}
+    return learned(found_ | made | (more or {}), ordinary)
+
+
+def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
+    """(base spans, base and format spans); runs that base spans cover by half or more are left to them."""
     base = base_spans(text)
-    more = []
+    union, at, more = covered(base), 0, []
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base) and model.gain(m[0]) >= gain:
+        while at < len(union) and union[at][1] <= m.start():
+            at += 1
+        inside, i = 0, at
+        while i < len(union) and union[i][0] < m.end():
+            inside += min(m.end(), union[i][1]) - max(m.start(), union[i][0])
+            i += 1
+        if 2 * inside < len(m[0]) and model.gain(m[0]) >= model.least:
             more.append((m.start(), 3, m.end()))
     return base, sorted(base + more) if more else base
 
@@ -302,18 +275,9 @@ def scanned(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def redacted(df: DataFrame, model: Model, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of ``text_col`` replaced by ``mark``; overlapping spans are one. Null stays null."""
 
-    def clean(text: str) -> str:
-        _, spans = all_spans(text, model)
-        out, at = [], 0
-        for a, _, b in spans:
-            if a >= at:
-                out += [text[at:a], mark]
-            at = max(at, b)
-        return "".join([*out, text[at:]]) if spans else text
-
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            done = [clean(t) for texts in chunks(batch) for t in texts]
+            done = [replaced(t, all_spans(t, model)[1], mark) for texts in chunks(batch) for t in texts]
             yield pa.StructArray.from_arrays([pa.array(done, pa.string())], ["text"])
 
     made = fresh(df, "clean")

@@ -1,11 +1,12 @@
 import hashlib
+import math
 import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pointlake.llm import secrets
+from pointlake.llm import automaton, secrets
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,16 +31,77 @@ def test_base_spans(text):
     assert secrets.base_spans(text) == brute(text)
 
 
-def test_merging_generalises_and_scores_formats():
-    pick = random.Random(4)
-    hexes = ["".join(pick.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
-    words = ["".join(pick.choice(["th", "er", "on", "ing", "tion"]) for _ in range(pick.randrange(3, 9))) for _ in range(300)]
-    auto = secrets.infer(hexes)
-    assert len(auto.next) < 200
-    model = secrets.Model({"hex": auto.tables()}, secrets.infer(words).tables())
-    new = "".join(pick.choice("0123456789abcdef") for _ in range(40))
-    assert model.gain(new) > secrets.GAIN > model.gain("thertioningeron") and model.gain("tionthtionerthing") < 0
-    assert secrets.Model({}, None).gain(new) < 0
+WORDS = ["th", "er", "on", "ing", "tion", "ver", "heit", "que", "ment", "aux", "be", "sch"]
+#: Formats of which no value is learned, by parts.
+UNSEEN = {
+    "ghu": ("ghu_", ("alnum", 36)), "asia": ("ASIA", ("upper", 16)), "hf": ("hf_", ("alnum", 34)), "rk_test": ("rk_test_", ("alnum", 24)),
+    "base64-40": (("base64", 40),), "xapp": ("xapp-1-", ("upper", 11), "-", ("digits", 13), "-", ("lower", 64)), "alnum-32": (("alnum", 32),), "EAAC": ("EAACEdEose0cBA", ("alnum", 30)),
+}
+
+
+def words(n, seed=4):
+    pick = random.Random(seed)
+    return sorted({"".join(pick.choice(WORDS) for _ in range(pick.randrange(1, 6))) for _ in range(n)})
+
+
+def seeds(but=()):
+    return {n: secrets.made_up(p, 200, n) for n, p in secrets.FORMATS.items() if n not in but}
+
+
+def recall(model, parts, n=200):
+    return sum(model.gain(v) >= model.least for v in secrets.made_up(parts, n, f"planted {parts}")) / n
+
+
+def plain_likelihood(auto, value, ends=True):
+    """The probability of a value by the definition, from the counts."""
+    state, total = 0, 0.0
+    kinds, odd = automaton.CLASSES, automaton.ODD / (len(automaton.CHARACTERS) + 1)
+    for c in [*value, automaton.END] if ends else value:
+        count, chars = auto.count[state], auto.chars[state]
+        n, t = sum(count.values()), sum(chars.values())
+        k = automaton.CLASS_OF.get(c, automaton.END)
+        share = count[k] / n if n else 0.5 / (0.5 * (len(kinds) + 1))
+        if c != automaton.END:
+            own, among = min(automaton.OWN, t / (t + len(chars))) if t else 0, sum(chars[x] for x in kinds[k])
+            share *= own * (chars[c] / among if among else 1 / len(kinds[k])) + (1 - own) / len(kinds[k])
+            state = auto.find(auto.next[state][k]) if k in auto.next[state] else state
+        total += math.log((1 - automaton.ODD) * share + odd)
+    return total
+
+
+def test_automata_keep_prefixes_and_lengths_and_find_loops():
+    values = secrets.made_up(("ghp_", ("alnum", 20)), 400, "x")
+    auto = automaton.infer(values)
+    tables = auto.tables()
+    score = lambda v, ends=True: tables.likelihood([automaton.PLACE[c] for c in v], ends)
+    assert len(auto.reached()) >= 25
+    new = "ghp_" + "aB3" * 6 + "x9"
+    assert score(new) > score("xyz_" + new[4:]) + 10
+    ends = [score(new[:n]) - score(new[:n], False) for n in range(25)]
+    assert ends[24] > -0.1 and max(ends[:24]) < -5
+    loops = automaton.infer(["ab0" * n for n in range(1, 40) for _ in range(20)], ends=False)
+    assert len(loops.reached()) <= 12
+    for v in (new, "ghp_x", "+/=", ""):
+        assert abs(score(v) - plain_likelihood(auto, v)) < 1e-3
+
+
+def test_formats_are_found_and_words_are_not():
+    model = secrets.learned(seeds(), words(3000))
+    for name, parts in {**secrets.FORMATS, **UNSEEN}.items():
+        assert recall(model, parts) >= 0.9, name
+    for v in ["max_record_count_per_partition", "org/apache/spark/sql/catalyst", "INTERNATIONALIZATION", "verheitmentschtion", "-" * 40, "//www.example.com/2019/07/31/a-title", "covid19-vaccination-rates-2021"]:
+        assert model.gain(v) < model.least, v
+    found = [v for v in secrets.composed(words(500, 9)) + secrets.chained(words(500, 9)) if len(v) >= 16 and model.gain(v) >= model.least]
+    assert not found
+    assert secrets.learned({}, words(50)).gain("ghp_" + "aB3" * 12) == -math.inf
+    assert secrets.learned(seeds(), []).gain("ghp_" + "aB3" * 12) > 0
+
+
+def test_formats_left_out_of_the_fit_are_found_by_the_others():
+    vocabulary, shares = words(3000), []
+    for name in ("cloud secret", "code host access token", "payment key"):
+        shares.append(recall(secrets.learned(seeds([name]), vocabulary), secrets.FORMATS[name]))
+    assert min(shares) >= 0.9
 
 
 def test_words_of_whole_texts_are_offered():
@@ -47,21 +109,56 @@ def test_words_of_whole_texts_are_offered():
     assert [v for k, v in secrets.labelled(text) if k == "ordinary"] == ["boilerplate"] * 6 + [f"ordinary{c * 3}" for c in "abcdefgh"]
 
 
-def test_sample_is_the_lowest_of_all_words(spark):
+def test_sample_is_the_lowest_of_all_words(spark, monkeypatch):
     pick = random.Random(8)
-    words = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randrange(8, 14))) for _ in range(900)]
-    docs = spark.createDataFrame([("opening " * 6 + " ".join(words[i : i + 90]),) for i in range(0, 900, 90)], "text string")
-    lowest = sorted(words, key=lambda w: hashlib.blake2b(w.encode(), digest_size=12).hexdigest())[:50]
-    assert secrets.fit(docs, sample=50).ordinary == secrets.infer(lowest).tables()
+    texts = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randrange(8, 14))) for _ in range(900)]
+    docs = spark.createDataFrame([("opening " * 6 + " ".join(texts[i : i + 90]),) for i in range(0, 900, 90)], "text string")
+    lowest = sorted(texts + ["opening"], key=lambda w: hashlib.blake2b(w.encode(), digest_size=12).hexdigest())[:50]
+    monkeypatch.setattr(secrets, "learned", lambda values, ordinary: (values, ordinary))
+    values, ordinary = secrets.fit(docs, words=50, more={"own": ["x"]})
+    assert ordinary == lowest and set(values) == {*secrets.FORMATS, "own"}
 
 
 def test_values_are_read_whole():
     values = ["ab" * 50 + "9" * n for n in range(1, 200)]
-    for states in (50, 120, secrets.STATES):
-        auto = secrets.infer(values, states=states)
-        assert len(auto.next) <= states
+    for states in (50, 120, automaton.STATES):
+        auto = automaton.infer(values, states=states)
+        assert len(auto.into) <= states
         # every class of every value and one end a value
-        assert sum(c.get("0", 0) for c in auto.count) == sum(range(1, 200)) and sum(c.get(secrets.END, 0) for c in auto.count) == len(values)
+        counts = [auto.count[s] for s in auto.reached()]
+        assert sum(c["0"] for c in counts) == sum(range(1, 200)) and sum(c[automaton.END] for c in counts) == len(values)
+
+
+def brute_spans(text, model):
+    """Base spans, and candidates that base spans cover by less than half and that the model takes."""
+    base = brute(text)
+    inside = set().union(*(range(a, b) for a, _, b in base)) if base else set()
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text or ""):
+        if len(m[0]) >= 16 and 2 * sum(i in inside for i in range(*m.span())) < len(m[0]) and model.gain(m[0]) >= model.least:
+            more.append((m.start(), 3, m.end()))
+    return sorted(base + more)
+
+
+def test_planted_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    pick, planted, rows = random.Random(11), {}, []
+    kinds = {**UNSEEN, **{k: secrets.FORMATS[k] for k in ("code host token", "payment key", "chat bot token")}}
+    for i, (doc, text) in enumerate(docs):
+        if i % 5 == 0 and text:
+            name = pick.choice(sorted(kinds))
+            value, at = secrets.made_up(kinds[name], 1, f"{name} {doc}")[0], text.find(" ", len(text) // 2)
+            text, planted[doc] = f"{text[:at]} {value} {text[at + 1:]}" if at > 0 else f"{text} {value} ", (name, value)
+        rows.append((doc, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.fit(df)
+    got = {r.doc_id: r for r in secrets.scanned(df, model).collect()}
+    assert all(got[i].spans == secrets.spelled(brute_spans(t, model)) for i, t in rows)
+    by = {}
+    for doc, (name, value) in planted.items():
+        by.setdefault(name, []).append(value not in secrets.replaced(dict(rows)[doc], secrets.all_spans(dict(rows)[doc], model)[1], ""))
+    assert len(by) >= 5 and all(sum(v) >= 0.9 * len(v) for v in by.values()), by
+    assert sum(r.n_format for i, r in got.items() if i not in planted) <= 0.01 * len(rows)
 
 
 def test_frame(spark):
