@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 from math import comb
 
@@ -10,8 +11,9 @@ SF = "/root/testdata/sf0.01"
 
 
 def brute(rows):
-    """doc id -> class id by all pairs of (id, text)."""
-    sets = {i: frozenset(dart.shingles(t or "").tolist()) for i, t in rows}
+    """doc id -> class id by all pairs of (id, text): similarity of the shingles' counts."""
+    counts = {i: Counter(dart.shingles(t or "").tolist()) for i, t in rows}
+    sets = {i: frozenset((s, k) for s, n in c.items() for k in range(n)) for i, c in counts.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -72,6 +74,8 @@ def test_odd_rows_and_large_groups(spark):
     repeated = spark.createDataFrame([(None, "a b", "p"), (None, "a b", "p"), (1, "a  b", "q"), (2, "c", "r"), (2, "c", "r")], "doc_id long, text string, CLASS_ID string")
     out = sorted((r.class_id, r.class_size) for r in dart.classes(repeated).collect())
     assert out == [(1, 3)] * 3 + [(2, 2)] * 2
+    clash = spark.createDataFrame([(1, "a b", "z"), (1, "a b", "y"), (1, "a b", None)], "doc_id long, text string, k string")
+    assert {tuple(dart.deduplicated(clash.repartition(n)).collect()[0]) for n in (1, 3)} == {(1, "a b", "y")}
     kept = dart.deduplicated(repeated)
     assert kept.columns == ["doc_id", "text", "CLASS_ID"] and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert dart.classes(repeated.limit(0)).count() == 0 and dart.deduplicated(repeated.limit(0)).count() == 0
@@ -79,5 +83,58 @@ def test_odd_rows_and_large_groups(spark):
 
 def test_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got = {r.doc_id: r.class_id for r in dart.op10_dart_minhash(spark, SF).collect()}
-    assert got == brute(docs)
+    rows = dart.op10_dart_minhash(spark, SF).collect()
+    want = brute(docs)
+    assert {r.doc_id: r.class_id for r in rows} == want
+    rep = {r.doc_id: r.rep_id for r in rows}
+    assert all(want[i] == want[r] and rep[r] == r for i, r in rep.items())
+
+
+def test_links_join_the_classes_and_are_similar(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: Counter(dart.shingles(r.text or "").tolist()) for r in docs.collect()}
+    found, root = dart.links(docs).collect(), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        x, y = texts[a], texts[b]
+        assert a < b and sum((x & y).values()) >= 0.8 * sum((x | y).values())
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    for r in dart.classes(docs).collect():
+        assert find(r.rep_id) == r.class_id
+
+
+def test_weights_decide(spark):
+    """Texts with one set of shingles but other counts, and texts whose repeats make them alike."""
+    pick = random.Random(6)
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(12)) + " "
+    rows = [(1, line(1) * 3 + line(2)), (2, line(1) * 30 + line(2)), (3, line(3) * 40 + line(4)), (4, line(3) * 39 + line(5)), (5, line(3) * 36 + line(6)), (6, line(7) * 2 + line(8))]
+    rows += [(100 + i, line(9) * pick.randrange(20, 60)) for i in range(60)]
+    got = {r.doc_id: r.class_id for r in dart.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[1] != got[2] and got[3] == got[4]
+    rng = np.random.default_rng(1)
+    u = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    w = rng.integers(1, 9, 500).astype(float)
+    assert len(set(dart.occurrences(np.sort(u), w).tolist())) == int(w.sum())
+
+
+def test_blocks_of_long_and_many_texts(spark, monkeypatch):
+    """Blocks so small that bands have many of them, with a cloud that its leader does not settle."""
+    monkeypatch.setattr(dart, "BLOCK", 1 << 12)
+    monkeypatch.setattr(dart, "LEAST_TEXT", 1 << 8)
+    pick = random.Random(7)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(90):  # three clouds around texts that are not there, and bridges of some
+        v = list(base)
+        for j in range(0, 400, 40):
+            if pick.random() < 0.55:
+                v[j + i % 3] = f"own{i}x{j}"
+        rows.append((i, " ".join(v)))
+    rows += [(200 + i, " ".join(base + [f"t{i}x{j}" for j in range(3000)])) for i in range(4)]
+    got = {r.doc_id: r.class_id for r in dart.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
