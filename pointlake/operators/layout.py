@@ -8,6 +8,7 @@ holds the rows of one cell of one subfile, so its size is bounded by the subfile
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,15 +24,25 @@ from pointlake.schema import ParticleSchema
 
 #: Rows below which a node is a leaf, and blocks an axis at most (as bits).
 LEAF_ROWS, MOST_BLOCK_BITS = 128, 6
+#: Rows of a map that is broadcast, at most (some 50 bytes each); beyond it Spark chooses the join.
+MOST_BROADCAST = 1 << 20
 
 
 def bounds_and_rows(df: DataFrame, schema: ParticleSchema) -> tuple[Box, int]:
     """The box of all positions that are numbers (empty without any), and the number of rows."""
+    box, n, _ = described(df, schema, ())
+    return box, n
+
+
+def described(df: DataFrame, schema: ParticleSchema, attrs: tuple[str, ...]) -> tuple[Box, int, dict[str, tuple]]:
+    """Bounds, rows and the ranges of ``attrs``, in one pass."""
     parts = [f(F.when(~F.isnan(c), F.col(c))).alias(f"{n}{i}") for i, c in enumerate(schema.positions) for n, f in (("l", F.min), ("u", F.max))]
+    parts += [f(a).alias(f"{n}_{i}") for i, a in enumerate(attrs) for n, f in (("lo", F.min), ("hi", F.max))]
     r = df.agg(F.count(F.lit(1)).alias("n"), *parts).first()
+    ranges = {a: (r[f"lo_{i}"], r[f"hi_{i}"]) for i, a in enumerate(attrs)}
     if r.l0 is None or r.l1 is None or r.l2 is None:
-        return Box(), r.n
-    return Box((float(r.l0), float(r.l1), float(r.l2)), (float(r.u0), float(r.u1), float(r.u2))), r.n
+        return Box(), r.n, ranges
+    return Box((float(r.l0), float(r.l1), float(r.l2)), (float(r.u0), float(r.u1), float(r.u2))), r.n, ranges
 
 
 def bounds_of(df: DataFrame, schema: ParticleSchema) -> Box:
@@ -63,33 +74,67 @@ def block_bits(rows: int, most: int) -> int:
     return min(MOST_BLOCK_BITS, max(2, math.ceil(math.log2(max(1, 8 * rows / most)) / 3)))
 
 
-def planned(df: DataFrame, schema: ParticleSchema, options: Options, bounds: Box | None = None) -> tuple[DataFrame, partition.Plan, DataFrame]:
+#: Bits an axis by which a block above a subfile's size is cut, on its own bounds.
+FINER_BITS = 3
+
+
+def _finer(heavy: list, most: int, base: int) -> tuple[list[tuple], int]:
+    """How each heavy block is cut: (block, first new id, lower corner and cells per length by axis, parts by hash); and the next free id.
+
+    A block without extent is dealt into parts by a hash of its rows' ids.
+    """
+    cuts = []
+    for r in heavy:
+        spans = [0.0 if lo is None else hi - lo for lo, hi in ((r.l0, r.u0), (r.l1, r.u1), (r.l2, r.u2))]
+        scales = [(1 << FINER_BITS) / s if s > 1e-300 else 0.0 for s in spans]
+        parts = 0 if any(scales) else -(-r.n // most)
+        cuts.append((r.b, base, *[0.0 if lo is None else lo for lo in (r.l0, r.l1, r.l2)], *scales, parts))
+        base += max(parts, 1 << 3 * FINER_BITS)
+    return cuts, base
+
+
+def planned(df: DataFrame, schema: ParticleSchema, options: Options, bounds: Box | None = None, rows: int | None = None) -> tuple[DataFrame, partition.Plan, DataFrame]:
     """``df`` with ``subfile``, the plan, and the subfiles' boxes (one row each, from the histogram).
 
-    Blocks above a subfile's capacity are cut into finer ones before planning
-    (only their rows are counted again), so that a hot spot becomes many blocks.
+    Blocks above a subfile's capacity are cut into finer ones on their own bounds,
+    again and again until each fits (only their rows are counted again), so that a
+    hot spot becomes many blocks however small it is beside the whole; rows in one
+    place are dealt by hash. Only rows that share position and id stay together.
     """
     most = partition.capacity(options.bytes_per_subfile, schema.bytes_per_row())
     corners = [f(F.when(~F.isnan(c), F.col(c))).cast("double").alias(f"{n}{i}") for i, c in enumerate(schema.positions) for n, f in (("l", F.min), ("u", F.max))]
 
-    def counted(rows: DataFrame, block: Column) -> dict:
-        return {r.b: r for r in rows.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), *corners).collect()}
+    def counted(rows: DataFrame) -> dict:
+        return {r.b: r for r in rows.groupBy(F.col("__block").alias("b")).agg(F.count(F.lit(1)).alias("n"), *corners).collect()}
 
+    spark, base = df.sparkSession, 1 << 3 * morton.BITS
     if options.block_column:
-        block: Column = F.col(options.block_column).cast("long")
-        found = counted(df, block)
+        placed = df.withColumn("__block", F.col(options.block_column).cast("long"))
+        found = counted(placed)
     else:
-        bounds, rows = (bounds, df.count()) if bounds else bounds_and_rows(df, schema)
+        if bounds is None or rows is None:
+            bounds, rows = bounds_and_rows(df, schema)
         code = morton.morton3(*map(F.col, schema.positions), bounds) if not bounds.empty else F.lit(0).cast("long")
-        bits = block_bits(rows, most)
-        block = morton.cell(code, bits)
-        found = counted(df, block)
-        heavy = [b for b, r in found.items() if r.n > most and b is not None]
-        if heavy and bits < morton.BITS:
-            # only rows of blocks above a subfile's size are counted again; finer ids come after all coarse ones
-            fine = morton.cell(code, min(morton.BITS, bits + 3)) + (1 << 3 * morton.BITS)
-            found = {b: r for b, r in found.items() if b not in set(heavy)} | counted(df.where(block.isin(heavy)), fine)
-            block = F.when(block.isin(heavy), fine).otherwise(block)
+        placed = df.withColumn("__block", F.coalesce(morton.cell(code, block_bits(rows, most)), F.lit(0).cast("long")))
+        found, done = counted(placed), set()
+        # as many rows as there are blocks above a subfile's size: fewer than subfiles
+        while heavy := [r for b, r in sorted(found.items()) if r.n > most and b not in done]:
+            cuts, after = _finer(heavy, most, base)
+            table = spark.createDataFrame(cuts, "__of long, __first long, __l0 double, __l1 double, __l2 double, __s0 double, __s1 double, __s2 double, __parts long")
+            last = F.lit((1 << FINER_BITS) - 1)
+
+            def cell(i: int, c: str) -> Column:
+                at = F.least(last, F.greatest(F.lit(0), F.floor((F.col(c) - F.col(f"__l{i}")) * F.col(f"__s{i}")).cast("int")))
+                return F.when(F.col(c).isNull() | F.isnan(c), 0).otherwise(at)
+
+            x, y, z = (cell(i, c) for i, c in enumerate(schema.positions))
+            inside = F.when(F.col("__parts") > 0, F.pmod(F.xxhash64(schema.pid), F.col("__parts"))).otherwise((x + (y + z * (1 << FINER_BITS)) * (1 << FINER_BITS)).cast("long"))
+            joined = placed.join(F.broadcast(table), F.col("__block") == F.col("__of"), "left")
+            placed = joined.withColumn("__block", F.when(F.col("__of").isNull(), F.col("__block")).otherwise(F.col("__first") + inside)).drop(*[f.name for f in table.schema])
+            new = counted(placed.where(F.col("__block") >= base))
+            done |= {b for c in cuts for b in range(c[1], c[1] + c[-1]) if b in new}
+            gone = {r.b for r in heavy}
+            found, base = {b: r for b, r in found.items() if b not in gone} | new, after
     blocks = [partition.Block(b, tuple(0.0 if v is None else v for v in (r.l0, r.l1, r.l2)), r.n) for b, r in sorted(found.items(), key=lambda x: (x[0] is None, x[0]))]
     if options.fixed_subfiles:
         plan = partition.fixed(blocks, options.fixed_subfiles)
@@ -100,13 +145,13 @@ def planned(df: DataFrame, schema: ParticleSchema, options: Options, bounds: Box
         ends = [(f"{side}{i}", pick) for i in range(3) for side, pick in (("l", min), ("u", max))]
         values = {name: [v for b in leaf if (v := found[b.id][name]) is not None] for name, _ in ends}
         edges.append((n, *[pick(values[name]) if values[name] else None for name, pick in ends]))
-    spark = df.sparkSession
     boxes = spark.createDataFrame(edges or [(0, *[None] * 6)], "subfile int, __l0 double, __u0 double, __l1 double, __u1 double, __l2 double, __u2 double")
     if len(plan.leaves) <= 1:
         return df.withColumn("subfile", F.lit(0)), plan, boxes
-    # the map has a row a block, at most 2 ** (3 * MOST_BLOCK_BITS) and the finer ones: bounded by the grid
+    # the map has a row a block: at most 2 ** (3 * MOST_BLOCK_BITS) and 512 for each one cut, fewer than subfiles
     table = spark.createDataFrame(list(plan.subfile_of().items()), "__of long, subfile int")
-    return df.withColumn("__block", block).join(F.broadcast(table), F.col("__block").eqNullSafe(F.col("__of"))).drop("__block", "__of"), plan, boxes
+    table = F.broadcast(table) if len(found) <= MOST_BROADCAST else table
+    return placed.join(table, F.col("__block").eqNullSafe(F.col("__of"))).drop("__block", "__of"), plan, boxes
 
 
 def treelet(points: np.ndarray, pids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
@@ -198,15 +243,20 @@ def built(df: DataFrame, schema: ParticleSchema) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, kind)
 
 
-def split_planes(df: DataFrame, schema: ParticleSchema) -> DataFrame:
-    """The planes at which treelets were split: one row each, with the box they divide."""
-    out = "subfile int, cell int, node int, level int, axis int, position double, lx double, ly double, lz double, ux double, uy double, uz double"
+PLANES = "subfile int, cell int, node int, level int, axis int, position double, lx double, ly double, lz double, ux double, uy double, uz double"
+
+
+def split_planes(df: DataFrame, schema: ParticleSchema, keys: Sequence[str] = ("subfile", "cell")) -> DataFrame:
+    """The planes at which treelets were split: one row each, with the box they divide; ``keys`` name a treelet, the cell last."""
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    own = PLANES.split(", ", 2)[2]
+    names = [*keys, *(c.split()[0] for c in own.split(", "))]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         planes = treelet(rows[list(schema.positions)].to_numpy(np.float64), rows[schema.pid].to_numpy(), int(key[-1]))[4]
-        return pd.DataFrame([(*key, *p) for p in planes], columns=[c.split()[0] for c in out.split(", ")])
+        return pd.DataFrame([(*key, *p) for p in planes], columns=names)
 
-    return df.select("subfile", "cell", *schema.positions, schema.pid).groupBy("subfile", "cell").applyInPandas(run, out)
+    return df.select(*keys, *schema.positions, schema.pid).groupBy(*keys).applyInPandas(run, ", ".join([*kinds, own]))
 
 
 def node_table(df: DataFrame, schema: ParticleSchema, ranges: dict[str, tuple]) -> DataFrame:
@@ -220,3 +270,13 @@ def node_table(df: DataFrame, schema: ParticleSchema, ranges: dict[str, tuple])
         aggs += [F.min(a).cast("double").alias(f"min_{a}"), F.max(a).cast("double").alias(f"max_{a}"), F.bit_or(bits).alias(f"bits_{a}")]
     keys = [c for c in (schema.timestep, "subfile", "cell") if c]
     return df.groupBy(*keys).agg(*aggs)
+
+
+def subfile_table(nodes: DataFrame, schema: ParticleSchema, ranges: dict[str, tuple]) -> DataFrame:
+    """Per subfile: what its cells have together, and the ranges that its bitmaps are on."""
+    aggs = [F.sum("n").alias("n"), F.max("max_level").alias("max_level"), *[F.min(c).alias(c) for c in ("lx", "ly", "lz")], *[F.max(c).alias(c) for c in ("ux", "uy", "uz")]]
+    for a in schema.attrs:
+        lo, hi = (F.lit(None if v is None else float(v)).cast("double") for v in ranges[a])
+        aggs += [F.min(f"min_{a}").alias(f"min_{a}"), F.max(f"max_{a}").alias(f"max_{a}"), F.bit_or(f"bits_{a}").alias(f"bits_{a}"), F.first(lo).alias(f"lo_{a}"), F.first(hi).alias(f"hi_{a}")]
+    keys = [c for c in (schema.timestep, "subfile") if c]
+    return nodes.groupBy(*keys).agg(*aggs)

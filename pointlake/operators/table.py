@@ -14,11 +14,15 @@ from pyspark.sql import types as T
 from pointlake.functions import bitmap, lod
 from pointlake.functions.geometry import Box
 from pointlake.operators import layout
+from pointlake.operators.writer import latest
 from pointlake.plans.query import QuerySpec, Range, run
 from pointlake.schema import ParticleSchema
+from pointlake.storage import read_text
 
-#: Subfiles listed one by one in a filter, at most; beyond that the rows' own bounds prune.
+#: Runs of subfiles in a filter, at most; more of them are joined as a table, which is broadcast up to MOST_BROADCAST rows.
 MOST_LISTED = 1000
+#: Columns of the layout, which a query does not return unless they are named.
+LAYOUT = ("morton", "cell", "version", "subfile", "lod_level", "lod_node", "lod_idx", "lod_cnt")
 
 
 class ParticleTable:
@@ -40,11 +44,20 @@ class ParticleTable:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "ParticleTable":
-        info = json.loads(spark.read.text(f"{path}/_info", wholetext=True).first().value)
-        schema = ParticleSchema.from_json(json.dumps(info["schema"]))
-        ranges = {a: tuple(r) for a, r in info["ranges"].items()}
-        read = lambda part: spark.read.schema(T.StructType.fromJson(json.loads(info["kinds"][part]))).parquet(f"{path}/{part}")
-        return cls(read("data"), schema, read("subfiles"), read("nodes"), ranges)
+        """The table as the latest commit says; later saves do not change it."""
+        _, steps, versions = latest(spark, path)
+        if not versions:
+            raise FileNotFoundError(f"no commit in {path}")
+        info = {v: json.loads(read_text(spark, f"{path}/versions/{v}.json")) for v in versions}
+        newest = info[versions[-1]]
+        schema = ParticleSchema.from_json(json.dumps(newest["schema"]))
+        def read(part: str) -> DataFrame:
+            kind = T.StructType.fromJson(json.loads(newest["kinds"][part]))
+            kind = T.StructType([*kind.fields, T.StructField("version", T.StringType())])
+            found = spark.read.schema(kind).option("basePath", f"{path}/{part}").parquet(*[f"{path}/{part}/version={v}" for v in versions])
+            return found.where(_live(schema, steps, info))
+
+        return cls(read("data"), schema, read("subfiles"), read("nodes"))
 
     @property
     def attributes(self) -> tuple[str, ...]:
@@ -56,8 +69,14 @@ class ParticleTable:
         return {"name": name, "dtype": self.schema.dtypes.get(name, "UNKNOWN"), "range": [lo, hi]}
 
     def ranges(self) -> dict[str, tuple]:
-        if self._ranges is None:
+        """Smallest and largest value by attribute, of subfiles' metadata where there is any."""
+        if self._ranges is None and self.subfiles_df is None:
             self._ranges = layout.attribute_ranges(self.df, self.schema.attrs)
+        elif self._ranges is None:
+            self._ranges = {}
+            for a in self.schema.attrs:
+                ends = [(r[f"min_{a}"], r[f"max_{a}"]) for r in self._subfiles() if r[f"min_{a}"] is not None]
+                self._ranges[a] = (min(e[0] for e in ends), max(e[1] for e in ends)) if ends else (None, None)
         return self._ranges
 
     def bounds(self) -> Box:
@@ -101,8 +120,7 @@ class ParticleTable:
             return False
         if "range" in spec.prune and not any(a <= hi and b >= lo for a, b in ranges):
             return False
-        whole = self.ranges()[name]
-        return "bitmap" not in spec.prune or bool(r[f"bits_{name}"] & bitmap.mask_of(ranges, (float(whole[0]), float(whole[1]))))
+        return "bitmap" not in spec.prune or bool(r[f"bits_{name}"] & bitmap.mask_of(ranges, (r[f"lo_{name}"], r[f"hi_{name}"])))
 
     def query(self, spec: QuerySpec) -> DataFrame:
         """The rows of a query. Which rows a quality has depends on the layout only."""
@@ -111,33 +129,81 @@ class ParticleTable:
                 raise ValueError("a quality below 1 needs a table with a layout")
             return run(self.df, spec, self.schema)
         where = spec.predicate(self.schema, self.df)
+        columns = list(spec.columns) if spec.columns is not None else [c for c in self.df.columns if c not in LAYOUT]
+        out = self._pruned(spec, self._kept(spec))
+        return out.where(where).select(*columns)
+
+    def _place(self, r) -> tuple:
+        """What names a subfile among all: version, time step, number."""
+        return (r.version, str(r[self.schema.timestep]) if self.schema.timestep else None, r.subfile)
+
+    def _pruned(self, spec: QuerySpec, kept: list) -> DataFrame:
+        """The rows of the kept subfiles that are in the interval of levels, which differs by a subfile's deepest one."""
+        if not kept or spec.quality <= spec.prev_quality:
+            return self.df.where(F.lit(False))
+        whole = spec.quality >= 1 and spec.prev_quality <= 0
+        if whole and len(kept) == len(self._subfiles()):
+            return self.df
+        # runs of subfiles that one deepest level holds for
+        runs: list[list] = []
+        for r in sorted(kept, key=self._place):
+            v, t, n = self._place(r)
+            level = None if whole else r.max_level
+            if runs and runs[-1][:2] == [v, t] and runs[-1][4] == level and runs[-1][3] == n - 1:
+                runs[-1][3] = n
+            else:
+                runs.append([v, t, n, n, level])
+        level_of = lambda m: F.lit(True) if m is None else lod.interval(spec.prev_quality, spec.quality, m, F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt"))
+        step = self.schema.timestep
+        if len(runs) <= MOST_LISTED:
+            # partition columns, so that only paths are tested
+            tests: dict = {}
+            for v, t, lo, hi, m in runs:
+                here = F.col("subfile").between(lo, hi) if lo < hi else F.col("subfile") == lo
+                tests.setdefault(m, {}).setdefault((v, t), []).append(here)
+            parts = []
+            for m, by in tests.items():
+                places = [(F.col("version") == v) & (F.lit(True) if step is None else F.col(step).cast("string") == t) & reduce(lambda a, b: a | b, here) for (v, t), here in by.items()]
+                parts.append(reduce(lambda a, b: a | b, places) & level_of(m))
+            return self.df.where(reduce(lambda a, b: a | b, parts))
+        spark = self.df.sparkSession
+        listed = spark.createDataFrame([(*self._place(r), r.max_level) for r in kept], "version string, __step string, subfile int, __deepest int")
+        listed = F.broadcast(listed) if len(kept) <= layout.MOST_BROADCAST else listed
+        same = ["version", "subfile"]
+        rows = self.df if step is None else self.df.withColumn("__step", F.col(step).cast("string"))
+        out = rows.join(listed if step else listed.drop("__step"), [*same, "__step"] if step else same)
+        if not whole:
+            levels = sorted({r.max_level for r in kept})
+            out = out.where(reduce(lambda a, b: a | b, [(F.col("__deepest") == m) & level_of(m) for m in levels]))
+        return out.drop("__deepest", "__step")
+
+    def split_planes(self, spec: QuerySpec) -> DataFrame:
+        """Planes that treelets are split at, of subfiles and cells that a query's box and ranges leave, as deep as its quality goes.
+
+        The table keeps rows, not planes: those of the kept cells are worked out
+        again from positions and ids. A plane is returned if the box it divides
+        touches the query's.
+        """
+        cells = self.nodes_df
+        if spec.box is not None:
+            cells = cells.where(spec.box.overlap(*map(F.col, ("lx", "ly", "lz", "ux", "uy", "uz"))))
+        for a, ranges in spec.attrs.items():
+            if a not in self.schema.attrs:
+                raise KeyError(f"request for attribute {a} which does not exist")
+            if ranges:
+                cells = cells.where(reduce(lambda p, q: p | q, [(F.col(f"min_{a}") <= hi) & (F.col(f"max_{a}") >= lo) for lo, hi in ranges]))
+        keys = [c for c in (self.schema.timestep, "version", "subfile", "cell") if c]
         kept = self._kept(spec)
-        columns = list(spec.columns) if spec.columns is not None else [c for c in self.df.columns if c not in ("morton", "cell", "subfile", "lod_level", "lod_node", "lod_idx", "lod_cnt")]
-        quality = self.detail(spec, kept)
-        if not kept or quality is None:
-            return self.df.where(F.lit(False)).select(*columns)
-        out = self.df
-        ids = sorted({r.subfile for r in kept})
-        if len(ids) < len({r.subfile for r in self._subfiles()}) and len(ids) <= MOST_LISTED:
-            out = out.where(F.col("subfile").isin(ids))
-        return out.where(where & quality).select(*columns)
-
-    def detail(self, spec: QuerySpec, kept: list) -> Column | None:
-        """The interval of levels, which differs by a subfile's deepest one; None if nothing can be in it."""
-        if spec.prev_quality == spec.quality and spec.quality != 0 or spec.quality <= spec.prev_quality:
-            return None
-        if spec.quality >= 1 and spec.prev_quality <= 0:
-            return F.lit(True)
-        args = (F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt"))
-        step, parts = self.schema.timestep, []
-        for m in sorted({r.max_level for r in kept}):
-            own: dict = {}  # the subfiles, by time step, whose deepest level is m: partition columns, so that only paths are tested
-            for r in kept:
-                if r.max_level == m:
-                    own.setdefault(r[step] if step else None, []).append(r.subfile)
-            where = [F.col("subfile").isin(ids) if step is None else (F.col(step) == t) & F.col("subfile").isin(ids) for t, ids in own.items()]
-            parts.append(reduce(lambda a, b: a | b, where) & lod.interval(spec.prev_quality, spec.quality, m, *args))
-        return reduce(lambda a, b: a | b, parts) if parts else None
+        rows = self._pruned(replace(spec, quality=1.0, prev_quality=0.0), kept).select(*keys, *self.schema.positions, self.schema.pid)
+        planes = layout.split_planes(rows.join(cells.select(*keys), keys, "left_semi"), self.schema, keys)
+        deepest = self.subfiles_df.select(*keys[:-1], "max_level")
+        planes = planes.join(deepest, keys[:-1]).where(F.col("level") <= F.floor(F.lit(lod.remap_quality(spec.quality)) * F.col("max_level"))).drop("max_level")
+        return planes if spec.box is None else planes.where(spec.box.overlap(*map(F.col, ("lx", "ly", "lz", "ux", "uy", "uz"))))
+
+    def global_bitmaps(self, attr: str) -> list[tuple]:
+        """(place, bitmap) of each subfile, its bins turned into bins of the whole table's range."""
+        lo, hi = self.ranges()[attr]
+        return [(self._place(r), bitmap.remapped(r[f"bits_{attr}"], (r[f"lo_{attr}"], r[f"hi_{attr}"]), (lo, hi))) for r in self._subfiles() if r[f"lo_{attr}"] is not None]
 
     def query_box(self, box: Box, attrs: dict | None = None, quality: float = 1.0) -> DataFrame:
         return self.query(QuerySpec(box, attrs or {}, quality=quality))
@@ -180,6 +246,18 @@ class ParticleTable:
         return overhead(self)
 
 
+def _live(schema: ParticleSchema, steps: dict[str, str], info: dict) -> Column:
+    """Rows that a commit names: of each version the time steps that no later one has replaced."""
+    tests = []
+    for version, about in info.items():
+        gone = [t for t in about["steps"] if steps.get(t or "") != version]
+        test = F.col("version") == version
+        if gone and schema.timestep:
+            test &= ~F.col(schema.timestep).cast("string").isin(gone)
+        tests.append(test)
+    return reduce(lambda a, b: a | b, tests)
+
+
 def _box(r) -> Box:
     if r.lx is None or r.ly is None or r.lz is None:
         return Box()

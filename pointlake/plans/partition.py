@@ -65,12 +65,26 @@ def _best(blocks: Sequence[Block], axes: Sequence[int]) -> tuple[float, int, flo
     return best
 
 
+def _packed(blocks: Sequence[Block], most: int) -> list[list[Block]]:
+    """Blocks that no plane divides, in order of their ids, as many together as there is room for."""
+    out: list[list[Block]] = [[]]
+    held = 0
+    for b in sorted(blocks, key=lambda b: (b.id is None, b.id)):
+        if out[-1] and b.rows and held + b.rows > most:
+            out.append([])
+            held = 0
+        out[-1].append(b)
+        held += b.rows
+    return out
+
+
 def adaptive(blocks: Sequence[Block], most: int, find_best_axis: bool = False, imbalance: float = 4.0, overfull: float = 1.5) -> Plan:
     """Divide until a leaf holds at most ``most`` rows; blocks are never cut.
 
-    A leaf is also made where only one block has rows, where no split has rows
-    on both sides, where the best is as uneven as ``imbalance`` and the leaf is
-    within ``overfull``, or where a side would hold a single row.
+    A leaf is also made where only one block has rows, and, if it is within
+    ``overfull``, where the best split is as uneven as ``imbalance`` or a side
+    would hold a single row. Blocks in one place, which no plane divides, are
+    dealt to as many leaves as they fill.
     """
     plan, todo = Plan([], []), [list(blocks)]
     while todo:
@@ -81,13 +95,13 @@ def adaptive(blocks: Sequence[Block], most: int, find_best_axis: bool = False, i
             continue
         lower, upper, axes = _extent(part)
         best = _best(part, axes if find_best_axis else axes[:1]) or _best(part, axes)
-        if best is None or best[0] >= imbalance and total <= most * overfull:
-            plan.leaves.append(part)
+        if best is None:
+            plan.leaves += _packed(part, most)
             continue
-        _, axis, position = best
+        cost, axis, position = best
         left = [b for b in part if b.corner[axis] < position]
         right = [b for b in part if b.corner[axis] >= position]
-        if 1 in (sum(b.rows for b in left), sum(b.rows for b in right)):
+        if total <= most * overfull and (cost >= imbalance or 1 in (sum(b.rows for b in left), sum(b.rows for b in right))):
             plan.leaves.append(part)
             continue
         plan.splits.append(Split(axis, position, lower, upper))
