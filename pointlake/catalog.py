@@ -7,6 +7,7 @@ Each query is written with the engine's own functions; its SQL is plain and inde
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,13 @@ from pyspark.sql.window import Window
 
 from pointlake.functions import bitmap, color, geometry, lod, morton
 from pointlake.functions.geometry import Box, Frustum
-from pointlake.operators import generators, layout
-from pointlake.operators.table import ParticleTable
+from pointlake.operators import generators, layout, metadata
+from pointlake.operators.table import ParticleSession, ParticleTable
+from pointlake.operators.writer import ParticleWriter
+from pointlake.plans import partition
 from pointlake.plans.query import QuerySpec, run
 from pointlake.schema import ParticleSchema
+from pointlake.storage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,6 +66,29 @@ E_SQL = """SELECT event_id AS pid, epoch_us(ts) / 1e6 AS x, CAST(user_id AS DOUB
   CAST(floor(epoch_us(ts) / 86400000000.0) AS INTEGER) AS day FROM events"""
 V_SQL = "SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label FROM embeddings"
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, sf: str, name: str) -> ParticleTable:
+    """E as a written table, once a session: ``cells`` in subfiles of a twentieth, ``days`` with a subfile a day, ``steps`` with a time step a day."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _WRITTEN:
+        df = events(spark, sf)
+        schema = ParticleSchema.of(df, timestep="day" if name == "steps" else None, attrs=("value",))
+        size = 1 if name == "days" else max(1, df.count() // 20) * schema.bytes_per_row()
+        writer = ParticleWriter(df, schema).option("bytesPerSubfile", size)
+        path = scratch(spark, name)
+        (writer.block_column("day") if name == "days" else writer).save(path)
+        _WRITTEN[key] = path
+    return ParticleTable.open(spark, _WRITTEN[key])
+
+
+def _part(b: Box, lower: tuple[float, float, float], upper: tuple[float, float, float]) -> Box:
+    """A box given by shares of another's sides."""
+    at = lambda share: tuple(lo + f * (hi - lo) for lo, hi, f in zip(b.lower, b.upper, share))
+    return Box(at(lower), at(upper))
+
+
 L_BOX = Box((10.0, 20_000.0, 0.02), (30.0, 60_000.0, 0.06))
 L_WHERE = "l_quantity BETWEEN 10 AND 30 AND l_extendedprice BETWEEN 20000 AND 60000 AND l_discount BETWEEN 0.02 AND 0.06"
 L_PICK = "l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax"
@@ -130,16 +157,18 @@ def array_element_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT min(l_quantity) AS lx, min(l_extendedprice) AS ly, min(l_discount) + 0.0 AS lz, max(l_quantity) AS ux, max(l_extendedprice) AS uy, max(l_discount) AS uz FROM lineitem")
 def bounds(spark: SparkSession, sf: str) -> DataFrame:
-    df = lineitem(spark, sf)
-    return df.agg(*[(f(c) + 0.0).alias(n + a) for n, f in (("l", F.min), ("u", F.max)) for a, c in zip("xyz", L.positions)])  # + 0.0: no negative zero
+    b = ParticleTable.from_df(lineitem(spark, sf), L).bounds()
+    return spark.createDataFrame([(*(v + 0.0 for v in b.lower), *b.upper)], "lx double, ly double, lz double, ux double, uy double, uz double")
 
 
-@query("""WITH b AS (SELECT l_returnflag, min(l_quantity) AS lx, min(l_extendedprice) AS ly, max(l_quantity) AS ux, max(l_extendedprice) AS uy FROM lineitem GROUP BY 1)
-SELECT min(lx) AS lx, min(ly) AS ly, max(ux) AS ux, max(uy) AS uy, count(*) AS boxes FROM b""")
+@query(f"WITH e AS ({E_SQL}) SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS ux, max(y) AS uy, max(z) AS uz, count(DISTINCT day) AS boxes FROM e")
 def bounds_union(spark: SparkSession, sf: str) -> DataFrame:
-    """The union of the boxes of parts."""
-    parts = lineitem(spark, sf).groupBy("l_returnflag").agg(F.min("l_quantity").alias("lx"), F.min("l_extendedprice").alias("ly"), F.max("l_quantity").alias("ux"), F.max("l_extendedprice").alias("uy"))
-    return parts.agg(F.min("lx").alias("lx"), F.min("ly").alias("ly"), F.max("ux").alias("ux"), F.max("uy").alias("uy"), F.count(F.lit(1)).alias("boxes"))
+    """The union of the boxes that a written table keeps of its subfiles."""
+    table = written(spark, sf, "days")
+    boxes: list[Box] = []
+    table.iterate_subfiles(lambda r: boxes.append(Box((r.lx, r.ly, r.lz), (r.ux, r.uy, r.uz))))
+    b = reduce(Box.union, boxes, Box())
+    return spark.createDataFrame([(*b.lower, *b.upper, len(boxes))], "lx double, ly double, lz double, ux double, uy double, uz double, boxes long")
 
 
 @query("""SELECT 'l_tax' AS attr, CAST(min(l_tax) AS DOUBLE) + 0.0 AS lo, CAST(max(l_tax) AS DOUBLE) AS hi FROM lineitem
@@ -151,18 +180,22 @@ def attribute_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"lo_{a}").alias("lo"), F.col(f"hi_{a}").alias("hi")) for a in L.attrs])).alias("r")).select("r.*")
 
 
-@query("SELECT count(*) AS num_points, 3 AS num_attributes, CAST(12 + 8 + 8 + 8 AS INTEGER) AS bytes_per_particle, count(*) * 36 AS base_bytes FROM lineitem")
+@query("""SELECT 'lineitem' AS name, count(*) AS num_points, a AS attribute, t AS type, CASE a WHEN 'l_tax' THEN min(l_tax) + 0.0 WHEN 'l_partkey' THEN min(l_partkey) ELSE min(l_suppkey) END AS lo,
+  CASE a WHEN 'l_tax' THEN max(l_tax) WHEN 'l_partkey' THEN max(l_partkey) ELSE max(l_suppkey) END AS hi
+FROM lineitem, (VALUES ('l_tax', 'FLOAT_64'), ('l_partkey', 'INT_64'), ('l_suppkey', 'INT_64')) AS v(a, t) GROUP BY a, t""")
 def dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing of tables as a server gives it, one row an attribute."""
     df = lineitem(spark, sf)
-    schema = ParticleSchema.of(df, "l_orderkey", L.positions, attrs=L.attrs)
-    size = schema.bytes_per_row()
-    return df.agg(F.count(F.lit(1)).alias("num_points")).select("num_points", F.lit(len(L.attrs)).alias("num_attributes"), F.lit(size).alias("bytes_per_particle"), (F.col("num_points") * size).alias("base_bytes"))
+    listed = metadata.listing(spark, {"lineitem": ParticleTable.from_df(df, ParticleSchema.of(df, "l_orderkey", L.positions, attrs=L.attrs))})
+    return listed.select("name", "num_points", F.explode("attributes").alias("a")).select("name", "num_points", F.col("a.name").alias("attribute"), "a.type", (F.col("a.lo") + 0.0).alias("lo"), "a.hi")
 
 
-@query("SELECT l_returnflag AS subfile, round((max(l_extendedprice) - min(l_extendedprice)) / 32, 6) AS bin_size FROM lineitem GROUP BY 1")
+@query(f"WITH e AS ({E_SQL}) SELECT day, round((max(value) - min(value)) / 32, 6) AS bin_size FROM e GROUP BY day")
 def bin_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Width of a bitmap's bin by part."""
-    return lineitem(spark, sf).groupBy(F.col("l_returnflag").alias("subfile")).agg(F.round((F.max("l_extendedprice") - F.min("l_extendedprice")) / bitmap.BINS, 6).alias("bin_size"))
+    """Width of a bitmap's bin by subfile of a written table."""
+    table = written(spark, sf, "days")
+    day = table.df.groupBy("subfile").agg(F.min("day").alias("day"))
+    return metadata.bin_sizes(table.subfiles_df, "value").join(day, "subfile").select("day", F.round("bin_size", 6).alias("bin_size"))
 
 
 # ---- the curve and its cells -----------------------------------------------------
@@ -248,16 +281,13 @@ def treelet_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return leveled(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("lod_level").alias("max_level"))
 
 
-@query(f"""WITH {CELL_SQL}, s AS (SELECT cell, min(x) AS lx, max(x) AS ux, min(y) AS ly, max(y) AS uy FROM c GROUP BY cell), g AS (SELECT lx + 0.25 * (ux - lx) AS ax, lx + 0.5 * (ux - lx) AS bx, ly + 0.25 * (uy - ly) AS ay, ly + 0.5 * (uy - ly) AS cy FROM b)
-SELECT cell FROM s, g WHERE s.lx <= bx AND s.ux >= ax AND s.ly <= cy AND s.uy >= ay""")
+@query(f"""WITH {BOUNDS_SQL}, s AS (SELECT day, min(x) AS lx, max(x) AS ux, min(y) AS ly, max(y) AS uy, min(z) AS lz, max(z) AS uz FROM e GROUP BY day)
+SELECT s.day FROM s, b WHERE s.lx <= b.lx + 0.5 * (b.ux - b.lx) AND s.ux >= b.lx + 0.25 * (b.ux - b.lx) AND s.ly <= b.ly + 0.5 * (b.uy - b.ly) AND s.uy >= b.ly + 0.25 * (b.uy - b.ly)""")
 def subfile_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts whose box touches a box."""
-    df = celled(spark, sf)
-    b = layout.bounds_of(df, E)
-    at = lambda i, f: b.lower[i] + f * (b.upper[i] - b.lower[i])
-    box = Box((at(0, 0.25), at(1, 0.25), b.lower[2]), (at(0, 0.5), at(1, 0.5), b.upper[2]))
-    edges = df.groupBy("cell").agg(*[f(a).alias(n + a) for n, f in (("l", F.min), ("u", F.max)) for a in "xyz"])
-    return edges.where(box.overlap(*map(F.col, ("lx", "ly", "lz", "ux", "uy", "uz")))).select("cell")
+    """Subfiles of a written table whose box touches a box."""
+    table = written(spark, sf, "days")
+    box = _part(table.bounds(), (0.25, 0.25, 0.0), (0.5, 0.5, 1.0))
+    return table.df.where(F.col("subfile").isin(table.subfiles(box))).select("day").distinct()
 
 
 @query(f"""WITH {BOUNDS_SQL} SELECT CAST(least(greatest(floor(2.0 * (x - lx) / (ux - lx)), 0), 1) + 2 * (least(greatest(floor(3.0 * (y - ly) / (uy - ly)), 0), 2)
@@ -315,23 +345,24 @@ def bitmap_query_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT min(l_extendedprice) AS glo, max(l_extendedprice) AS ghi FROM lineitem), s AS (SELECT l_suppkey, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1),
-p AS (SELECT l.l_suppkey, l_extendedprice AS v, lo, hi, glo, ghi FROM lineitem l JOIN s USING (l_suppkey), g)
-SELECT l_suppkey, bit_or(CAST(1 AS BIGINT) << CAST(least(31, CAST(floor(32.0 * (v - lo) / (hi - lo)) AS INTEGER)) AS BIGINT)) AS own,
-  bit_or(CAST(1 AS BIGINT) << CAST(least(31, CAST(floor(32.0 * (v - glo) / (ghi - glo)) AS INTEGER)) AS BIGINT)) AS of_all FROM p WHERE hi > lo GROUP BY l_suppkey""")
+o AS (SELECT l.l_suppkey, any_value(lo) AS lo, any_value(hi) AS hi, bit_or(CAST(1 AS BIGINT) << CAST(least(31, CAST(floor(32.0 * (l_extendedprice - lo) / (hi - lo)) AS INTEGER)) AS BIGINT)) AS own FROM lineitem l JOIN s USING (l_suppkey) WHERE hi > lo GROUP BY 1),
+c AS (SELECT l_suppkey, own, lo + i * ((hi - lo) / 32) AS a, lo + (i + 1) * ((hi - lo) / 32) AS b, glo, ghi FROM o, g, range(32) AS r(i) WHERE own >> i & 1 = 1),
+f AS (SELECT *, least(31, greatest(0, CAST(floor(32.0 * (greatest(a, glo) - glo) / (ghi - glo)) AS INTEGER))) AS p, least(31, greatest(0, CAST(floor(32.0 * (least(b, ghi) - glo) / (ghi - glo)) AS INTEGER))) AS q FROM c)
+SELECT l_suppkey, any_value(own) AS own, bit_or(((CAST(1 AS BIGINT) << CAST(q - p + 1 AS BIGINT)) - 1) << CAST(p AS BIGINT)) AS of_all FROM f GROUP BY l_suppkey""")
 def bitmap_remap(spark: SparkSession, sf: str) -> DataFrame:
-    """Bitmaps in a group's own range and in the whole's: made from the rows, which is exact, not from each other."""
+    """Bitmaps on a group's own range, turned into bitmaps on the range of all."""
     df, lo, hi = _priced(spark, sf)
     own = df.groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi")).where("hi > lo")
-    v = F.col("l_extendedprice")
-    return df.join(own, "l_suppkey").groupBy("l_suppkey").agg(F.bit_or(bitmap.bit_of(v, F.col("lo"), F.col("hi"))).alias("own"), F.bit_or(bitmap.bit_of(v, lo, hi)).alias("of_all"))
+    nodes = df.join(own, "l_suppkey").groupBy("l_suppkey", "lo", "hi").agg(F.bit_or(bitmap.bit_of(F.col("l_extendedprice"), F.col("lo"), F.col("hi"))).alias("own"))
+    return nodes.select("l_suppkey", "own", bitmap.remapped_column(F.col("own"), F.col("lo"), F.col("hi"), F.lit(lo), F.lit(hi)).alias("of_all"))
 
 
-@query(f"WITH {PRICE_SQL}, d AS (SELECT l_orderkey, bit_or(CAST(1 AS BIGINT) << CAST({BIN_SQL} AS BIGINT)) AS bits FROM p GROUP BY 1) SELECT bits, count(*) AS uses FROM d GROUP BY bits")
+@query(f"""WITH {PRICE_SQL}, d AS (SELECT l_orderkey, bit_or(CAST(1 AS BIGINT) << CAST({BIN_SQL} AS BIGINT)) AS bits FROM p GROUP BY 1), u AS (SELECT bits, count(*) AS uses FROM d GROUP BY bits)
+SELECT bits, uses, row_number() OVER (ORDER BY uses DESC, bits) - 1 AS id FROM u""")
 def bitmap_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """Different bitmaps and how often each is used."""
+    """Different bitmaps, how often each is used, and its id in order of use."""
     df, lo, hi = _priced(spark, sf)
-    nodes = df.groupBy("l_orderkey").agg(F.bit_or(bitmap.bit_of(F.col("l_extendedprice"), lo, hi)).alias("bits"))
-    return nodes.groupBy("bits").agg(F.count(F.lit(1)).alias("uses"))
+    return bitmap.dictionary(df.groupBy("l_orderkey").agg(F.bit_or(bitmap.bit_of(F.col("l_extendedprice"), lo, hi)).alias("bits")), "bits")
 
 
 @query(f"""WITH {PRICE_SQL}, d AS (SELECT l_suppkey, bit_or(CAST(1 AS BIGINT) << CAST({BIN_SQL} AS BIGINT)) AS bits FROM p GROUP BY 1)
@@ -419,25 +450,26 @@ def quality_curve(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(q, round(lod.remap_quality(q), 9)) for q in QUALITIES], "quality double, used double")
 
 
-@query(f"""WITH {CELL_SQL}, s AS (SELECT cell, count(*) AS n, min(z) AS lo, max(z) AS hi FROM c GROUP BY cell), g AS (SELECT lz + 0.6 * (uz - lz) AS a, lz + 0.7 * (uz - lz) AS d FROM b)
-SELECT count(*) AS cells, count(*) FILTER (hi >= a AND lo <= d) AS cells_kept, CAST(sum(n) FILTER (hi >= a AND lo <= d) AS BIGINT) AS rows_tested, (SELECT count(*) FROM c, g WHERE z BETWEEN a AND d) AS rows_returned FROM s, g""")
+@query(f"""WITH {BOUNDS_SQL}, s AS (SELECT day, count(*) AS n, min(x) AS lx, max(x) AS ux, min(value) AS lo, max(value) AS hi FROM e GROUP BY day), g AS (SELECT lx + 0.2 * (ux - lx) AS a, lx + 0.6 * (ux - lx) AS c, uz - 0.02 * (uz - lz) AS v FROM b)
+SELECT (SELECT count(*) FROM s) AS subfiles, count(*) FILTER (hi >= v) AS subfiles_kept, (SELECT count(*) FROM s) - count(*) AS box_filtered, count(*) FILTER (hi < v) AS range_filtered,
+  CAST(coalesce(sum(n) FILTER (hi >= v), 0) AS BIGINT) AS rows_tested, (SELECT count(*) FROM e, g WHERE x BETWEEN a AND c AND value >= v) AS rows_returned FROM s, g WHERE s.lx <= c AND s.ux >= a""")
 def query_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells and rows that a range query keeps, tests and returns."""
-    df = celled(spark, sf)
-    b = layout.bounds_of(df, E)
-    lo, hi = (b.lower[2] + f * (b.upper[2] - b.lower[2]) for f in (0.6, 0.7))
-    cells = df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi"), F.count_if(F.col("z").between(lo, hi)).alias("hits"))
-    kept = (F.col("hi") >= lo) & (F.col("lo") <= hi)
-    return cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(kept).alias("cells_kept"), F.sum(F.when(kept, F.col("n"))).alias("rows_tested"), F.sum("hits").alias("rows_returned"))
+    """Subfiles that a written table's metadata keep and drop, and rows tested and returned."""
+    table = written(spark, sf, "days")
+    b = table.bounds()
+    box = _part(b, (0.2, 0.0, 0.0), (0.6, 1.0, 1.0))
+    got = table.query_stats(QuerySpec(box, {"value": [(b.upper[2] - 0.02 * (b.upper[2] - b.lower[2]), float("inf"))]}, prune=frozenset({"range"})))
+    names = ["subfiles", "subfiles_kept", "box_filtered", "range_filtered", "rows_tested", "rows_returned"]
+    return spark.createDataFrame([tuple(got[k] for k in names)], ", ".join(f"{k} long" for k in names))
 
 
-@query(f"WITH {CELL_SQL} SELECT count(*) * 20 AS base_bytes, count(DISTINCT cell) * 12 AS node_bytes, count(DISTINCT cell) * 2 AS bitmap_bytes, round(100.0 * count(DISTINCT cell) * 14 / (count(*) * 20), 6) AS overhead_percent FROM c")
+@query("SELECT count(*) AS num_points, count(*) * 20 AS base_bytes, count(DISTINCT CAST(floor(epoch_us(ts) / 86400000000.0) AS INTEGER)) AS subfiles, true AS adds_up, true AS small FROM events")
 def overhead_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes of an index of cells against those of the rows."""
-    cells = celled(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    size = ParticleSchema.of(events(spark, sf), timestep="day", attrs=("value",)).bytes_per_row()
-    one = cells.agg((F.sum("n") * size).alias("base_bytes"), (F.count(F.lit(1)) * 12).alias("node_bytes"), (F.count(F.lit(1)) * 2).alias("bitmap_bytes"))
-    return one.withColumn("overhead_percent", F.round(100.0 * (F.col("node_bytes") + F.col("bitmap_bytes")) / F.col("base_bytes"), 6))
+    """Bytes of a written table's index against those of its rows."""
+    r = written(spark, sf, "days").report()
+    parts = sum(r[f"{k}_bytes"] for k in ("nodes", "bitmap_ids", "dictionary", "ranges"))
+    row = (r["num_points"], r["base_bytes"], r["subfiles"], r["total_bytes"] == r["base_bytes"] + parts, 0 < r["overhead_percent"] < 100)
+    return spark.createDataFrame([row], "num_points long, base_bytes long, subfiles long, adds_up boolean, small boolean")
 
 
 # ---- geometry and colour ---------------------------------------------------------
@@ -534,79 +566,171 @@ def prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
 # ---- partitions and time ---------------------------------------------------------
 
 
-@query()
+@query("SELECT count(*) AS n, true AS within, true AS enough FROM events")
 def subfile_balance(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows by subfile of an adaptive plan with room for a twentieth of the table each."""
+    """Rows of all subfiles of an adaptive plan with room for a twentieth of the table each; whether all are within 1.5 times that, and at least 20."""
     df = events(spark, sf).drop("day")
     schema = ParticleSchema.of(df, attrs=("value",))
-    size = max(1, df.count() // 20) * schema.bytes_per_row()
-    placed, _, _ = layout.planned(df, schema, layout.Options(bytes_per_subfile=size))
-    return placed.groupBy("subfile").agg(F.count(F.lit(1)).alias("n"))
+    room = max(1, df.count() // 20)
+    placed, _, _ = layout.planned(df, schema, layout.Options(bytes_per_subfile=room * schema.bytes_per_row()))
+    sizes = placed.groupBy("subfile").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("n"), (F.max("n") <= 1.5 * room).alias("within"), (F.count(F.lit(1)) >= 20).alias("enough"))
 
 
-@query(f"WITH e AS ({E_SQL}), t AS (SELECT pid, ntile(8) OVER (ORDER BY x, pid) - 1 AS part FROM e) SELECT CAST(part AS INTEGER) AS part, count(*) AS n FROM t GROUP BY 1")
+@query(f"""WITH RECURSIVE e AS ({E_SQL}), d AS (SELECT day, count(*) AS n, row_number() OVER (ORDER BY min(x)) - 1 AS r FROM e GROUP BY day), k AS (SELECT count(*) AS days FROM d),
+p(lo, hi) AS (SELECT 0, CAST(days AS BIGINT) FROM k UNION ALL SELECT lo + t.f * ((hi - lo) // 2), CASE t.f WHEN 0 THEN lo + (hi - lo) // 2 ELSE hi END FROM p, k, (VALUES (0), (1)) AS t(f) WHERE hi - lo > ceil(days / 8.0)),
+f AS (SELECT lo, hi, row_number() OVER (ORDER BY lo) - 1 AS part FROM p, k WHERE hi - lo <= ceil(days / 8.0))
+SELECT CAST(part AS INTEGER) AS part, CAST(sum(n) AS BIGINT) AS n, count(*) AS blocks FROM f JOIN d ON r >= lo AND r < hi GROUP BY part""")
 def subfile_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight parts of equal size along an axis: ranks from range-wise counts, no global sort in one task."""
-    df = events(spark, sf).select("pid", "x", "day")
-    past = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
-    total = df.count()
-    rank = F.row_number().over(Window.partitionBy("day").orderBy("x", "pid")) - 1
-    small, more = divmod(total, 8)
-    at = F.col("r") + F.col("before")
-    part = F.when(at < more * (small + 1), F.floor(at / (small + 1))).otherwise(more + F.floor((at - more * (small + 1)) / max(1, small)))
-    return df.withColumn("r", rank).join(sizes, "day").groupBy(part.cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    """The fixed plan: days as blocks, dealt to eight subfiles by halving."""
+    df = events(spark, sf)
+    days = df.groupBy("day").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in "xyz"]).collect()  # a row a day
+    plan = partition.fixed([partition.Block(r.day, (r.x, r.y, r.z), r.n) for r in days], 8)
+    of = spark.createDataFrame(list(plan.subfile_of().items()), "day int, part int")
+    return df.join(F.broadcast(of), "day").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("blocks"))
 
 
 @query(f"WITH e AS ({E_SQL}) SELECT day AS timestep, count(*) AS n, min(z) AS min_z, max(z) AS max_z FROM e GROUP BY day")
 def timestep_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).groupBy(F.col("day").alias("timestep")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+    """Rows and extent by time step, as the metadata of a written series has them."""
+    return written(spark, sf, "steps").subfiles_df.groupBy(F.col("day").alias("timestep")).agg(F.sum("n").alias("n"), F.min("lz").alias("min_z"), F.max("uz").alias("max_z"))
 
 
 @query(f"WITH e AS ({E_SQL}), d AS (SELECT min(day) AS d FROM e) SELECT DISTINCT CAST(y AS BIGINT) AS user_id FROM e, d WHERE day = d + 1 EXCEPT SELECT CAST(y AS BIGINT) FROM e, d WHERE day = d")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Users of the second day that the first has not."""
-    df = events(spark, sf)
-    first = df.agg(F.min("day").alias("d")).first().d
-    users = lambda day: df.where(F.col("day") == day).select(F.col("y").cast("long").alias("user_id"))
+    """Users of the second time step of a written series that the first has not."""
+    table = written(spark, sf, "steps")
+    first = table.subfiles_df.agg(F.min("day").alias("d")).first().d
+    users = lambda day: table.query(QuerySpec(timestep=day, columns=["y"])).select(F.col("y").cast("long").alias("user_id"))
     return users(first + 1).distinct().join(users(first), "user_id", "left_anti")
 
 
-# ---- rows only: procedural or random ---------------------------------------------
+# ---- treelets and generators -----------------------------------------------------
 
 
-@query()
+@query(f"WITH {CELL_SQL} SELECT cell, count(*) AS n, true AS whole, true AS inner_full, true AS leaves_fit FROM c GROUP BY cell")
 def kd_treelets(spark: SparkSession, sf: str) -> DataFrame:
-    """Levels of k-d treelets, by cell."""
+    """k-d treelets by cell: whether places in nodes are gapless, inner nodes hold their rows and leaves no more than theirs."""
     df = layout.with_cells(events(spark, sf).withColumn("subfile", F.lit(0)), E)
-    keys = ParticleSchema.of(df, attrs=("value",))
-    return layout.built(df, keys).groupBy("cell", "lod_level").agg(F.count(F.lit(1)).alias("n"), F.max("lod_cnt").alias("largest"))
+    nodes = layout.built(df.select("subfile", "cell", "pid", "x", "y", "z"), ParticleSchema(pid="pid")).groupBy("cell", "lod_node").agg(
+        F.count(F.lit(1)).alias("n"), F.min("lod_cnt").alias("a"), F.max("lod_cnt").alias("b"), F.min("lod_idx").alias("lo"), F.max("lod_idx").alias("hi"), F.count_distinct("lod_idx").alias("d")
+    )
+    good = (F.col("n") == F.col("a")) & (F.col("n") == F.col("b")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("d") == F.col("n"))
+    inner = F.count_if(F.col("n") == lod.NODE_ROWS)
+    # an inner node holds NODE_ROWS rows, and there is one fewer of them than of leaves
+    return nodes.groupBy("cell").agg(F.sum("n").alias("n"), F.bool_and(good).alias("whole"), (2 * inner + 1 >= F.count(F.lit(1))).alias("inner_full"), F.bool_and(F.col("n") <= layout.LEAF_ROWS + lod.NODE_ROWS).alias("leaves_fit"))
 
 
-@query()
+@query(f"WITH {CELL_SQL} SELECT cell, true AS binary, true AS inside FROM c GROUP BY cell")
 def split_planes(spark: SparkSession, sf: str) -> DataFrame:
-    df = layout.with_cells(events(spark, sf).withColumn("subfile", F.lit(0)), E)
-    return layout.split_planes(df, E)
+    """Planes against nodes of every cell: a tree of n planes has 2 n + 1 nodes, and each plane divides its box."""
+    df = layout.with_cells(events(spark, sf).withColumn("subfile", F.lit(0)), E).select("subfile", "cell", "pid", "x", "y", "z")
+    nodes = layout.built(df, ParticleSchema(pid="pid")).groupBy("cell").agg(F.count_distinct("lod_node").alias("nodes"))
+    pick = lambda side: F.when(F.col("axis") == 0, F.col(f"{side}x")).when(F.col("axis") == 1, F.col(f"{side}y")).otherwise(F.col(f"{side}z"))
+    planes = layout.split_planes(df, E).groupBy("cell").agg(F.count(F.lit(1)).alias("planes"), F.bool_and((F.col("position") > pick("l")) & (F.col("position") < pick("u"))).alias("inside"))
+    out = nodes.join(planes, "cell", "left")
+    return out.select("cell", (2 * F.coalesce("planes", F.lit(0)) + 1 == F.col("nodes")).alias("binary"), F.coalesce("inside", F.lit(True)).alias("inside"))
 
 
 UNIT = Box((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
 
 
-def _octants(df: DataFrame, name: str) -> DataFrame:
-    side: Callable[[str], Column] = lambda c: (F.col(c) >= 0.5).cast("int")
-    return df.groupBy((side("x") + 2 * side("y") + 4 * side("z")).alias("octant")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "octant", "n")
-
-
-@query()
+@query("SELECT kind, CAST(n AS BIGINT) AS n, true AS inside, true AS placed, true AS again FROM (VALUES ('uniform', 20000), ('linear', 19900), ('exponential', 20000), ('spheres', 20000), ('cut_box', 20000)) AS t(kind, n)")
 def generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows by octant of every generator of positions."""
+    """Rows of every generator of positions; whether all are inside, lie as they should and come again with the same seed."""
     n = 20_000
-    made = {
-        "uniform": generators.uniform(spark, n, UNIT, 1), "linear": generators.linear_gradient(spark, n, UNIT, 1), "exponential": generators.exponential_gradient(spark, n, UNIT, 1),
-        "spheres": generators.spheres(spark, n, 5, UNIT, 1), "cut_box": generators.cut_box(spark, n, UNIT, (0.5, 0.5, 0.5), 1),
+    make = {
+        "uniform": lambda: generators.uniform(spark, n, UNIT, 1), "linear": lambda: generators.linear_gradient(spark, n, UNIT, 1), "exponential": lambda: generators.exponential_gradient(spark, n, UNIT, 1),
+        "spheres": lambda: generators.spheres(spark, n, 5, UNIT, 1), "cut_box": lambda: generators.cut_box(spark, n, UNIT, (0.5, 0.5, 0.5), 1),
     }
-    out = None
-    for name, df in made.items():
-        part = _octants(df, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    share = lambda test: F.count_if(test) / F.count(F.lit(1))
+    x, y, z = map(F.col, "xyz")
+    placed = {
+        "uniform": F.abs(share(x < 0.5) - 0.5) < 0.02, "linear": share(x < 0.5) < 0.3, "exponential": F.abs(share(x < 0.5) - (1 - F.exp(F.lit(-2.5)))) < 0.02, "spheres": F.count_distinct("x", "y", "z") == F.count(F.lit(1)),
+        "cut_box": F.count_if((x < 0.499) & (y < 0.499) & (z < 0.499)) == 0,
+    }
+    mark = F.sum(F.xxhash64("x", "y", "z").cast("decimal(38,0)"))
+    out = []
+    for name, made in make.items():
+        sums = made().repartition(3).agg(mark.alias("again"))
+        out.append(made().agg(F.count(F.lit(1)).alias("n"), F.bool_and(UNIT.contains(x, y, z)).alias("inside"), placed[name].alias("placed"), mark.alias("m")).crossJoin(F.broadcast(sums)).select(F.lit(name).alias("kind"), "n", "inside", "placed", (F.col("m") == F.col("again")).alias("again")))
+    return reduce(DataFrame.unionByName, out)
+
+
+# ---- the written layout ----------------------------------------------------------
+
+E_PICK = "pid, x, y, z, value, event_type"
+E_PART = "g AS (SELECT lx + 0.1 * (ux - lx) AS ax, lx + 0.6 * (ux - lx) AS bx, ly + 0.2 * (uy - ly) AS ay, ly + 0.9 * (uy - ly) AS cy, lz + 0.0 * (uz - lz) AS az, lz + 0.5 * (uz - lz) AS bz, lz + 0.05 * (uz - lz) AS v1, lz + 0.2 * (uz - lz) AS v2, lz + 0.4 * (uz - lz) AS v3 FROM b)"
+E_WHERE = "x BETWEEN ax AND bx AND y BETWEEN ay AND cy AND z BETWEEN az AND bz"
+E_RANGES = "(value BETWEEN lz AND v1 OR value BETWEEN v2 AND v3)"
+
+
+def _layout_box(table: ParticleTable) -> tuple[Box, list[tuple[float, float]]]:
+    b = table.bounds()
+    lo, hi = table.ranges()["value"]
+    at = lambda f: lo + f * (hi - lo)
+    return _part(b, (0.1, 0.2, 0.0), (0.6, 0.9, 0.5)), [(lo, at(0.05)), (at(0.2), at(0.4))]
+
+
+@query(f"WITH {BOUNDS_SQL}, {E_PART} SELECT {E_PICK} FROM e, g WHERE {E_WHERE}")
+def layout_box(spark: SparkSession, sf: str) -> DataFrame:
+    """A box of a written table: subfiles dropped by metadata, rows by the scan."""
+    table = written(spark, sf, "cells")
+    return table.read(_layout_box(table)[0]).select(*E_PICK.split(", "))
+
+
+@query(f"WITH {BOUNDS_SQL}, {E_PART} SELECT pid, value FROM e, g, b WHERE {E_WHERE} AND {E_RANGES}")
+def layout_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """A box and two ranges of a written table, two columns of it."""
+    table = written(spark, sf, "cells")
+    box, ranges = _layout_box(table)
+    return table.query(QuerySpec(box, {"value": ranges}, columns=["pid", "value"]))
+
+
+@query(f"WITH {BOUNDS_SQL}, {E_PART}, r AS (SELECT pid FROM e, g, b WHERE {E_WHERE} AND {E_RANGES}) SELECT p AS prune, (SELECT count(*) FROM r) AS n, (SELECT CAST(sum(pid) AS BIGINT) FROM r) AS pids FROM (VALUES ('none'), ('range'), ('bitmap'), ('both')) AS t(p)")
+def layout_pruning(spark: SparkSession, sf: str) -> DataFrame:
+    """One query with and without each way of dropping subfiles: the same rows."""
+    table = written(spark, sf, "cells")
+    box, ranges = _layout_box(table)
+    kinds = {"none": (), "range": ("range",), "bitmap": ("bitmap",), "both": ("range", "bitmap")}
+    parts = [table.query(QuerySpec(box, {"value": ranges}, prune=frozenset(p))).agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("pids")).select(F.lit(name).alias("prune"), "*") for name, p in kinds.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"WITH {BOUNDS_SQL}, {E_PART} SELECT pid, 1::BIGINT AS times FROM e, g WHERE {E_WHERE}")
+def layout_progressive(spark: SparkSession, sf: str) -> DataFrame:
+    """A session's refinements of a box, over k-d treelets: together the whole box, each row once."""
+    table = written(spark, sf, "cells")
+    session, box = ParticleSession(table), _layout_box(table)[0]
+    parts = [session.refine(QuerySpec(box, quality=q, columns=["pid"])) for q in SERIES[1:]]
+    return reduce(DataFrame.unionByName, parts).groupBy("pid").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("SELECT CAST(q AS DOUBLE) AS quality, true AS grows, true AS contained FROM (VALUES " + ", ".join(f"({q})" for q in SERIES[1:]) + ") AS t(q)")
+def layout_qualities(spark: SparkSession, sf: str) -> DataFrame:
+    """Each quality has more rows than the one before and all of its rows."""
+    table = written(spark, sf, "cells")
+    rows, out = None, []
+    for q in SERIES[1:]:
+        n = table.query(QuerySpec(quality=q, columns=["pid"]))
+        before = table.query(QuerySpec(quality=rows, columns=["pid"])) if rows is not None else n.limit(0)
+        counted = n.withColumn("now", F.lit(1)).join(before.withColumn("was", F.lit(1)), "pid", "full").agg(F.count("now").alias("n"), F.count("was").alias("w"), F.count_if(F.col("now").isNull()).alias("lost")).first()
+        out.append((q, counted.n > counted.w, counted.lost == 0))
+        rows = q
+    return spark.createDataFrame(out, "quality double, grows boolean, contained boolean")
+
+
+@query(f"WITH e AS ({E_SQL}) SELECT count(*) AS n, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS ux, max(y) AS uy, max(z) AS uz, min(value) AS min_value, max(value) AS max_value FROM e")
+def layout_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, box and range of a written table, from the table of its cells alone."""
+    ends = [f(c).alias(c) for f, cs in ((F.min, ("lx", "ly", "lz", "min_value")), (F.max, ("ux", "uy", "uz", "max_value"))) for c in cs]
+    return written(spark, sf, "cells").nodes().agg(F.sum("n").alias("n"), *ends)
+
+
+@query(f"WITH e AS ({E_SQL}), r AS (SELECT min(value) AS lo, max(value) AS hi FROM e), p AS (SELECT value AS v, lo, hi FROM e, r) SELECT bit_or(CAST(1 AS BIGINT) << CAST({BIN_SQL} AS BIGINT)) AS bits, true AS tight FROM p")
+def layout_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The union of the cells' bitmaps is that of all rows; no cell has a bin outside its own range."""
+    table = written(spark, sf, "cells")
+    lo, hi = (F.lit(float(v)) for v in table.ranges()["value"])
+    mine = bitmap.mask_column(F.col("min_value"), F.col("max_value"), lo, hi)
+    return table.nodes().agg(F.bit_or("bits_value").alias("bits"), F.bool_and(F.col("bits_value").bitwiseAND(F.bitwise_not(mine)) == 0).alias("tight"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BINS = 32
 FULL = (1 << BINS) - 1
@@ -73,6 +74,27 @@ def remapped(bits: int, of: Range, to: Range) -> int:
     return out
 
 
+def remapped_column(bits: Column, lo: Column, hi: Column, to_lo: Column, to_hi: Column) -> Column:
+    """``remapped`` over columns."""
+    width = (hi - lo) / BINS
+    each = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.when(F.getbit(bits, i) == 1, mask_column(lo + i * width, lo + (i + 1) * width, to_lo, to_hi)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def dictionary(df: DataFrame, bits: str) -> DataFrame:
+    """(bits, uses, id) of the different bitmaps of ``df``; ids count from 0 in order of use, ties by bits.
+
+    Ranks are made within classes of equal use and shifted by the classes before,
+    so that what is ranked in one place is only the number of different uses.
+    """
+    uses = df.groupBy(F.col(bits).alias("bits")).agg(F.count(F.lit(1)).alias("uses"))
+    classes = uses.groupBy("uses").agg(F.count(F.lit(1)).alias("n"))
+    past = Window.orderBy(F.desc("uses")).rowsBetween(Window.unboundedPreceding, -1)
+    before = classes.select("uses", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("uses").orderBy("bits")
+    return uses.withColumn("r", F.row_number().over(inside) - 1).join(before, "uses").select("bits", "uses", (F.col("r") + F.col("before")).alias("id"))
+
+
 def runs(bits: Column) -> Column:
     """Lengths of the runs of set bits, from the highest bit down."""
     return F.transform(F.regexp_extract_all(F.bin(bits), F.lit("(1+)"), F.lit(1)), lambda r: F.length(r))
