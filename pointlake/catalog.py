@@ -635,7 +635,7 @@ def split_planes(spark: SparkSession, sf: str) -> DataFrame:
 UNIT = Box((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
 
 
-@query("SELECT kind, CAST(n AS BIGINT) AS n, true AS inside, true AS placed, true AS again FROM (VALUES ('uniform', 20000), ('linear', 19900), ('exponential', 20000), ('spheres', 20000), ('cut_box', 20000)) AS t(kind, n)")
+@query("SELECT kind, CAST(n AS BIGINT) AS n, true AS inside, true AS placed, true AS again FROM (VALUES ('uniform', 20000), ('linear', (SELECT sum(2 * 20000 * i // 10100) FROM range(1, 101) AS r(i))), ('exponential', 20000), ('spheres', 20000), ('cut_box', 20000)) AS t(kind, n)")
 def generated(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of every generator of positions; whether all are inside, lie as they should and come again with the same seed."""
     n = 20_000
