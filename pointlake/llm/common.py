@@ -6,15 +6,17 @@ intermediate results go to the folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pointlake.storage import delete, scratch
+
 #: Spelled as in the contracts: everything but space and 0x09-0x0D is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BREAKS = " \t\n\x0b\x0c\r"
@@ -44,24 +46,33 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder takes its place, which is right for one machine alone.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointlake-"))
-    return spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
-
-
 #: Arrow batches while a table is kept: smaller than by default, as a worker holds a batch and what it makes of it.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_SETTING = threading.Lock()
+#: By application: how many tables are being kept now, and the settings to go back to after the last of them.
+_KEEPING: dict[str, tuple[int, dict[str, str]]] = {}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """BATCHES for as long as anyone in the session is inside; the first sets them, the last sets them back."""
+    key = f"{spark.sparkContext.applicationId} {spark._jsparkSession.hashCode()}"
+    with _SETTING:
+        inside, before = _KEEPING.get(key, (0, {}))
+        if not inside:
+            before = {k: spark.conf.get(k) for k in BATCHES}
+            for k, v in BATCHES.items():
+                spark.conf.set(k, v)
+        _KEEPING[key] = (inside + 1, before)
+    try:
+        yield
+    finally:
+        with _SETTING:
+            inside, before = _KEEPING[key]
+            _KEEPING[key] = (inside - 1, before)
+            if inside == 1:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,19 +81,23 @@ def cut(df: DataFrame) -> DataFrame:
     A written table, not ``checkpoint()``: a checkpoint keeps the size estimates of
     the plan it cut, which joins multiply, so that in a loop they grow to numbers
     that fill the driver's memory. A table has the size of its files, by which
-    Spark then chooses its joins.
+    Spark then chooses its joins. It goes when it is ``spent``, or with the
+    application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept/{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in BATCHES}
-    try:
-        for k, v in BATCHES.items():
-            spark.conf.set(k, v)
+    path = scratch(spark, "kept")
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing will read any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_kept_at", None):
+            delete(df.sparkSession, path)
 
 
 def map_column(

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointlake.llm.common import chunks, cut, fresh, map_column, quoted, read_table
+from pointlake.llm.common import chunks, cut, fresh, map_column, quoted, read_table, spent
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -408,15 +408,18 @@ def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
         e = e.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
         return e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    links = cut(between(edges, comps))
+    links, given = cut(between(edges, comps)), comps
     while not links.isEmpty():
-        hook = cut(links.groupBy("b").agg(F.min("a").alias("to")).select(F.col("b").alias("comp"), "to"))
+        first = hook = cut(links.groupBy("b").agg(F.min("a").alias("to")).select(F.col("b").alias("comp"), "to"))
         for _ in range(2):
             on = hook.select(F.col("comp").alias("to"), F.col("to").alias("end"))
             hook = hook.join(on, "to", "left").select("comp", F.coalesce("end", "to").alias("to"))
         hook = cut(hook)
-        comps = cut(comps.join(hook, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp")))
-        links = cut(between(links, hook.select(F.col("comp").alias("key"), F.col("to").alias("comp"))))
+        now = cut(comps.join(hook, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp")))
+        left = cut(between(links, hook.select(F.col("comp").alias("key"), F.col("to").alias("comp"))))
+        spent(links, first, hook, *([] if comps is given else [comps]))
+        comps, links = now, left
+    spent(links)
     return comps
 
 

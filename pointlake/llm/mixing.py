@@ -23,13 +23,15 @@ are replaced by it.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointlake.llm.common import cut, fresh, quoted, read_table
+from pointlake.llm.common import cut, fresh, quoted, read_table, spent
 from pointlake.llm.wordstats import word_count
 
 WEIGHTS = (5, 2, 1)
@@ -116,7 +118,11 @@ def duals(cells: DataFrame, goals: DataFrame, most: int = MOST, steps: int = STE
         inside = newton.isNotNull() & (newton > F.coalesce(lo, F.col("dual") - 8 * wide)) & (newton < F.coalesce(hi, F.col("dual") + 8 * wide))
         other = F.when(lo.isNotNull() & hi.isNotNull(), (lo + hi) / 2).when(gap > 0, F.col("dual") - 2 * wide).otherwise(F.col("dual") + 2 * wide)
         ended = F.col("over") | (F.abs(gap) <= done * F.col("target"))
-        state = cut(now.select(*key, "target", "scale", "words", F.when(ended, F.col("dual")).when(inside, newton).otherwise(other).alias("dual"), lo.alias("lo"), hi.alias("hi"), ended.alias("over")))
+        last, state = state, cut(now.select(*key, "target", "scale", "words", F.when(ended, F.col("dual")).when(inside, newton).otherwise(other).alias("dual"), lo.alias("lo"), hi.alias("hi"), ended.alias("over")))
+        spent(last)
+    else:
+        if left := state.where("not over").count():
+            logging.getLogger(__name__).warning("%d of the duals are not within %g after %d steps; the last ones are used", left, done, steps)
     return state.select(*key, "dual", "scale")
 
 

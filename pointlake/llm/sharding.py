@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointlake.llm.common import cut, fresh, quoted, read_table
+from pointlake.llm.common import cut, fresh, quoted, read_table, spent
 
 SHARDS, ROUNDS = 16, 100
 #: Parts into which a group's members, the unlinked rows and a shard's groups are dealt for ranking.
@@ -63,7 +63,7 @@ def propagated(cells: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> Dat
     granted stays and asks again, until a round grants nothing or does not lower the
     links cut. What ``rounds`` stops before that is reported as a warning.
     """
-    links = cut_links(cells)
+    links, given = cut_links(cells), cells
     for _ in range(rounds):
         best = cells.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("b"))
         asked = cells.join(best.select("g", F.col("b.shard").alias("to"), F.col("b.n").alias("most")), "g").where("shard <> to")
@@ -74,7 +74,7 @@ def propagated(cells: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> Dat
         held = cells.groupBy("shard").agg(F.sum("n").alias("held"))
         room = quotas.join(held, "shard", "left").select(F.col("shard").alias("to"), F.greatest(F.col("quota") - F.coalesce("held", F.lit(0)), F.lit(0)).alias("room"))
         # as many may go from one shard to another as come back, and beyond that as many as there is room for
-        flows = cut(asked.groupBy("shard", "to").agg(F.sum("n").alias("d")))
+        flow = flows = cut(asked.groupBy("shard", "to").agg(F.sum("n").alias("d")))
         back = flows.select(F.col("to").alias("shard"), F.col("shard").alias("to"), F.col("d").alias("e"))
         flows = flows.join(back, ["shard", "to"], "left").withColumn("both", F.least("d", F.coalesce("e", F.lit(0)))).withColumn("more", F.col("d") - F.col("both"))
         flows = _below(flows, ["to"], ["shard"], "more", "past").join(room, "to")
@@ -87,8 +87,12 @@ def propagated(cells: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> Dat
         into = part.select("g", F.col("to").alias("shard"), F.col("go").alias("n"))
         moved = cut(cells.unionByName(out).unionByName(into).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
         left = cut_links(moved)
+        spent(asked, flow)
         if left >= links:  # nothing granted, or nothing gained
+            spent(moved)
             return cells
+        if cells is not given:
+            spent(cells)
         cells, links = moved, left
     logging.getLogger(__name__).warning("propagation stopped after %d rounds; %d pairs of linked documents are cut", rounds, links)
     return cells

@@ -27,20 +27,68 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def read(manifest, folder):
-    return sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_back(manifest, folder).collect()), key=str)
+def read(spark, folder):
+    return sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_back(spark, folder).collect()), key=str)
 
 
 def test_odd_pages(spark, tmp_path):
     big = "é" * 700
     rows = [(1, big), (2, big), (2, big), (None, big), (3, None), (4, ""), (5, "s" * 999), (6, "s" * 999), (7, "t" * 1000), (-9, "t" * 1000), (8, "x" * 300_000), (None, "n" * 2000), (None, "n" * 2000)]
     df = spark.createDataFrame([(i, f"http://a/{i} b", t, "z") for i, t in rows], "page_id long, url string, html string, digest string")
-    manifest = warc.written(df, str(tmp_path / "a"), roll=3000, shard_bytes=2000)
-    assert read(manifest, str(tmp_path / "a")) == brute(rows)
-    texts = sorted(bytes(r.payload) for r in warc.read_back(manifest, str(tmp_path / "a"), True).where("record_type = 'response'").collect())
+    made = warc.written(df, str(tmp_path / "a"), roll=3000, shard_bytes=2000)
+    assert read(spark, str(tmp_path / "a")) == brute(rows)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, warc.manifest(spark, str(tmp_path / "a")).collect()))
+    texts = sorted(bytes(r.payload) for r in warc.read_back(spark, str(tmp_path / "a"), True).where("record_type = 'response'").collect())
     assert texts == sorted((t or "").encode() for t in [big, None, "", "s" * 999, "s" * 999, "t" * 1000, "x" * 300_000, "n" * 2000])
     empty = warc.written(df.limit(0), str(tmp_path / "b"))
-    assert empty.count() == 0 and warc.read_back(empty, str(tmp_path / "b")).count() == 0
+    assert empty.count() == 0 and warc.read_back(spark, str(tmp_path / "b")).count() == 0
+
+
+ENDS = [(-(1 << 63), "a" * 5000), ((1 << 63) - 1, "a" * 5000), (0, "b" * 3000), (None, "a" * 5000)]
+
+
+def test_shards_are_of_like_size_wherever_the_ids_lie(spark, tmp_path):
+    pages = [(i, f"{i} " * 300) for i in range(4000)]
+    for n, more in enumerate(([], [(1 << 40, "far")], ENDS, [(i * i * 977, f"{i} " * 200) for i in range(4000, 5000)])):
+        rows = pages + more
+        df = spark.createDataFrame([(i, "http://a", t) for i, t in rows], "page_id long, url string, html string").repartition(7)
+        total, most = sum(len(t) for _, t in rows), 300_000
+        made = warc.written(df, str(tmp_path / str(n)), shard_bytes=most).collect()
+        assert read(spark, str(tmp_path / str(n))) == brute(rows)
+        assert max(r.records for r in made) < 400 and total / most <= len({r.shard for r in made}) <= 1.4 * total / most + 3
+
+
+def test_pages_without_an_id_are_spread(spark, tmp_path):
+    rows = [(None, f"{i % 50} " * 400) for i in range(600)] + [(1, "0 " * 400)]
+    df = spark.createDataFrame([(i, f"http://a/{n}", t) for n, (i, t) in enumerate(rows)], "page_id long, url string, html string")
+    made = warc.written(df, str(tmp_path / "a"), shard_bytes=50_000).collect()
+    assert read(spark, str(tmp_path / "a")) == brute(rows) and max(r.records for r in made) < 150
+    ids = [r.record_id for r in warc.read_back(spark, str(tmp_path / "a")).collect()]
+    assert len(set(ids)) == len(ids)
+
+
+def test_readers_want_a_whole_archive(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"{i} " * 400) for i in range(200)], "page_id long, url string, html string")
+    folder = tmp_path / "a"
+    folder.mkdir()
+    (folder / ".tmp-lost-shard-000000-00000.warc.gz").write_bytes(b"half of a file")
+    (folder / "shard-000900-00000.warc.gz").write_bytes(b"of no manifest")
+    warc.written(df, str(folder), shard_bytes=40_000)
+    assert not list(folder.glob(".tmp*")) and warc.read_back(spark, str(folder)).count() == 200
+    warc.written(df.where("page_id < 90"), str(folder), shard_bytes=40_000)
+    assert warc.read_back(spark, str(folder)).count() == 90
+    one = folder / "shard-000001-00000.warc.gz"
+    whole = one.read_bytes()
+    one.write_bytes(gzip.compress(warc.record(1, "u", b"x", None, 0)))
+    with pytest.raises(Exception, match="differs from its manifest"):
+        warc.read_back(spark, str(folder)).count()
+    one.write_bytes(whole)
+    (folder / "shard-000001.manifest.json").unlink()
+    with pytest.raises(Exception, match="shard-000001.manifest.json"):
+        warc.read_back(spark, str(folder)).count()
+    (folder / warc.ARCHIVE).unlink()
+    with pytest.raises(FileNotFoundError):
+        warc.read_back(spark, str(folder))
 
 
 def test_same_bytes_however_partitioned(spark, tmp_path):
