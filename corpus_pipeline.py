@@ -17,14 +17,14 @@ columns of ``documents`` are carried through stages 1 to 4.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm import bpe, dartminhash, mixing, qda, secrets
-from pointlake.llm.common import fresh, quoted, read_table, shared_dir
+from pointlake.llm.common import fresh, quoted, read_table
+from pointlake.storage import delete, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        delete(spark, f"{folder}/{n - 1}")  # read by the stage that has just ended, and by no other
     return docs
