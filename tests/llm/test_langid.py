@@ -1,4 +1,9 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from pointlake.llm import langid
@@ -59,3 +64,54 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(lang) and all(r.held_out == langid.in_python(r.doc_id) and 0 <= r.score <= 1 for r in rows)
     held = [lang[r.doc_id] == r.lang_pred for r in rows if r.held_out and lang[r.doc_id]]
     assert np.mean(held) > 0.97 and np.mean([r.rejected for r in rows]) < 0.05
+
+
+def plain_grams(text):
+    """Counts of hashed n-grams, one by one."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    line, mask, out = " " + " ".join(words) + " ", (1 << 64) - 1, Counter()
+    if not words:
+        return out
+    one = lambda c: (ord(c) + 1) * 0x9E3779B97F4A7C15 & mask
+    for i, c in enumerate(line):
+        out[one(c) >> 52] += 1
+        if i + 1 < len(line):
+            two = (one(c) ^ one(line[i + 1]) >> 7) * 0xC2B2AE3D27D4EB4F & mask
+            out[two >> 52] += 1
+            if i + 2 < len(line):
+                out[((two ^ one(line[i + 2]) >> 11) * 0x165667B19E3779F9 & mask) >> 52] += 1
+    return out
+
+
+def test_query_against_plain_nearest_centroids(spark):
+    """Frequencies, the sample and every score, worked out text by text; only the clustering is shared."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    grams = {r.doc_id: plain_grams(r.text or "") for r in rows}
+    learned = [r for r in rows if r.lang is not None and r.text is not None and not langid.in_python(r.doc_id)]
+    seen = Counter(f for r in learned for f in grams[r.doc_id])
+    idf = [math.log((1 + len(learned)) / (1 + seen[f])) + 1e-3 for f in range(langid.FEATURES)]
+
+    def vector(i):
+        v = {f: math.log1p(n) * idf[f] for f, n in grams[i].items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()} if norm else {}
+
+    def h(text):
+        n = xxhash.xxh64_intdigest(text.encode(), seed=42)
+        return n - (1 << 64) if n >> 63 else n
+
+    centroids = []
+    for lang in sorted({r.lang for r in learned}):
+        texts = {h(r.text): r.doc_id for r in learned if r.lang == lang}
+        dense = np.zeros((min(len(texts), langid.SAMPLE), langid.FEATURES))
+        for k, key in enumerate(sorted(texts)[: langid.SAMPLE]):
+            for f, x in vector(texts[key]).items():
+                dense[k, f] = x
+        centroids += [(lang, c) for c in langid.clustered(dense[dense.any(axis=1)])]
+    got = {r.doc_id: r for r in langid.op6_nearest_centroid(spark, SF).collect()}
+    for r in rows:
+        v = vector(r.doc_id)
+        cosines = [(sum(x * c[f] for f, x in v.items()), lang) for lang, c in centroids]
+        best = max(c for c, _ in cosines)
+        assert abs(got[r.doc_id].score - (best if v else 0.0)) < 1e-5
+        assert got[r.doc_id].lang_pred in ({lang for c, lang in cosines if c > best - 1e-9} if v else {"und"})

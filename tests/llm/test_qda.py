@@ -47,3 +47,24 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == qda.in_python(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([a == b for a, b in held]) > 0.97 and np.mean([p for q, p in held if q == 0]) < 0.1
+
+
+def test_scores_against_a_refit_of_the_rows(spark):
+    """The query's scores against densities worked out from the labelled rows themselves, without sums or factors."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    x = {i: np.array(qda.statistics(t or "")) for i, t in docs.items()}
+    own = {c: np.array([x[i] for i in sorted(x) if labels.get(i) == c and not qda.in_python(i)]) for c in (0, 1)}
+    d, total = len(qda.NAMES), sum(map(len, own.values()))
+    cov = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    pooled = sum(len(own[c]) * cov[c] for c in cov) / total
+    logs = {}
+    for c, v in own.items():
+        a = min(1.0, 0.1 + d * d / len(v) / 4)
+        m = (1 - a) * cov[c] + a * pooled
+        b = min(1.0, 0.1 + d / len(v))
+        m = (1 - b) * m + b * np.diag(np.diag(m)) + 1e-3 * max(np.trace(pooled) / d, 1e-6) * np.eye(d)
+        inverse, base = np.linalg.inv(m), np.log(len(v) / total) - 0.5 * np.linalg.slogdet(m)[1]
+        logs[c] = {i: base - 0.5 * float((r - v.mean(0)) @ inverse @ (r - v.mean(0))) for i, r in x.items()}
+    for r in qda.op9_quadratic_discriminant(spark, SF).collect():
+        assert abs(r.score - 1 / (1 + np.exp(np.clip(logs[0][r.doc_id] - logs[1][r.doc_id], -700, 700)))) < 1e-4

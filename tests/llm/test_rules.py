@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 from pointlake.llm import rules, wordstats
@@ -38,6 +39,79 @@ def test_whole_table(spark):
     assert right[1, True] <= 0.01 * right[1, False] and right[0, True] > 10 * right[0, False] / 2
 
 
+def plain_features(r):
+    n, chars = max(1, r.n_words), max(1, r.word_chars)
+    return {
+        "n_words": float(r.n_words), "mean_word": r.word_chars / n, "symbol_rate": r.n_symbols / chars, "repeat_rate": r.n_repeat_words / n,
+        "dup_line_rate": r.n_dup_lines / n, "upper_rate": r.n_upper / chars, "mark_rate": r.n_marks / n,
+    }
+
+
+def plain_rule(found, r):
+    """The number of the first rule that holds, test by test."""
+    value = plain_features(r)
+    for n, rule in enumerate(found, 1):
+        if all((value[t.feature] >= t.threshold) == t.at_least for t in rule):
+            return n
+    return 0
+
+
+def test_the_list_is_what_it_reads(spark):
+    got, found = rules.judged(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = got.collect()
+    assert found and all(r.rule == plain_rule(found, r) for r in rows)
+    made = [(rules.Test("n_words", True, 8.0), rules.Test("symbol_rate", True, 0.25)), (rules.Test("mark_rate", False, 0.5), rules.Test("n_words", False, 3.0), rules.Test("mean_word", True, 4.0)), (rules.Test("upper_rate", True, 0.5),)]
+    listed = got.withColumn("rule", rules.expression(made)).collect()
+    assert len({r.rule for r in listed}) > 1 and all(r.rule == plain_rule(made, r) for r in listed)
+
+
+def plain_learn(rows, most_rules=8, most_tests=3, precision=0.97, covered=5):
+    """Sequential covering over lists: (features, label, held back)."""
+    import math
+
+    step = lambda v: max(rules.LOWEST * rules.PER_OCTAVE, min(rules.HIGHEST * rules.PER_OCTAVE, math.floor(math.log2(v) * rules.PER_OCTAVE))) if v > 0 else rules.LOWEST * rules.PER_OCTAVE - 1
+    holds = lambda rule, x: all((x[t.feature] >= t.threshold) == t.at_least for t in rule)
+    found, barred = [], set()
+    while len(found) < most_rules:
+        left = [r for r in rows if not any(holds(rule, r[0]) for rule in found)]
+        rule = ()
+        while len(rule) < most_tests:
+            grow = [r for r in left if not r[2] and holds(rule, r[0])]
+            bad, good = sum(r[1] == 0 for r in grow), sum(r[1] != 0 for r in grow)
+            if bad < covered or rule and not good:
+                break
+            base, best = math.log2((bad + 1) / (bad + good + 2)), None
+            for f in sorted(set(grow[0][0]) - (set() if rule else barred)):
+                bins = sorted({step(r[0][f]) for r in grow})
+                for b in bins[1:]:
+                    for side in (True, False):
+                        part = [r for r in grow if (step(r[0][f]) >= b) == side]
+                        p = sum(r[1] == 0 for r in part)
+                        gain = p * (math.log2((p + 1) / (len(part) + 2)) - base)
+                        if p and (best is None or gain > best[0] + 1e-9):
+                            best = (gain, rules.Test(f, side, 2.0 ** (b / rules.PER_OCTAVE)))
+            if best is None or best[0] <= 0:
+                break
+            rule = (*rule, best[1])
+        if not rule:
+            break
+        score = lambda k, of: [sum(r[1] == v for r in of if holds(rule[: k + 1], r[0])) for v in (0, 1)]
+        held = [r for r in left if r[2]]
+        k = max(range(len(rule)), key=lambda k: (score(k, held)[0] / (sum(score(k, held)) + 1), -k))
+        if score(k, held)[0] and all(p >= precision * (p + n) for p, n in (score(k, held), score(k, left))):
+            found.append(rule[: k + 1])
+        else:
+            barred.add(rule[0].feature)
+    return found
+
+
+def test_the_list_is_learned_as_by_a_plain_search(spark):
+    got, found = rules.judged(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(plain_features(r), labels[r.doc_id], zlib.crc32(str(r.doc_id).encode()) % 3 == 0) for r in got.collect() if r.doc_id in labels]
+    assert plain_learn(rows) == found
+
+
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (7, 0)], "doc_id long, quality int")
@@ -54,3 +128,18 @@ def test_learns_a_planted_conjunction(spark):
     want = {i for i, q in labels if q == 0}
     said = {r.doc_id for r in got.where("rule > 0").collect()}
     assert found and len(want ^ said) <= 0.05 * len(want)
+    assert len(found[0]) >= 2 and {t.feature for t in found[0]} >= {"n_words"}, rules.sql(found)
+
+
+def test_learns_a_conjunction_over_the_whole_table(spark):
+    """Long texts with many capitals or marks are rejected, each alone is kept: no single threshold tells them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    stats = wordstats.with_stats(docs).collect()
+    middle = sorted(r.n_words for r in stats)[len(stats) // 2]
+    rate = sorted(plain_features(r)["upper_rate"] for r in stats)[len(stats) // 2]
+    labels = [(r.doc_id, int(not (r.n_words >= middle and plain_features(r)["upper_rate"] >= rate))) for r in stats]
+    got, found = rules.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    want = {i for i, q in labels if q == 0}
+    said = {r.doc_id for r in got.where("rule > 0").collect()}
+    assert any(len(rule) >= 2 for rule in found), rules.sql(found)
+    assert len(said - want) <= 0.03 * len(said) and len(said & want) >= 0.6 * len(want)
