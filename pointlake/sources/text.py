@@ -25,11 +25,29 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(kinds, "type").select("pid", "x", "y", "z", "atom_id", "type")
 
 
-def write_xyz(df: DataFrame, path: str, kind: str = "type") -> None:
-    """Rows by pid as one XYZ text."""
+def write_xyz(df: DataFrame, folder: str, kind: str = "type") -> None:
+    """Rows by pid as XYZ text in parts: ``folder`` has a part with the count and title, then the rows by ranges of pid.
+
+    Each part is written by a task of its own; joined in order of their names, or
+    read by ``read_xyz_parts``, they are one XYZ text.
+    """
     line = F.concat_ws(" ", F.col(kind), *[F.col(c).cast("string") for c in "xyz"])
-    one = df.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("pid", line.alias("line")))).alias("rows"))
-    one.select(F.concat_ws("\n", F.col("n").cast("string"), F.lit("particles"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    rows = df.select("pid", line.alias("value")).repartitionByRange("pid").sortWithinPartitions("pid")
+    spark = df.sparkSession
+    spark.createDataFrame([(f"{df.count()}\nparticles",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/0-head")
+    rows.select("value").write.mode("overwrite").text(f"{folder}/1-rows")
+
+
+def read_xyz_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_xyz`` wrote: x, y, z and type, line by line, in parallel; pid is the place in the order of parts."""
+    lines = spark.read.text(f"{folder}/1-rows").select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("#")))
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    past = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
+    placed = lines.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1).join(starts, "file")
+    parts = placed.select((F.col("before") + F.col("r")).alias("pid"), F.split(F.trim("value"), r"\s+").alias("p"))
+    return parts.select("pid", *[F.element_at("p", i + 2).cast("float").alias(c) for i, c in enumerate("xyz")], F.element_at("p", 1).alias("type"))
 
 
 def read_json(spark: SparkSession, path: str, attr: str | None = None) -> DataFrame:
@@ -41,5 +59,5 @@ def read_json(spark: SparkSession, path: str, attr: str | None = None) -> DataFr
     if name is None or name.n is None:
         raise KeyError(f"request for attribute {attr} which does not exist")
     doc = doc.select("points", chosen["data"].alias("data"))
-    ids = doc.select("points", "data", F.explode(F.sequence(F.lit(0), (F.size("points") / 3 - 1).cast("int"))).alias("i"))
+    ids = doc.select("points", "data", F.explode(F.filter(F.sequence(F.lit(0), F.floor(F.size("points") / 3).cast("int")), lambda i: i < F.floor(F.size("points") / 3))).alias("i"))
     return ids.select(F.col("i").cast("long").alias("pid"), *[F.get("points", F.col("i") * 3 + k).alias(c) for k, c in enumerate("xyz")], F.get("data", F.col("i")).alias(name.n))

@@ -1,60 +1,60 @@
 """Tree files: the binary layout with a header in JSON, coarse nodes and page-aligned treelets.
 
 Only rows and their place in the tree are read; Parquet is the layout that is written.
-A file, or one of the files an aggregate header lists, is one task's work.
+A treelet of a file, or of one of the files an aggregate header lists, is one task's work.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointlake.schema import SCALARS
-from pointlake.sources.binary import NUMPY, _files, _mapped
+from pointlake.sources.binary import NUMPY, Part, Slice, first_header, header, in_parts, paths_of
+from pointlake.storage import names
 
-#: Numbers of the scalar types in headers, from 1.
+# Numbers of the scalar types in headers, from 1, and sizes of nodes.
 CODES = dict(enumerate(("INT_8", "UINT_8", "INT_16", "UINT_16", "INT_32", "UINT_32", "INT_64", "UINT_64", "FLOAT_32", "FLOAT_64"), 1))
 PAGE, COARSE_NODE, KD_NODE = 4096, 16, 12
 
 
-def header(raw: bytes) -> tuple[dict, int]:
-    """The JSON header of a tree file and the offset of what follows it."""
-    n = struct.unpack_from("<Q", raw)[0]
-    return json.loads(raw[8 : 8 + n]), 8 + n
-
-
 def _attributes(info: dict) -> list[tuple[str, str]]:
     return [(a["name"], CODES[a["dtype"]]) for a in info.get("attributes") or []]
 
 
-def treelets(raw: bytes) -> list[tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]]:
-    """Per treelet: positions, attributes, and the depth of the node that owns each row."""
-    info, at = header(raw)
-    base, attrs = -(-at // PAGE) * PAGE, _attributes(info)
-    offsets = np.frombuffer(raw, "<u8", info["num_treelets"], base + COARSE_NODE * info["num_nodes"])
-    per_node = len(attrs) * (2 + 8 * bool(info.get("has_ranges")))
-    out = []
-    for offset in offsets.tolist():
-        p = base + offset
-        nodes, n = struct.unpack_from("<II", raw, p)
-        p += 8
-        kd = np.frombuffer(raw, "<u4", 3 * nodes, p).reshape(nodes, 3)
-        p += nodes * (KD_NODE + per_node)
-        points = np.frombuffer(raw, "<f4", 3 * n, p).reshape(n, 3)
-        p += 12 * n
-        values = {}
-        for name, dtype in attrs:
-            values[name] = np.frombuffer(raw, NUMPY[dtype], n, p)
-            p += n * np.dtype(NUMPY[dtype]).itemsize
-        out.append((points, values, _levels(kd, n, info["num_lod_prims"])))
+def places(file: Slice) -> list[Part]:
+    """Where each treelet is: rows before it, its rows, its place and number."""
+    info, at = header(file)
+    base = -(-at // PAGE) * PAGE
+    offsets = file.values("<u8", base + COARSE_NODE * info["num_nodes"], info["num_treelets"]).tolist()
+    out, first = [], 0
+    for i, offset in enumerate(offsets):
+        n = struct.unpack("<I", file.at(base + offset + 4, 4))[0]
+        out.append((first, n, base + offset, str(i)))
+        first += n
     return out
 
 
+def treelet(file: Slice, place: int) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Positions, attributes, and the depth of the node that owns each row of the treelet at ``place``."""
+    info, _ = header(file)
+    attrs = _attributes(info)
+    nodes, n = struct.unpack("<II", file.at(place, 8))
+    at = place + 8
+    kd = file.values("<u4", at, 3 * nodes).reshape(nodes, 3)
+    at += nodes * (KD_NODE + len(attrs) * (2 + 8 * bool(info.get("has_ranges"))))
+    points = file.values("<f4", at, 3 * n).reshape(n, 3)
+    at += 12 * n
+    values = {}
+    for name, dtype in attrs:
+        values[name] = file.values(NUMPY[dtype], at, n)
+        at += values[name].nbytes
+    return points, values, _levels(kd, n, info["num_lod_prims"])
+
+
 def _levels(kd: np.ndarray, n: int, lod_rows: int) -> np.ndarray:
     """Depth by row: a leaf's rows at its depth, the rows an inner node shows at that node's."""
     level, todo = np.zeros(n, np.int32), [(0, 0)] if len(kd) else []
@@ -72,29 +72,36 @@ def _levels(kd: np.ndarray, n: int, lod_rows: int) -> np.ndarray:
 
 def read_tree(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, pid (place in its file), treelet, lod_level, x, y, z and the attributes of the first file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content") if isinstance(path, list) else _files(spark, path)
-    info, _ = header(bytes(files.select(F.substring("content", 1, 1 << 20).alias("c")).first().c))
-    attrs = _attributes(info)
+    files = paths_of(spark, path)
+    attrs = _attributes(first_header(files))
     fields = [("file", T.StringType()), ("pid", T.LongType()), ("treelet", T.IntegerType()), ("lod_level", T.IntegerType()), *[(c, T.FloatType()) for c in "xyz"], *[(a, SCALARS[d][0]) for a, d in attrs]]
 
-    def read(name: str, raw: bytes) -> list[np.ndarray]:
-        parts = treelets(raw)
-        total = sum(len(p) for p, _, _ in parts)
-        join = lambda arrays, kind: np.concatenate(arrays) if arrays else np.empty(0, kind)
-        points = join([p for p, _, _ in parts], np.float32).reshape(-1, 3)
-        return [
-            np.full(total, name), np.arange(total), join([np.full(len(p), i, np.int32) for i, (p, _, _) in enumerate(parts)], np.int32), join([d for _, _, d in parts], np.int32),
-            *(points[:, i] for i in range(3)), *(join([v[a] for _, v, _ in parts], NUMPY[d]) for a, d in attrs),
-        ]
+    def read(name: str, file: Slice, part: Part) -> list[np.ndarray]:
+        first, n, place, number = part
+        points, values, levels = treelet(file, place)
+        return [np.full(n, name), first + np.arange(n), np.full(n, int(number), np.int32), levels, *(points[:, i] for i in range(3)), *(values[a] for a, _ in attrs)]
+
+    return in_parts(files, places, read, fields)
+
 
-    return _mapped(files, read, fields)
+def subfile_ids(file: Slice) -> list[int]:
+    """The subfiles that an aggregate's leaves name: nodes of a number and a word whose two low bits mark leaves."""
+    info, at = header(file)
+    nodes = file.values("<u4", at, 2 * info["num_nodes"]).reshape(-1, 2)
+    return sorted(nodes[nodes[:, 1] & 3 == 3, 0].tolist())
 
 
 def read_aggregate(spark: SparkSession, path: str) -> DataFrame:
-    """All subfiles of an aggregate header that exist; empty subfiles have no file."""
-    info, _ = header(bytes(spark.read.format("binaryFile").load(path).first().content))
+    """The subfiles that an aggregate header lists (all there are, if it lists none); empty ones have no file."""
+    address = paths_of(spark, path).first().path
     folder = path.rsplit("/", 1)[0] if "/" in path else "."
-    return read_tree(spark, f"{folder}/{info['bat_prefix']}*.bat")
+    with Slice(address) as file:
+        info, _ = header(file)
+        ids = subfile_ids(file) if info.get("num_nodes") else None
+    if ids is None:
+        return read_tree(spark, f"{folder}/{info['bat_prefix']}*.bat")
+    there = set(names(spark, folder))
+    return read_tree(spark, [f"{folder}/{name}" for i in ids if (name := f"{info['bat_prefix']}{i}.bat") in there])
 
 
 def open_tree(spark: SparkSession, path: str) -> DataFrame:

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointlake.sources.binary import Slice
+
+# Names of the formats' number types.
 UDA_TYPES = {"double": "f8", "float": "f4", "long64": "i8"}
 SPARK_TYPES = {"f8": T.DoubleType(), "f4": T.FloatType(), "i8": T.LongType()}
 VTK_TYPES = {"Int8": "i1", "UInt8": "u1", "Int16": "i2", "UInt16": "u2", "Int32": "i4", "UInt32": "u4", "Int64": "i8", "UInt64": "u8", "Float32": "f4", "Float64": "f8"}
@@ -61,11 +63,11 @@ def read_uda(spark: SparkSession, timestep: str) -> DataFrame:
     for p in patches:
         before[p] = sum(v["n"] for v in found if v["name"] == "p.x" and v["patch"] < p)
     work = spark.createDataFrame(ranges, "patch int, name string, kind string, file string, start long, end long, n long")
-    files = spark.read.format("binaryFile").load(sorted({r[3] for r in ranges})).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content")
-    cut = work.withColumn("file", F.regexp_replace("file", "^file:/*", "/")).join(files, "file").select("patch", "name", "kind", "n", F.expr("substring(content, int(start) + 1, int(end - start))").alias("raw"))
-
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = {r["name"]: r for r in table.to_pylist()}
+        for r in rows.values():
+            with Slice(r["file"]) as file:
+                r["raw"] = file.at(r["start"], r["end"] - r["start"])
         n = rows["p.x"]["n"]
         p = np.frombuffer(rows["p.x"]["raw"], f"{order}f8", 3 * n).reshape(n, 3).astype(np.float32)
         columns = [np.arange(n) + before[key[0].as_py()], np.full(n, key[0].as_py(), np.int32), p[:, 0], p[:, 1], p[:, 2]]
@@ -77,7 +79,7 @@ def read_uda(spark: SparkSession, timestep: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds, names = to_arrow_schema(kind).types, kind.names
-    return cut.groupBy("patch").applyInArrow(run, kind)
+    return work.groupBy("patch").applyInArrow(run, kind)  # a task reads the byte ranges of its patch; files are never moved
 
 
 def _array(node: ET.Element, appended: bytes, order: str, header: str, packed: bool, raw: bool) -> np.ndarray:

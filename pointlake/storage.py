@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -86,3 +87,10 @@ def write_once(spark: SparkSession, folder: str, name: str, text: str) -> bool:
         return True
     files.delete(at, False)
     return False
+
+
+def file_system(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address as Spark writes it, and the path in it, for use in tasks."""
+    if "://" not in address:
+        address = "file://" + (address[5:] if address.startswith("file:") else address)
+    return fs.FileSystem.from_uri(address)

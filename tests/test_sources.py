@@ -14,8 +14,13 @@ def test_xyz(spark, tmp_path):
     (tmp_path / "a.xyz").write_text("4\ntitle\n# note\nFe 1 2 3\nC 4 5 6\n\nFe 7 8 9\n#\nH 0 0 1.5\nBeyond 9 9 9\n")
     df = text.read_xyz(spark, str(tmp_path / "a.xyz"))
     assert [tuple(r) for r in df.orderBy("pid").collect()] == [(0, 1, 2, 3, 0, "Fe"), (1, 4, 5, 6, 1, "C"), (2, 7, 8, 9, 0, "Fe"), (3, 0, 0, 1.5, 2, "H")]
-    text.write_xyz(df, str(tmp_path / "out"))
-    assert text.read_xyz(spark, str(tmp_path / "out")).orderBy("pid").collect() == df.orderBy("pid").collect()
+    text.write_xyz(df.repartition(3), str(tmp_path / "out"))
+    joined = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("*/part-*")))
+    (tmp_path / "joined.xyz").write_text(joined)
+    assert text.read_xyz(spark, str(tmp_path / "joined.xyz")).orderBy("pid").collect() == df.orderBy("pid").collect()
+    many = spark.range(5000).selectExpr("id AS pid", "float(id) AS x", "float(1) AS y", "float(-id) AS z", "concat('T', id % 7) AS type")
+    text.write_xyz(many, str(tmp_path / "many"))
+    assert text.read_xyz_parts(spark, str(tmp_path / "many")).orderBy("pid").collect() == many.collect()
 
 
 def test_json(spark, tmp_path):
@@ -23,17 +28,39 @@ def test_json(spark, tmp_path):
     path = str(tmp_path / "a.json")
     assert [tuple(r) for r in text.read_json(spark, path).orderBy("pid").collect()] == [(0, 1, 2, 3, 0.5), (1, 4, 5, 6, 1.5)]
     assert text.read_json(spark, path, "u").columns[-1] == "u"
+    (tmp_path / "none.json").write_text(json.dumps({"points": [], "attribs": [{"name": "t", "data": []}]}))
+    assert text.read_json(spark, str(tmp_path / "none.json")).count() == 0
     with pytest.raises(KeyError):
         text.read_json(spark, path, "nope")
 
 
-def test_bp_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("rows", [1 << 22, 37])
+def test_bp_round_trip(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(binary, "RANGE_ROWS", rows)
+    monkeypatch.setattr(binary, "by_rows", lambda n: [(i, min(rows, n - i), 0, "") for i in range(0, n, rows)])
     df = spark.createDataFrame([(i, i / 2, 1.0, -i / 4, i, i * 1.25) for i in range(1000)], "pid long, x double, y double, z double, a int, b double").repartition(3)
     schema = ParticleSchema.of(df)
     made = binary.write_bp(df, str(tmp_path / "bp"), schema).collect()
     assert sum(r.rows for r in made) == 1000 and len(made) == 3
     back = binary.read_bp(spark, str(tmp_path / "bp" / "*.bp"))
     assert sorted((r.x, r.y, r.z, r.a, r.b) for r in back.collect()) == sorted((r.x, r.y, r.z, r.a, r.b) for r in df.collect())
+    assert len({(r.file, r.pid) for r in back.collect()}) == 1000
+
+
+def test_long_headers_and_files_beyond_two_gigabytes(spark, tmp_path):
+    """A header of more than a mebibyte, and rows far behind the reach of one array, in a file with a hole."""
+    n, far = 3, (1 << 31) + 4096
+    head = {"num_points": n, "note": "x" * (1 << 21), "attributes": [{"name": "a", "dtype": "INT_32", "offset": far, "size": 4 * n}]}
+    raw = json.dumps(head).encode()
+    with open(tmp_path / "a.bp", "wb") as out:
+        out.write(struct.pack("<Q", len(raw)) + raw + np.arange(9, dtype="<f4").tobytes())
+        out.seek(8 + len(raw) + far)
+        out.write(np.array([7, 8, 9], "<i4").tobytes())
+    assert [tuple(r)[1:] for r in binary.read_bp(spark, str(tmp_path / "a.bp")).orderBy("pid").collect()] == [(0, 0, 1, 2, 7), (1, 3, 4, 5, 8), (2, 6, 7, 8, 9)]
+    with open(tmp_path / "a.bp", "r+b") as out:
+        out.truncate(8 + len(raw) + far + 8)
+    with pytest.raises(Exception, match="ends before"):
+        binary.read_bp(spark, str(tmp_path / "a.bp")).collect()
 
 
 def test_cosmo(spark, tmp_path):
@@ -125,3 +152,8 @@ def test_tree_files(spark, tmp_path, extra):
     assert [(r.treelet, r.x, r.y, r.z, r.a) for r in got] == want
     assert [r.lod_level for r in got[:7]] == [0, 0, 1, 1, 1, 1, 1]
     assert tree.open_tree(spark, str(tmp_path / "all.pbat")).count() == 26
+    # a header that lists its subfiles: others of that name are not read, and those without rows have no file
+    nodes = struct.pack("<fI", 0.5, 2 << 2) + struct.pack("<II", 0, 3) + struct.pack("<II", 1, 3)
+    head = json.dumps({"bat_prefix": "run", "num_aggregators": 2, "num_nodes": 3}).encode()
+    (tmp_path / "some.pbat").write_bytes(struct.pack("<Q", len(head)) + head + nodes)
+    assert tree.open_tree(spark, str(tmp_path / "some.pbat")).count() == 19
