@@ -382,16 +382,16 @@ x AS (SELECT *, max(lod_level) OVER () AS deepest FROM t)"""
 
 
 def leveled(spark: SparkSession, sf: str) -> DataFrame:
-    return lod.assigned(celled(spark, sf), ["cell"], "pid")
+    return leveled_with_depth(spark, sf)[0]
 
 
 def leveled_with_depth(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    """E with levels, and its deepest level, which the counts of cells tell before any row is ranked."""
+    """E with levels, and its deepest level; both need the counts of cells, which come before any row is ranked."""
     df = coded(spark, sf)
     counts = morton.coarse_counts(df)
     bits = morton.coarse_bits(counts)
-    df = df.withColumn("cell", morton.cell(F.col("morton"), bits))
-    return lod.assigned(df, ["cell"], "pid"), lod.deepest_level(morton.fullest(counts, bits))
+    df, most = df.withColumn("cell", morton.cell(F.col("morton"), bits)), morton.fullest(counts, bits)
+    return lod.assigned(df, ["cell"], "pid", lod.digits_for(most)), lod.deepest_level(most)
 
 
 def _delta_sql(q0: float, q1: float) -> str:
@@ -433,13 +433,11 @@ def progressive_series(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LEVEL_SQL} SELECT pid FROM x")
 def progressive_union(spark: SparkSession, sf: str) -> DataFrame:
-    """The series' deltas together: the whole table, each row once."""
+    """The series' deltas together, each row once for every delta that has it: rows are ranked once."""
     df, deepest = leveled_with_depth(spark, sf)
-    out = None
-    for a, b in zip(SERIES, SERIES[1:]):
-        part = _delta(df, deepest, a, b).select("pid")
-        out = part if out is None else out.unionByName(part)
-    return out
+    args = (F.col("lod_level"), F.col("lod_idx"), F.col("lod_cnt"))
+    holds = F.array(*[F.when(lod.interval(a, b, deepest, *args), F.lit(i)) for i, (a, b) in enumerate(zip(SERIES, SERIES[1:]))])
+    return df.select("pid", F.explode(F.array_compact(holds))).select("pid")
 
 
 QUALITIES = (0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
@@ -554,7 +552,7 @@ def srgb_linear(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_custkey, CAST(sum(n) OVER (ORDER BY o_custkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inclusive, CAST(sum(n) OVER (ORDER BY o_custkey ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS exclusive FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
 def prefix_sum(spark: SparkSession, sf: str) -> DataFrame:
     """Running totals over ordered keys: within ranges of the key, shifted by the totals of the ranges before."""
-    counts = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.expr("o_custkey div 1024"))
+    counts = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.expr("o_custkey div 65536"))
     past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.groupBy("part").agg(F.sum("n").alias("t")).select("part", F.coalesce(F.sum("t").over(past), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy("o_custkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)

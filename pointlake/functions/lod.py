@@ -54,6 +54,15 @@ def deepest_level(rows: int) -> int:
     return ((max(1, rows) - 1) // NODE_ROWS + 1).bit_length() - 1
 
 
+#: Rows of a part that one task ranks, about.
+PART_ROWS = 1 << 20
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits that cut a cell of ``rows`` rows into parts of PART_ROWS or fewer."""
+    return max(0, math.ceil(math.log(max(1, rows / PART_ROWS), 16) - 1e-9))
+
+
 def assigned(df: DataFrame, cells: list[str], pid: str, digits: int = 1) -> DataFrame:
     """``df`` with lod_level, lod_idx and lod_cnt: in each cell, rows in the order of md5(pid), levels of 8, 16, 32 and so on.
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,17 +231,18 @@ def with_cells(df: DataFrame, schema: ParticleSchema, boxes: DataFrame | None =
 
 
 def built(df: DataFrame, schema: ParticleSchema) -> DataFrame:
-    """``df`` (with subfile, cell) with the level columns of k-d treelets."""
+    """``df`` (with subfile, cell) with the level columns of k-d treelets; other columns pass through as they are."""
     kind = T.StructType([*df.schema.fields, *ADDED])
-    names = [f.name for f in df.schema.fields]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        points = rows[list(schema.positions)].to_numpy(np.float64)
-        level, node, idx, cnt, _ = treelet(points, rows[schema.pid].to_numpy(), int(key[-1]))
-        return rows[names].assign(lod_level=level.astype(np.int32), lod_node=node.astype(np.int32), lod_idx=idx, lod_cnt=cnt)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        points = np.stack([rows.column(c).to_numpy().astype(np.float64) for c in schema.positions], axis=1)
+        level, node, idx, cnt, _ = treelet(points, rows.column(schema.pid).to_numpy(), int(key[-1].as_py()))
+        for field, values in zip(ADDED, (level.astype(np.int32), node.astype(np.int32), idx, cnt)):
+            rows = rows.append_column(field.name, pa.array(values))
+        return rows
 
     keys = [c for c in (schema.timestep, "subfile", "cell") if c]
-    return df.groupBy(*keys).applyInPandas(run, kind)
+    return df.groupBy(*keys).applyInArrow(run, kind)
 
 
 PLANES = "subfile int, cell int, node int, level int, axis int, position double, lx double, ly double, lz double, ux double, uy double, uz double"

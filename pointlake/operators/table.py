@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,8 @@ from pointlake.storage import read_text
 
 #: Runs of subfiles in a filter, at most; more of them are joined as a table, which is broadcast up to MOST_BROADCAST rows.
 MOST_LISTED = 1000
+#: Rows of a part of a binary answer, at most.
+ANSWER_ROWS = 1 << 16
 #: Columns of the layout, which a query does not return unless they are named.
 LAYOUT = ("morton", "cell", "version", "subfile", "lod_level", "lod_node", "lod_idx", "lod_cnt")
 
@@ -219,6 +224,26 @@ class ParticleTable:
         spec = QuerySpec.from_server_json(text, self.schema)
         return self.query(spec).select(*[F.col(c).cast("float").alias(c) for c in spec.columns])
 
+    def serve_binary(self, text: str) -> DataFrame:
+        """The answer as a server sends it, in parts (n, answer) of ANSWER_ROWS rows at most, each whole by itself.
+
+        A part is its number of rows (u32), their positions (3 f32 each), then the
+        attribute's values (f32); see ``joined_answer``.
+        """
+        rows = self.serve(text)
+        kind = pa.schema([("n", pa.int64()), ("answer", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, ANSWER_ROWS):
+                    part = batch.slice(start, ANSWER_ROWS)
+                    x, y, z, *rest = (c.to_numpy(zero_copy_only=False).astype("<f4") for c in part.columns)
+                    values = rest[0].tobytes() if rest else b""
+                    raw = struct.pack("<I", part.num_rows) + np.stack([x, y, z], axis=1).tobytes() + values
+                    yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64()), pa.array([raw], pa.binary())], schema=kind)
+
+        return rows.mapInArrow(run, "n long, answer binary")
+
     def read(self, box: Box) -> DataFrame:
         """All rows and attributes of a box, as a restart reads them."""
         return self.query(QuerySpec(box))
@@ -246,6 +271,17 @@ class ParticleTable:
         return overhead(self)
 
 
+def joined_answer(parts: Iterable[bytes]) -> bytes:
+    """Parts of a binary answer as one answer."""
+    rows, places, values = 0, [], []
+    for raw in parts:
+        (n,) = struct.unpack_from("<I", raw)
+        rows += n
+        places.append(raw[4 : 4 + 12 * n])
+        values.append(raw[4 + 12 * n :])
+    return struct.pack("<I", rows) + b"".join(places) + b"".join(values)
+
+
 def _live(schema: ParticleSchema, steps: dict[str, str], info: dict) -> Column:
     """Rows that a commit names: of each version the time steps that no later one has replaced."""
     tests = []

@@ -155,3 +155,10 @@ def test_schema(spark):
         ParticleSchema.of(spark.createDataFrame([], "pid long, x int, y float, z float"))
     with pytest.raises(KeyError):
         ParticleSchema.of(df, attrs=("nope",))
+
+
+def test_levels_do_not_depend_on_the_parts_ranked(spark):
+    df = spark.range(3000).selectExpr("id AS pid", "id % 3 AS cell")
+    got = [sorted(map(tuple, lod.assigned(df, ["cell"], "pid", digits).collect())) for digits in (0, 1, 2)]
+    assert got[0] == got[1] == got[2]
+    assert [lod.digits_for(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 1 << 24, (1 << 24) + 1)] == [0, 0, 0, 1, 1, 2]

@@ -1,8 +1,10 @@
 import json
 import random
 import re
+import struct
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,6 +99,18 @@ def test_requests(table):
     assert table.query(QuerySpec(attrs={"|x,y|": [(0, 1e12)]})).count() == 10_000
 
 
+def test_binary_answers(table, monkeypatch):
+    monkeypatch.setattr(particle_table, "ANSWER_ROWS", 700)
+    request = '{"quality": 0.6, "attribute": "value", "range_min": 1, "range_max": 90}'
+    want = sorted(tuple(r) for r in table.serve(request).collect())
+    raw = particle_table.joined_answer(bytes(r.answer) for r in table.serve_binary(request).collect())
+    (n,) = struct.unpack_from("<I", raw)
+    numbers = np.frombuffer(raw, "<f4", 4 * n, 4)
+    assert n == len(want) > 0 and len(raw) == 4 + 16 * n
+    assert sorted((*map(float, p), float(v)) for p, v in zip(numbers[: 3 * n].reshape(n, 3), numbers[3 * n :])) == want
+    assert particle_table.joined_answer([]) == struct.pack("<I", 0)
+
+
 def test_reports(spark, table):
     r = table.report()
     assert r["num_points"] == 10_000 and r["base_bytes"] == 200_000 and 0 < r["overhead_percent"] < 50
@@ -252,8 +266,6 @@ def test_plans_keep_blocks_and_capacity(raw, most, best_axis):
 
 
 def test_treelets_do_not_depend_on_order():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     points, pids = rng.random((3000, 3)), np.arange(3000)
     a = layout.treelet(points, pids, 5)
