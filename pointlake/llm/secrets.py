@@ -6,13 +6,14 @@ kind, and made-up values of FORMATS, public formats given by their parts, one ki
 (more can be given to ``fit``). Of each kind two probabilistic automata are inferred (see
 ``automaton``): one of whole values, which keeps constant prefixes and lengths, and one
 of their second halves without their ends, a loop over the kind's alphabet that also
-knows formats of which no value was seen. One more is inferred from ordinary words and
-from what is commonly made of them: identifiers, paths, dates, numbers. Every candidate,
-a run of credential characters not mostly covered by base spans, is scored by its log
-likelihood under the best automaton of credentials, less the logarithm of their number,
-against the ordinary one, and becomes a span of kind ``format`` if it reaches the model's
-``least``. An ordinary run gets there with a chance of at most FALSE, as likelihood ratios
-do; ``least`` is raised to what the ordinary values held back from the fit reach.
+knows formats of which no value was seen. Others are inferred from ordinary words and
+from what is commonly made of them: identifiers, paths, dates, numbers, borders, UUIDs.
+Every candidate, a run of credential characters not mostly covered by base spans, is
+scored by its log likelihood under the best automaton of credentials, less the logarithm
+of their number, against the best ordinary one, and becomes a span of kind ``format`` if
+it reaches the model's ``least``. An ordinary run gets there with a chance of at most
+FALSE, as likelihood ratios do; ``least`` is raised to what ordinary values held back
+from the fit reach.
 
 Training values are a bounded sample, SAMPLE different values a kind (ORDINARY_SAMPLE
 words) by lowest hash, drawn in one pass over *all* documents: every base span and every
@@ -78,11 +79,13 @@ FORMATS: dict[str, tuple] = {
     "package token": ("npm_", ("alnum", 36)),
     "web token part": ("eyJ", ("url", 61)),
     "key of 256 bits": (("base64", 43), "="),
-    "uuid": (("hex", 8), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 12)),
     "random name": (("lower", 25),),
     "recovery code": (("upper", 24),),
 }
 
+#: Identifiers that are no secrets, as made-up ordinary values.
+UUID = (("hex", 8), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 4), "-", ("hex", 12))
+
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
 def base_spans(text: str) -> list[Span]:
@@ -112,15 +115,16 @@ def composed(words: Sequence[str]) -> list[str]:
 
 
 def chained(words: Sequence[str]) -> list[str]:
-    """What is commonly made of words: identifiers, paths, dates, names with numbers, rules of one mark."""
+    """What is commonly made of words: identifiers, paths, dates, names with numbers, rules and borders."""
     out, pick = [], random.Random("chained")
-    shapes = (str.lower, str.lower, str.title, str.upper, lambda w: "".join(pick.choice("0123456789") for _ in range(pick.randrange(1, 9))))
+    shapes = (str.lower, str.lower, str.title, str.title, str.upper, lambda w: w[: pick.randrange(1, 4)].title(), lambda w: w[: pick.randrange(1, 4)].upper(), lambda w: "".join(pick.choice("0123456789") for _ in range(pick.randrange(1, 9))))
     for word in words:
         link, shape = pick.choice(("", "-", "_", "/", "_", "=")), pick.choice(shapes)
         parts = [shape(word)] + [(shape if pick.random() < 0.7 else pick.choice(shapes))(pick.choice(words)) for _ in range(pick.randrange(1, 6))]
         out.append(link.join(parts) if link or shape is str.title else parts[0] + "".join(pick.choice(("", "-", "_", "/", "=", "+")) + p for p in parts[1:]))
-        if pick.random() < 0.05:
-            out.append(pick.choice("-=_+/") * pick.randrange(3, 60))
+        if pick.random() < 0.1:
+            line, corner = pick.choice("--=_+/"), pick.choice("++-=")
+            out.append(pick.choice((corner, "")) + "".join(line * pick.randrange(1, 40) + corner for _ in range(pick.randrange(1, 8))))
     return out
 
 
@@ -151,7 +155,7 @@ def learned(values: dict[str, list[str]], ordinary: list[str]) -> Model:
 
     def fitted(values: dict[str, list[str]], words: list[str], least: float) -> Model:
         inner = {k: [x[len(x) // 2 :] for x in v] for k, v in values.items()}
-        plain = [infer(composed(words)).tables(), infer(chained(words), last=True).tables()] if words else []
+        plain = [infer(composed(words)).tables(), infer(chained(words), last=True).tables(), infer(made_up(UUID, SAMPLE, "uuid")).tables()] if words else []
         return Model([infer(v).tables() for v in values.values()], [infer(v, ends=False).tables() for v in inner.values()], plain, least)
 
     least = -math.log(FALSE)
