@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from pointlake import catalog  # noqa: E402
+from pointlake import queries  # noqa: E402
 
 HEADLINE = ["box_query", "attr_multi_column", "projection", "row_callback", "bounds", "attribute_ranges", "bitmap_node_or", "morton_code", "cell_ranges", "lod_assign", "progressive_delta", "progressive_series", "distance_to_box", "subfile_balance", "kd_treelets"]
 #: The same over a written table, which the warm-up writes; not part of the sum, so that it stays comparable.
@@ -30,7 +30,7 @@ def main() -> None:
         runs = []
         for _ in range(4):
             start = time.perf_counter()
-            catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            queries.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         took[name] = round(statistics.median(runs[1:]), 4)
     print(json.dumps({"metric": "headline particle queries, sum of medians", "value": round(sum(took[n] for n in HEADLINE), 4), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1]}))

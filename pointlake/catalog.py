@@ -20,23 +20,10 @@ from pointlake.operators.table import ParticleSession, ParticleTable
 from pointlake.operators.writer import ParticleWriter
 from pointlake.plans import partition
 from pointlake.plans.query import QuerySpec, run
+from pointlake.registry import query
 from pointlake.schema import ParticleSchema
 from pointlake.storage import scratch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def put(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return put
-
-
 # ---- the views -------------------------------------------------------------------
 
 L = ParticleSchema("l_quantity", "l_extendedprice", "l_discount", "l_orderkey", ("l_tax", "l_partkey", "l_suppkey"))

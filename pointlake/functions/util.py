@@ -41,7 +41,7 @@ def basepath(path: str) -> str:
 
 
 def canonical(path: str) -> str:
-    return re.sub(r"(?<!:)//+", "/", path.replace("\\", "/"))
+    return re.sub(r"(?<![:/])//+", "/", path.replace("\\", "/"))
 
 
 class Pcg32:
