@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointlake.catalog import E_SQL, _layout_box, events, written
 from pointlake.operators import metadata
+from pointlake.operators.convert import convert
 from pointlake.operators.table import ParticleTable, joined_answer
 from pointlake.operators.writer import ParticleWriter
 from pointlake.plans.query import QuerySpec
@@ -198,3 +199,16 @@ def planes_of_a_query(spark: SparkSession, sf: str) -> DataFrame:
     hi = table.ranges()["value"][1]
     none = table.split_planes(QuerySpec(attrs={"value": [(hi + 1, hi + 2)]})).count()
     return spark.createDataFrame([(part == touching, part < whole.count(), low <= whole.count(), none == 0)], "touching boolean, fewer boolean, shallow boolean, none boolean")
+
+
+@query(f"SELECT CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, value, pid AS id, true AS own_pid FROM ({E_SQL})")
+def converted(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw dumps turned into a written table in one call; rows of all files get ids of their own."""
+    df = events(spark, sf).select("x", "y", "z", "value", F.col("pid").alias("id"))
+    folder = scratch(spark, "convert")
+    schema = ParticleSchema.of(df, pid="id", attrs=("value",))
+    binary.write_bp(df.repartition(3), f"{folder}/in", ParticleSchema(attrs=("value", "id"), dtypes={**schema.dtypes, "id": "INT_64"})).collect()
+    convert(spark, f"{folder}/in/*.bp", f"{folder}/out", {"bytesPerSubfile": max(1, df.count() // 8) * 28})
+    rows = ParticleTable.open(spark, f"{folder}/out").query(QuerySpec())
+    ids = rows.agg(F.count_distinct("pid").alias("n"), F.max("pid").alias("top")).first()
+    return rows.select("x", "y", "z", "value", "id", F.lit(ids.n == (ids.top + 1 if ids.n else 0)).alias("own_pid"))

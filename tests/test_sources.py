@@ -157,3 +157,20 @@ def test_tree_files(spark, tmp_path, extra):
     head = json.dumps({"bat_prefix": "run", "num_aggregators": 2, "num_nodes": 3}).encode()
     (tmp_path / "some.pbat").write_bytes(struct.pack("<Q", len(head)) + head + nodes)
     assert tree.open_tree(spark, str(tmp_path / "some.pbat")).count() == 19
+
+
+def test_convert_by_extension(spark, tmp_path):
+    from pointlake.operators.convert import convert, read_any
+    from pointlake.operators.table import ParticleTable
+    from pointlake.plans.query import QuerySpec
+
+    (tmp_path / "a.xyz").write_text("2\ntitle\nFe 1 2 3\nC 4 5 6\n")
+    assert convert(spark, str(tmp_path / "a.xyz"), str(tmp_path / "t")).rows == 2
+    assert ParticleTable.open(spark, str(tmp_path / "t")).query(QuerySpec()).columns == ["pid", "x", "y", "z", "atom_id", "type"]
+    rng = np.random.default_rng(0)
+    for i, n in enumerate((7, 12)):
+        (tmp_path / f"run{i}.bat").write_bytes(tree_bytes([(rng.random((n, 3)).astype(np.float32), np.arange(n))]))
+    assert convert(spark, str(tmp_path / "run*.bat"), str(tmp_path / "u"), {"bytesPerSubfile": 64}).rows == 19
+    assert sorted(r.pid for r in ParticleTable.open(spark, str(tmp_path / "u")).query(QuerySpec()).collect()) == list(range(19))
+    with pytest.raises(ValueError):
+        read_any(spark, "x.laz")
