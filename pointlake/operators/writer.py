@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pointlake.operators import layout
 from pointlake.schema import ParticleSchema
-from pointlake.storage import names, read_text, write_once
+from pointlake.storage import delete, names, read_text, write_once
 
 #: Names of options as they are given to ``option``.
 NAMES = {
@@ -136,3 +136,20 @@ def commit(spark: SparkSession, path: str, version: str, steps: dict[str, str],
         live = [v for v in versions if v in now.values()] + [version]
         if write_once(spark, f"{path}/commits", f"{number + 1:08d}", json.dumps({"steps": now, "versions": live})):
             return
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Delete versions that older commits name and none of the last ``keep``; readers of those older commits lose them.
+
+    Versions that no commit names, which may be saves under way, are left alone.
+    """
+    numbers = [n for n in names(spark, f"{path}/commits") if n.isdigit()]
+    said = {n: set(json.loads(read_text(spark, f"{path}/commits/{n}"))["versions"]) for n in numbers}
+    live = set().union(*(said[n] for n in numbers[-keep:]))
+    there = {n.removesuffix(".json") for n in names(spark, f"{path}/versions")}
+    gone = sorted((set().union(*said.values()) - live) & there)
+    for version in gone:
+        for part in ("data", "nodes", "subfiles"):
+            delete(spark, f"{path}/{part}/version={version}")
+        delete(spark, f"{path}/versions/{version}.json")
+    return gone

@@ -16,7 +16,7 @@ from pointlake.functions.geometry import Box
 from pointlake.operators import layout, metadata
 from pointlake.operators import table as particle_table
 from pointlake.operators.table import ParticleSession, ParticleTable
-from pointlake.operators.writer import ParticleWriter, commit, latest
+from pointlake.operators.writer import ParticleWriter, commit, latest, vacuum
 from pointlake.plans import partition
 from pointlake.plans.query import QuerySpec
 from pointlake.schema import ParticleSchema
@@ -200,6 +200,19 @@ def test_a_save_reads_and_changes_nothing_of_others(spark, tmp_path):
         assert all(bits & bitmap.mask((r.a, r.a), (lo, hi)) for r in own.select("a").collect())
 
 
+def test_vacuum_leaves_what_the_last_commits_name(spark, tmp_path):
+    kind = "pid long, x double, y double, z double, a int, t int"
+    rows = lambda t, n: spark.createDataFrame([(i, float(i), 1.0, 1.0, i, t) for i in range(n)], kind)
+    schema, path = ParticleSchema.of(rows(0, 1), timestep="t"), str(tmp_path / "v")
+    for t, n in ((0, 10), (1, 20), (1, 5), (0, 3)):
+        ParticleWriter(rows(t, n), schema).save(path)
+    assert len(vacuum(spark, path, keep=2)) == 1  # the first of step 1
+    assert len(vacuum(spark, path)) == 1 and vacuum(spark, path) == []
+    table = ParticleTable.open(spark, path)
+    assert table.num_points() == table.query(QuerySpec()).count() == 8
+    assert len(list((tmp_path / "v" / "data").iterdir())) == 2
+
+
 def test_two_saves_at_once_both_take(spark, tmp_path):
     path = str(tmp_path / "c")
     assert write_once(spark, f"{path}/commits", "00000000", "{}") and not write_once(spark, f"{path}/commits", "00000000", "[]")
