@@ -18,7 +18,7 @@ from pointlake.operators.writer import ParticleWriter
 from pointlake.plans.query import QuerySpec
 from pointlake.registry import query
 from pointlake.schema import ParticleSchema
-from pointlake.sources import binary, text, xml
+from pointlake.sources import binary, text, tree, tree_writer, xml
 from pointlake.storage import file_system, scratch
 from pointlake.streaming import ingest as stream
 
@@ -125,6 +125,19 @@ def unstructured_grid(spark: SparkSession, sf: str) -> DataFrame:
     return xml.read_vtu(spark, _put(scratch(spark, "vtu"), "a.vtu", doc.encode())).drop("file")
 
 
+@query(f"SELECT CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, CAST(z AS FLOAT) AS z, value, pid, true AS several, true AS leveled FROM ({E_SQL})")
+def tree_files(spark: SparkSession, sf: str) -> DataFrame:
+    """E written as tree files under an aggregate's header, and read back through it."""
+    df = events(spark, sf).select("x", "y", "z", "value", F.col("pid").alias("id"))
+    folder = scratch(spark, "trees")
+    schema = ParticleSchema.of(df, pid="id", attrs=("value",))
+    schema = ParticleSchema(pid="id", attrs=("value", "id"), dtypes={**schema.dtypes, "id": "INT_64"})
+    files = tree_writer.write_trees(df, folder, schema, "e", max(1, df.count() // 8) * schema.bytes_per_row())
+    back = tree.open_tree(spark, f"{folder}/e.pbat")
+    levels = back.agg(F.count_distinct("lod_level")).first()[0]
+    return back.select("x", "y", "z", "value", F.col("id").alias("pid"), F.lit(files > 1).alias("several"), F.lit(levels > 1).alias("leveled"))
+
+
 # ---- writing, streams and answers --------------------------------------------------
 
 

@@ -41,14 +41,14 @@ def capacity(bytes_per_subfile: int, bytes_per_row: int) -> int:
     return max(1, math.ceil(bytes_per_subfile / bytes_per_row))
 
 
-def _extent(blocks: Sequence[Block]) -> tuple[tuple[float, ...], tuple[float, ...], list[int]]:
+def extent(blocks: Sequence[Block]) -> tuple[tuple[float, ...], tuple[float, ...], list[int]]:
     full = [b for b in blocks if b.rows] or list(blocks)
     lower = tuple(min(b.corner[a] for b in full) for a in range(3))
     upper = tuple(max(b.corner[a] for b in full) for a in range(3))
     return lower, upper, sorted(range(3), key=lambda a: (lower[a] - upper[a], a))
 
 
-def _best(blocks: Sequence[Block], axes: Sequence[int]) -> tuple[float, int, float] | None:
+def best_split(blocks: Sequence[Block], axes: Sequence[int]) -> tuple[float, int, float] | None:
     """(cost, axis, position) of the most even split; running totals over blocks sorted on the axis."""
     total, best = sum(b.rows for b in blocks), None
     for axis in axes:
@@ -93,8 +93,8 @@ def adaptive(blocks: Sequence[Block], most: int, find_best_axis: bool = False, i
         if total <= most or sum(b.rows > 0 for b in part) <= 1:
             plan.leaves.append(part)
             continue
-        lower, upper, axes = _extent(part)
-        best = _best(part, axes if find_best_axis else axes[:1]) or _best(part, axes)
+        lower, upper, axes = extent(part)
+        best = best_split(part, axes if find_best_axis else axes[:1]) or best_split(part, axes)
         if best is None:
             plan.leaves += _packed(part, most)
             continue
@@ -117,7 +117,7 @@ def fixed(blocks: Sequence[Block], subfiles: int) -> Plan:
         if len(part) <= most:
             plan.leaves.append(part)
             continue
-        lower, upper, axes = _extent(part)
+        lower, upper, axes = extent(part)
         part = sorted(part, key=lambda b: (b.corner[axes[0]], b.id))
         middle = len(part) // 2
         plan.splits.append(Split(axes[0], part[middle].corner[axes[0]], lower, upper))

@@ -1,6 +1,6 @@
 """Tree files: the binary layout with a header in JSON, coarse nodes and page-aligned treelets.
 
-Only rows and their place in the tree are read; Parquet is the layout that is written.
+Only rows and their place in the tree are read; ``tree_writer`` writes them.
 A treelet of a file, or of one of the files an aggregate header lists, is one task's work.
 """
 

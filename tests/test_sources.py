@@ -174,3 +174,95 @@ def test_convert_by_extension(spark, tmp_path):
     assert sorted(r.pid for r in ParticleTable.open(spark, str(tmp_path / "u")).query(QuerySpec()).collect()) == list(range(19))
     with pytest.raises(ValueError):
         read_any(spark, "x.laz")
+
+
+def found_in_tree(raw, lower, upper):
+    """Rows of a tree file in a closed box, by its planes alone: those of its coarse nodes and of its treelets."""
+    n = struct.unpack_from("<Q", raw)[0]
+    info = json.loads(raw[8 : 8 + n])
+    base = -(-(8 + n) // 4096) * 4096
+    offsets = np.frombuffer(raw, "<u8", info["num_treelets"], base + 16 * info["num_nodes"])
+    attrs, out, todo, seen = len(info["attributes"]), [], [("node", 0)], set()
+    while todo:
+        kind, i = todo.pop()
+        if kind == "node":
+            link, position, axis = struct.unpack_from("<QfI", raw, base + 16 * i)
+            if lower[axis] < position:
+                todo.append(("leaf" if link & 1 else "node", link >> 2))
+            if upper[axis] >= position:
+                todo.append(("leaf" if link & 2 else "node", (link >> 2) + 1))
+            continue
+        assert i not in seen
+        seen.add(i)
+        at = base + int(offsets[i])
+        nodes, rows = struct.unpack_from("<II", raw, at)
+        kd = np.frombuffer(raw, "<u4", 3 * nodes, at + 8).reshape(nodes, 3)
+        points = np.frombuffer(raw, "<f4", 3 * rows, at + 8 + nodes * (12 + 2 * attrs)).reshape(rows, 3)
+        below = [0]
+        while below:
+            j = below.pop()
+            first, word, shown = (int(v) for v in kd[j])
+            mine = range(first, first + (word >> 2)) if word & 3 == 3 else range(shown, shown + info["num_lod_prims"])
+            out += [tuple(map(float, points[k])) for k in mine if all(lower[a] <= points[k, a] <= upper[a] for a in range(3))]
+            if word & 3 != 3:
+                position, axis = float(kd[j, :1].view("<f4")[0]), word & 3
+                below += [j + 1] * bool(lower[axis] < position) + [word >> 2] * bool(upper[axis] >= position)
+    return sorted(out)
+
+
+SHAPES = {
+    "one row": lambda rng: np.array([[1.0, 2.0, 3.0]]),
+    "one place": lambda rng: np.tile([[1.0, 2.0, 3.0]], (700, 1)),
+    "few": lambda rng: rng.random((40, 3)),
+    "planar": lambda rng: np.hstack([rng.random((3000, 2)), np.zeros((3000, 1))]),
+    "many": lambda rng: rng.normal(size=(6000, 3)),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_trees_are_found_by_their_planes(shape):
+    from pointlake.sources import tree_writer
+
+    rng = np.random.default_rng(5)
+    points = SHAPES[shape](rng).astype(np.float32)
+    values = rng.integers(0, 1000, len(points))
+    raw, about = tree_writer.encoded(points, np.arange(len(points)), {"a": ("INT_32", values), "b": ("FLOAT_64", values / 8)})
+    assert about["rows"] == len(points) and about["lo"] == [values.min(), values.min() / 8]
+    boxes = [(points.min(axis=0), points.max(axis=0))] + [tuple(np.sort(rng.choice(points, 2, axis=0) if len(points) > 1 else np.repeat(points, 2, axis=0), axis=0)) for _ in range(5)]
+    for lower, upper in boxes:
+        want = sorted(tuple(map(float, p)) for p in points if (p >= lower).all() and (p <= upper).all())
+        assert found_in_tree(raw, lower, upper) == want
+
+
+def test_aggregates_round_trip(spark, tmp_path):
+    from pointlake.sources import tree, tree_writer
+
+    rng = np.random.default_rng(2)
+    points = np.vstack([rng.random((4000, 3)), rng.normal(5, 0.1, (4000, 3))]).astype(np.float32)
+    df = spark.createDataFrame([(i, *map(float, p), i % 97, i / 4, -i) for i, p in enumerate(points)], "pid long, x float, y float, z float, a int, b double, c long")
+    schema = ParticleSchema.of(df)
+    count = tree_writer.write_trees(df, str(tmp_path), schema, "run", 900 * schema.bytes_per_row())
+    back = tree.open_tree(spark, str(tmp_path / "run.pbat"))
+    assert count > 4 and back.columns == ["file", "pid", "treelet", "lod_level", "x", "y", "z", "a", "b", "c"]
+    row = lambda r: (r.x, r.y, r.z, r.a, r.b, r.c)
+    assert sorted(map(row, back.collect())) == sorted(map(row, df.collect()))
+    assert {r.lod_level for r in back.select("lod_level").distinct().collect()} >= {0, 1}
+    # planes of the header separate the files: a box is in those that its planes lead to
+    raw = (tmp_path / "run.pbat").read_bytes()
+    n = struct.unpack_from("<Q", raw)[0]
+    info = json.loads(raw[8 : 8 + n])
+    for _ in range(10):
+        lower, upper = np.sort(rng.choice(points, 2, axis=0), axis=0)
+        todo, found = [0], []
+        while todo:
+            j = todo.pop()
+            position, word = struct.unpack_from("<fI", raw, 8 + n + 8 * j)
+            if word & 3 == 3:
+                found += found_in_tree((tmp_path / f"run{struct.unpack_from('<I', raw, 8 + n + 8 * j)[0]}.bat").read_bytes(), lower, upper)
+            else:
+                todo += [j + 1] * bool(lower[word & 3] < position) + [word >> 2] * bool(upper[word & 3] >= position)
+        assert sorted(found) == sorted(tuple(map(float, p)) for p in points if (p >= lower).all() and (p <= upper).all())
+    at, words = 8 + n + 8 * info["num_nodes"], info["bitmap_dict_size"]
+    used = np.frombuffer(raw, "<u4", words, at)[np.frombuffer(raw, "<u2", 3 * info["num_nodes"], at + 4 * words)].reshape(-1, 3)
+    assert used[0].tolist() == [0xFFFFFFFF] * 3 and info["num_points"] == 8000
+    assert tree_writer.write_trees(df.limit(0), str(tmp_path / "none"), schema) == 0
