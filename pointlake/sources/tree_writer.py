@@ -10,6 +10,7 @@ are on the file's own ranges, in the aggregate's header on those of all files.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import struct
@@ -185,12 +186,13 @@ def divided(blocks: list[partition.Block], most: int) -> tuple[list[Node], dict[
     """Nodes in preorder over blocks given by their grid places, and the subfile of each block; sides never share a place."""
     nodes: list[Node] = []
     of: dict[int, int] = {}
+    leaves = itertools.count()
 
     def made(part: list[partition.Block]) -> None:
         _, _, axes = partition.extent(part)
         split = partition.best_split(part, axes) if sum(b.rows for b in part) > most else None
         if split is None:
-            nodes.append(Node(subfile=len(set(of.values()))))
+            nodes.append(Node(subfile=next(leaves)))
             of.update({b.id: nodes[-1].subfile for b in part})
             return
         _, axis, position = split

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +41,10 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def _tidy(spark: SparkSession, root: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+    local = root.rsplit("/", 1)[0]
+    if local in _LOCAL.values():
+        shutil.rmtree(local, ignore_errors=True)
+    elif spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         delete(spark, root)
 
 
