@@ -26,8 +26,8 @@ A candidate pair must pass three tests: weights allow the similarity, the signat
 sets themselves reach it. A shingle's n-th occurrence has a 64-bit hash of its own there,
 so that the weighted similarity is that of plain sets. Sets are made again, in a second
 pass over the texts, for candidates only; a bitmap of fixed size tells the scan which
-rows to send. ``classes`` and ``links`` never shuffle a text; ``deduplicated`` does once,
-to meet the rows that stay. All tables between rounds are kept in the shared folder.
+rows to send. ``classes`` and ``links`` never shuffle a text; ``deduplicated`` does once at
+most, to meet the rows that stay. All tables between rounds are kept in the shared folder.
 
 Defined cases: fewer than five words are one shingle; texts without a word (null, empty,
 blank) are copies of each other; null ids stay null and form classes like any other;
@@ -487,16 +487,22 @@ def links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thres
 def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the first by id: the rows of ``docs`` unchanged.
 
-    Rows meet the list of those that stay by one key, which also brings repeated
-    rows together, so that texts are shuffled once; only repeated ones are ranked.
+    Rows meet the list of those that stay by one key. Only those of repeated rows
+    are ranked; where the list is small enough to be broadcast, no other text moves.
     """
     found = classes(docs, text_col, id_col, threshold)
     k, rows, order = (fresh(docs, x) for x in ("k", "rows", "order"))
-    name = lambda i, t: F.struct(i.isNull().alias("none"), F.coalesce(i.cast("string"), F.lit("")).alias("id"), t.alias("h"))
+    name = lambda i, t: F.concat(F.when(i.isNull(), "n").otherwise("i"), F.coalesce(i.cast("string"), F.lit("")), F.lit(" "), t.cast("string"))
     keep = cut(found.where("is_first").groupBy(name(F.col(id_col), F.col("text_hash")).alias(k)).agg(F.count(F.lit(1)).alias(rows)))
     marked = docs.withColumn(k, name(quoted(id_col), F.xxhash64(F.coalesce(quoted(text_col), F.lit("")))))
-    met = marked.join(keep, k).withColumn(order, F.when(F.col(rows) > 1, F.to_json(F.struct(*[quoted(c) for c in docs.columns]))))
-    return met.withColumn(rows, F.row_number().over(Window.partitionBy(k).orderBy(order))).where(F.col(rows) == 1).select(*[quoted(c) for c in docs.columns])
+    columns = [quoted(c) for c in docs.columns]
+    out = marked.join(keep.where(F.col(rows) == 1), k).select(*columns)
+    again = keep.where(F.col(rows) > 1)
+    if again.isEmpty():
+        return out
+    ranked = marked.join(again, k).withColumn(order, F.to_json(F.struct(*columns)))
+    first = ranked.withColumn(rows, F.row_number().over(Window.partitionBy(k).orderBy(order))).where(F.col(rows) == 1)
+    return out.unionByName(first.select(*columns))
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
