@@ -186,14 +186,14 @@ def replaced(text: str, spans: list[Span], mark: str) -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
-def labelled(text: str) -> Iterator[tuple[str, str]]:
-    """(kind, value) of the base spans, and of all ordinary words that touch none."""
-    spans = base_spans(text)
-    for a, k, b in spans:
-        value = text[a:b]
-        yield KINDS[k], ASSIGN.match(value)[2] if k == 0 else value
-    for word in ORDINARY.findall(replaced(text, spans, "=")):
-        yield "ordinary", word
+def labelled(text: str, spans: list[Span]) -> list[tuple[str, str]]:
+    """(kind, value) of the base spans."""
+    return [(KINDS[k], ASSIGN.match(text[a:b])[2] if k == 0 else text[a:b]) for a, k, b in spans]
+
+
+def ordinary(text: str, spans: list[Span]) -> list[str]:
+    """All ordinary words that touch no base span."""
+    return ORDINARY.findall(replaced(text, spans, "="))
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, words: int = ORDINARY_SAMPLE, more: dict[str, list[str]] | None = None) -> Model:
@@ -207,13 +207,14 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, words: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[str, str]] = {}
-        seen: set[tuple[str, str]] = set()
+        seen: set[str] = set()
         for batch in batches:
             for texts in chunks(batch.column(0)):
                 for text in texts:
-                    new = set(labelled(text)) - seen
+                    spans = base_spans(text)
+                    new = set(ordinary(text, spans)) - seen
                     seen |= new
-                    for kind, value in new:
+                    for kind, value in [*labelled(text, spans), *(("ordinary", word) for word in new)]:
                         of = held.setdefault(kind, {})
                         of[hashlib.blake2b(value.encode(), digest_size=12).hexdigest()] = value
                         if len(of) > 4 * most(kind):
@@ -232,9 +233,9 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, words: in
     for r in kept.collect():  # 16 samples a kind at most
         values.setdefault(r.kind, []).append((r.h, r.value))
     found_ = {k: [v for _, v in sorted(of)[: most(k)]] for k, of in values.items()}
-    ordinary = found_.pop("ordinary", [])
+    plain = found_.pop("ordinary", [])
     made = {name: made_up(parts, sample, name) for name, parts in FORMATS.items()}
-    return learned(found_ | made | (more or {}), ordinary)
+    return learned(found_ | made | (more or {}), plain)
 
 
 def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:

@@ -106,7 +106,9 @@ def test_formats_left_out_of_the_fit_are_found_by_the_others():
 
 def test_words_of_whole_texts_are_offered():
     text = " ".join(["boilerplate"] * 6) + " token=secretsecretsecret " + " ".join(f"ordinary{c * 3}" for c in "abcdefgh")
-    assert [v for k, v in secrets.labelled(text) if k == "ordinary"] == ["boilerplate"] * 6 + [f"ordinary{c * 3}" for c in "abcdefgh"]
+    spans = secrets.base_spans(text)
+    assert secrets.ordinary(text, spans) == ["boilerplate"] * 6 + [f"ordinary{c * 3}" for c in "abcdefgh"]
+    assert secrets.labelled(text, spans) == [("assign", "secretsecretsecret")]
 
 
 def test_sample_is_the_lowest_of_all_words(spark, monkeypatch):
