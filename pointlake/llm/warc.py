@@ -50,7 +50,7 @@ from pointlake.llm.common import cut, read_table
 from pointlake.storage import scratch
 
 LEAST, ROLL, SHARD = 1000, 64 << 20, 256 << 20
-#: Ranges that ids, and then a range of too many bytes, are divided into, and the part of a shard that a range may fill.
+#: Ranges that a range of too many bytes is divided into at most, and the part of a shard that a range may fill.
 RANGES, FINE = 1 << 12, 8
 ARCHIVE = "archive.manifest.json"
 DATE = "2020-01-01T00:00:00Z"
@@ -213,27 +213,27 @@ def _range_of(column: Column, starts: list[int]) -> Column:
 def _shards(keys: DataFrame, most: int) -> list[int]:
     """The first ids (unsigned) of shards of about ``most`` bytes, from (id, n); nothing without ids.
 
-    On the driver there is a row a range: RANGES, and FINE and some more for each shard.
+    On the driver there is a row a range, as Arrow: about FINE for each shard.
     """
-    known = keys.where(F.col("id").isNotNull())
-    starts, sums = [0], {}
-    while True:
-        found = known.groupBy(_range_of(F.col("id"), starts).alias("r")).agg(F.sum("n").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        sums = {starts[r.r]: (r.n, r.lo + (1 << 63), r.hi + (1 << 63)) for r in found.collect()}
+    known, room = keys.where(F.col("id").isNotNull()), max(1, most // FINE)
+    starts, done = [0], False
+    while not done:
+        found = known.groupBy(_range_of(F.col("id"), starts).alias("r")).agg(F.sum("n").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).toArrow().sort_by("r")
+        sizes = found.column("n").to_numpy()
+        wide = np.flatnonzero((sizes > room) & (found.column("lo").to_numpy() < found.column("hi").to_numpy()))
         more: set[int] = set()
-        for n, lo, hi in sums.values():
-            if n > most / FINE and lo < hi:
-                width = -(-(hi - lo + 1) // (RANGES if len(starts) == 1 else 64))
-                more |= set(range(lo, hi + 1, width))
-        if not more - set(starts):
-            break
-        starts = sorted({*starts, *more})
+        for i in wide.tolist():
+            lo, hi = (found.column(c)[i].as_py() + (1 << 63) for c in ("lo", "hi"))
+            pieces = min(RANGES, max(2, -(-int(sizes[i]) // room)))
+            more |= set(range(lo, hi + 1, -(-(hi - lo + 1) // pieces)))
+        known_starts, starts = starts, sorted({*starts, *more})
+        done = len(starts) == len(known_starts)
     out, held = [], most
-    for start in sorted(sums):
-        if held and held + sums[start][0] > most:
-            out.append(start)
+    for place, size in zip(found.column("r").to_pylist(), sizes.tolist()):
+        if held and held + size > most:
+            out.append(starts[place])
             held = 0
-        held += sums[start][0]
+        held += size
     return out
 
 
