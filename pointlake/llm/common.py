@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: names, shared storage, scalable ranks.
+"""Helpers shared by the text operators: names, kept tables, columns through Arrow.
 
 Nothing here reads files behind Spark's back: tables come in as DataFrames and
 intermediate results go to the folder named by ``spark.checkpoint.dir``.
@@ -13,7 +13,6 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pointlake.storage import delete, scratch
 
@@ -133,22 +132,3 @@ def chunks(texts: pa.Array, most_bytes: int = 1 << 22) -> Iterator[list[str]]:
         held += len(value)
     if run:
         yield run
-
-
-def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, salts: int, out: str) -> DataFrame:
-    """``df`` with ``out``, a gapless rank from 0 within ``keys``, however large one key is.
-
-    Rows of a key are dealt into ``salts`` parts by ``salt``, ranked by ``order``
-    within each part, and shifted by the sizes of the parts before. Only counts
-    (``salts`` rows a key at most) are summed across parts, so that no task holds
-    a whole hot key. Rows that tie on everything may swap ranks; as they are
-    equal the result, as a set of rows, does not depend on it.
-    """
-    part, before, counted = (fresh(df, x) for x in ("part", "before", "counted"))
-    dealt = df.withColumn(part, F.pmod(salt, F.lit(salts)).cast("int"))
-    sizes = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(counted))
-    past = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, part, F.coalesce(F.sum(counted).over(past), F.lit(0)).alias(before))
-    inside = Window.partitionBy(*keys, part).orderBy(*order)
-    joined = dealt.withColumn(out, F.row_number().over(inside)).join(starts, [*keys, part])
-    return joined.withColumn(out, (F.col(out) - 1 + F.col(before)).cast("long")).drop(part, before)
