@@ -6,10 +6,9 @@ Each query is written with the engine's own functions; its SQL is plain and inde
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -695,13 +694,12 @@ def layout_progressive(spark: SparkSession, sf: str) -> DataFrame:
 def layout_qualities(spark: SparkSession, sf: str) -> DataFrame:
     """Each quality has more rows than the one before and all of its rows."""
     table = written(spark, sf, "cells")
-    rows, out = None, []
+    before, out = 0.0, []
     for q in SERIES[1:]:
-        n = table.query(QuerySpec(quality=q, columns=["pid"]))
-        before = table.query(QuerySpec(quality=rows, columns=["pid"])) if rows is not None else n.limit(0)
-        counted = n.withColumn("now", F.lit(1)).join(before.withColumn("was", F.lit(1)), "pid", "full").agg(F.count("now").alias("n"), F.count("was").alias("w"), F.count_if(F.col("now").isNull()).alias("lost")).first()
-        out.append((q, counted.n > counted.w, counted.lost == 0))
-        rows = q
+        now, was = (table.query(QuerySpec(quality=x, columns=["pid"])).withColumn(name, F.lit(1)) for name, x in (("now", q), ("was", before)))
+        r = now.join(was, "pid", "full").agg(F.count("now").alias("now"), F.count("was").alias("was"), F.count_if(F.col("now").isNull()).alias("lost")).first()
+        out.append((q, r.now > r.was, r.lost == 0))
+        before = q
     return spark.createDataFrame(out, "quality double, grows boolean, contained boolean")
 
 
