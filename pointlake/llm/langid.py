@@ -135,10 +135,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
     for r in found:
         df[r.f] = r.df
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
-    # the sample: lowest hashes of a language, copies counted once, found without moving a text: first in parts of the hash, then of all
-    keys = rows.select("lang", "h").distinct().withColumn("part", F.pmod(F.col("h"), F.lit(64)))
-    near = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("r") <= sample)
-    limits = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("most")).collect()
+    # the sample: lowest hashes of a language, copies counted once, found without moving a text: in ever fewer parts of the hash, then of all
+    near = rows.select("lang", "h").distinct()
+    for parts in (512, 64, 8, 1):
+        lowest = Window.partitionBy("lang", F.pmod(F.col("h"), F.lit(parts))).orderBy("h")
+        near = near.withColumn("r", F.row_number().over(lowest)).where(F.col("r") <= sample).drop("r")
+    limits = near.groupBy("lang").agg(F.max("h").alias("most")).collect()
     chosen = F.lit(False)
     for r in limits:  # one row a language, as the model has
         chosen = chosen | ((F.col("lang") == r.lang) & (F.col("h") <= r.most))
