@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -79,6 +80,8 @@ def write_once(spark: SparkSession, folder: str, name: str, text: str) -> bool:
     """Put a whole file in place under a name that nobody has taken; False if somebody has.
 
     The text goes to a temporary name first and is renamed, so that no reader sees half of it.
+    A local rename replaces a file that came in between, so a hard link, which never does, takes
+    its place; elsewhere the file system's rename has to refuse a taken name, as HDFS's does.
     """
     files, at = _file_system(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
@@ -87,6 +90,15 @@ def write_once(spark: SparkSession, folder: str, name: str, text: str) -> bool:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    real = files.resolvePath(at).toUri()
+    if real.getScheme() == "file":
+        try:
+            os.link(real.getPath(), os.path.join(os.path.dirname(real.getPath()), name))
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            files.delete(at, False)
     if not files.exists(target) and files.rename(at, target):
         return True
     files.delete(at, False)

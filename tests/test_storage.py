@@ -21,6 +21,28 @@ def test_no_local_folder_on_a_cluster(tmp_path):
     assert one == storage.shared_dir(session("local[2]"))
 
 
+def test_a_name_taken_after_the_look_is_not_replaced(spark, tmp_path, monkeypatch):
+    class Late:
+        """A file system on which every writer looks before any other has put its file in place."""
+
+        def __init__(self, files):
+            self.files = files
+
+        def exists(self, at):
+            return False
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    real = storage._file_system
+    monkeypatch.setattr(storage, "_file_system", lambda s, p: (Late(real(s, p)[0]), real(s, p)[1]))
+    folder = tmp_path / "with space %41"
+    for path in (str(folder), f"file:{tmp_path}/b"):
+        assert storage.write_once(spark, path, "00000000", "first") and not storage.write_once(spark, path, "00000000", "second")
+        assert storage.read_text(spark, f"{path}/00000000") == "first"
+    assert [p.name for p in folder.iterdir()] == ["00000000"]
+
+
 SCRIPT = """
 import os, sys
 from pyspark.sql import SparkSession
