@@ -29,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.common import chunks, fresh, map_column, quoted, read_table, without
+from pointlake.llm.common import chunks, fresh, in_parts, map_column, quoted, read_table, without
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of one piece of a long text, and of all texts encoded by one call.
@@ -205,7 +205,7 @@ def digests(df: DataFrame, text_col: str = "text", ranks_path: str | None = None
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.of(model)
-        for batch in batches:
+        for batch in in_parts(batches):
             counts, ids_hex, text_hex, kept = [], [], [], []
             for texts in chunks(batch):
                 for own in codec.encode(texts):

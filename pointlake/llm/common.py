@@ -6,6 +6,7 @@ intermediate results go to the folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -120,6 +121,30 @@ def map_column(
     return df.withColumn(out, udf(quoted(column)))
 
 
+#: Rows that a worker takes on at a time, whatever the session's batches.
+PART = 2000
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)  # glibc has it
+
+
+def give_back() -> None:
+    """Give the memory that this process holds free back to the system."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
+def in_parts(batches: Iterable[pa.Array]) -> Iterator[pa.Array]:
+    """The batches in parts of PART rows at most; before each and at the end, free memory is given back.
+
+    So what a worker needs does not grow with the batches it is sent, and what it
+    needed for one stage does not stay with it in the next ones.
+    """
+    for batch in batches:
+        for at in range(0, max(1, len(batch)), PART):
+            give_back()
+            yield batch.slice(at, PART)
+    give_back()
+
+
 def chunks(texts: pa.Array, most_bytes: int = 1 << 22) -> Iterator[list[str]]:
     """The texts of a batch in runs of bounded size; null is the empty text."""
     run, held = [], 0

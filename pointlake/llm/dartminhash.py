@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointlake.llm.common import chunks, cut, fresh, map_column, quoted, read_table, spent
+from pointlake.llm.common import chunks, cut, fresh, in_parts, map_column, quoted, read_table, spent
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -191,7 +191,7 @@ def with_signatures(df: DataFrame, text_col: str, weighting: str, out: str) -> D
     kind = pa.struct([("key", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int8()))])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for texts in chunks(batch):
                 for text in texts:
